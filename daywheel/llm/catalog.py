@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing
+from . import decontaminate, mixing, pii, urls
 
 BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -66,9 +66,68 @@ FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVIN
 """
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
+    rows = rows.select("doc_id", "pii", base.alias("base"))
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
+def _sql_hits(kind: str, pattern: str, check: str) -> str:
+    """Spans of one kind as a list of texts; pieces and hits alternate in the text."""
+    return f"""list_transform(list_filter(list_transform(generate_series(1, len(regexp_extract_all(t, '{pattern}'))), lambda i: {{
+      'm': regexp_extract_all(t, '{pattern}')[i],
+      's': (list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i - 1], lambda x: length(x))), 0))::BIGINT}}),
+      lambda h: {check}), lambda h: '{kind}:' || h.s || ':' || (h.s + length(h.m)))"""
+
+
+def _op8_sql() -> str:
+    number = "regexp_replace(h.m, '[^0-9]', '', 'g')"
+    twice = f"(substr(reverse({number}), k, 1)::INT * 2)"
+    luhn = f"list_sum(list_transform(generate_series(1, len({number})), lambda k: CASE WHEN k % 2 = 0 THEN CASE WHEN {twice} > 9 THEN {twice} - 9 ELSE {twice} END ELSE substr(reverse({number}), k, 1)::INT END)) % 10 = 0"
+    account = "replace(h.m, ' ', '')"
+    turned = f"(substr({account}, 5) || substr({account}, 1, 4))"
+    numbers = f"list_transform(string_split({turned}, ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)"
+    mod = f"list_reduce(list_prepend(0, {numbers}), lambda r, c: CASE WHEN c >= 10 THEN (r * 100 + c) % 97 ELSE (r * 10 + c) % 97 END) = 1"
+    before = "lower(t[greatest(h.s - 48, 0) + 1:h.s])"
+    kinds = {
+        "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
+        "ip": ("[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "len(list_filter(string_split(h.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 256) > 255)) = 0"),
+        "card": ("[0-9](?:[ -]?[0-9])+", f"len({number}) BETWEEN 13 AND 19 AND {luhn}"),
+        "phone": ("\\+[0-9][ ().0-9-]+[0-9]", f"len({number}) BETWEEN 9 AND 15"),
+        "iban": ("\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b", f"len({account}) BETWEEN 15 AND 34 AND {mod}"),
+        "ssn": ("\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", f"regexp_matches({before}, '\\b(?:{pii.WORDS['ssn']})')"),
+    }
+    lists = ",\n".join(f"{_sql_hits(k, p, c)} AS {k}" for k, (p, c) in kinds.items())
+    every = "list_concat(list_concat(email, ip), list_concat(card, phone))"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {lists} FROM d)
+SELECT doc_id, len(email)::BIGINT AS n_email, len(ip)::BIGINT AS n_ip, len(card)::BIGINT AS n_card, len(phone)::BIGINT AS n_phone,
+  sha256(array_to_string({every}, ',')) AS base_sha256, array_to_string(list_concat({every}, list_concat(iban, ssn)), ',') AS spans FROM f"""
+
+
+OP8_SQL = _op8_sql()
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+# The synthetic pages hold no redirects or canonical links: there the method leaves unruled pages allowed. tests/llm plants some.
+OP9_SQL = """
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+r(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+b AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN b USING (page_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix_sources": op2_mix_sources, "op10_decontaminate": op10_decontaminate}
+    return {"op2_mix_sources": op2_mix_sources, "op8_personal_data": op8_personal_data, "op9_url_filter": op9_url_filter, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op8_personal_data": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
