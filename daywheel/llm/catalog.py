@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, urls
+from . import decontaminate, jaccard, mixing, pii, urls
 
 BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -125,9 +125,30 @@ SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h
 """
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = f"""
+WITH RECURSIVE s AS ({_shingles_sql('documents', 'doc_id', "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n c ON c.doc_id = a.doc_id JOIN n d ON d.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, c.n, d.n HAVING 100 * count(*) >= 80 * (c.n + d.n - count(*))),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix_sources": op2_mix_sources, "op8_personal_data": op8_personal_data, "op9_url_filter": op9_url_filter, "op10_decontaminate": op10_decontaminate}
+    return {
+        "op2_mix_sources": op2_mix_sources,
+        "op7_jaccard_join": op7_jaccard_join,
+        "op8_personal_data": op8_personal_data,
+        "op9_url_filter": op9_url_filter,
+        "op10_decontaminate": op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op8_personal_data": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op7_jaccard_join": OP7_SQL, "op8_personal_data": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}

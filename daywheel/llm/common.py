@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now rather than at some later garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_side(df: DataFrame, row_bytes: int) -> tuple[DataFrame, bool]:
     """df with a broadcast hint if its counted size is under BROADCAST_BYTES, else df as it is. df should be cut() before."""
     small = df.count() * row_bytes <= BROADCAST_BYTES
