@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, pii, urls
+from . import decontaminate, jaccard, mixing, pii, tokenfile, toxicity, urls
 
 BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -125,6 +125,17 @@ SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    predicted = (F.col("tox_score") >= 0.5).cast("int").alias("predicted")
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), predicted, F.col("tox_flag").alias("flagged"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -143,6 +154,8 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM c LEFT JO
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": op2_mix_sources,
+        "op4_toxicity": op4_toxicity,
+        "op6_token_files": op6_token_files,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_personal_data": op8_personal_data,
         "op9_url_filter": op9_url_filter,

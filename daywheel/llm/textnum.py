@@ -25,10 +25,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _values(letters: np.ndarray) -> np.ndarray:
-    """A random odd value for each byte, A-Z as a-z; 0 for bytes that aren't letters."""
+def _values(letters: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A random odd value for each byte, A-Z as a-z if fold; 0 for bytes that aren't letters."""
     byte = np.arange(256, dtype=np.uint64)
-    byte[65:91] += _U(32)
+    if fold:
+        byte[65:91] += _U(32)
     return np.where(letters, mix64((byte + _U(1)) * _U(0xD1342543DE82EF95)) | _U(1), _U(0))
 
 
@@ -36,6 +37,8 @@ _blank = np.zeros(256, bool)
 _blank[[0x20, *range(9, 14)]] = True
 #: Words `[^\x20\x09-\x0D]+`, A-Z lower-cased.
 PLAIN = _values(~_blank)
+#: The same words as they are written.
+EXACT = _values(~_blank, fold=False)
 _alnum = np.zeros(256, bool)
 _alnum[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Runs of ASCII letters and digits and of all further characters.
