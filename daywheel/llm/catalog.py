@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, pii, tokenfile, toxicity, urls
+from . import anntree, decontaminate, jaccard, mixing, pii, tokenfile, toxicity, urls
 
 BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anntree.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.with_copies(_table(spark, sf_dir, "documents"))
     taken = (F.col("__mix_size") * F.col("__mix_copies")).alias("taken")
@@ -153,6 +157,7 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM c LEFT JO
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest_vectors": op1_nearest_vectors,
         "op2_mix_sources": op2_mix_sources,
         "op4_toxicity": op4_toxicity,
         "op6_token_files": op6_token_files,
