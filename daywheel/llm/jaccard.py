@@ -10,7 +10,8 @@ when 100 * intersection >= 80 * union of their token sets. The join returns one
    indexed as a pair (cells: hash buckets, their number set by the size class; see `signatures`).
 3. Documents sharing a signature are candidates. Each signature's documents are first held against one head, linked ones
    become a class, and only pairs of different classes go on, so a group of copies isn't expanded into its pairs.
-   Every candidate pair that classes don't already connect is verified by exact intersection.
+   Every candidate pair that classes don't already connect is verified by exact intersection: pairs of seldom
+   signatures as a list, those of signatures that many documents of different classes share block by block.
 
 Nothing is capped: memory per task is bounded by single documents, hot tokens and signatures are combined before each
 shuffle or joined with splitting. Two different tokens or sets share a 64-bit hash with odds of about 1e-8 at 1e6 pairs.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,8 +202,12 @@ def _possible(n_a: str, s_a: str, n_b: str, s_b: str) -> Column:
     return linked(F.col(n_a), F.col(n_b), F.least(s_a, s_b))
 
 
-#: Rounds of holding each signature's documents against a head before the rest of the pairs of different classes is listed.
+#: Rounds of holding each signature's documents against a head before the rest of the pairs of different classes is taken.
 STAR_ROUNDS = 3
+#: Open signatures of more documents than this are taken block by block rather than as a list of pairs.
+HEAVY = 64
+#: Documents of a block, about.
+BLOCK = 512
 
 
 def classes(lists: DataFrame) -> DataFrame:
@@ -213,8 +219,10 @@ def classes(lists: DataFrame) -> DataFrame:
     for turn in range(STAR_ROUNDS):
         rows = posts.withColumn("label", F.col("node")) if labels is None else cut(_open(posts, labels))
         if rows.limit(1).count() == 0:
-            break
-        key = F.struct(F.xxhash64("node", F.lit(turn)).alias("k"), "node", "n", "s", "label")
+            return labels if labels is not None else lists.select("node", F.col("node").alias("label")).limit(0)
+        # First heads: those with the fewest tokens of their own, as what copies were made from has.
+        own = (F.col("n") - F.col("s")) / F.col("n") if turn == 0 else F.lit(0.0)
+        key = F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("k"), "node", "n", "s", "label")
         heads = rows.groupBy("sig").agg(F.min(key).alias("h")).select("sig", F.col("h.node").alias("a"), F.col("h.n").alias("n_a"), F.col("h.s").alias("s_a"), F.col("h.label").alias("label_a"))
         star = rows.join(heads, "sig").where((F.col("label") != F.col("label_a")) & _possible("n", "s", "n_a", "s_a"))
         star = star.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
@@ -225,16 +233,99 @@ def classes(lists: DataFrame) -> DataFrame:
         tried = best if tried is None else tried.union(best)
         found = links if found is None else found.union(links)
         labels = cut(components(found, "a", "b"))
-    else:
-        rows = cut(_open(posts, labels))
-        ends = rows.select("sig", "label").distinct()
-        crossed = ends.join(ends.withColumnRenamed("label", "label_b"), "sig").where("label < label_b")
-        left = crossed.join(rows.select("sig", "label", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("s").alias("s_x")), ["sig", "label"])
-        both = left.join(rows.select("sig", F.col("label").alias("label_b"), F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("s").alias("s_y")), ["sig", "label_b"])
-        pairs = both.where(_possible("n_x", "s_x", "n_y", "s_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        labels = cut(components(found.union(cut(verified(pairs, lists))), "a", "b"))
-    return labels if labels is not None else lists.select("node", F.col("node").alias("label")).limit(0)
+    rows = cut(_open(posts, labels))
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("c"))
+    light = rows.join(sizes.where(F.col("c") <= HEAVY).select("sig"), "sig")
+    heavy = cut(rows.join(sizes.where(F.col("c") > HEAVY).select("sig"), "sig"))
+    pairs = cut(_listed(light).join(tried, ["a", "b"], "left_anti"))
+    found = found.union(cut(verified(pairs, lists)))
+    if heavy.limit(1).count():
+        found = found.union(cut(_by_blocks(heavy, lists)))
+    return cut(components(found, "a", "b"))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different classes that share one of the signatures, each of at most HEAVY documents."""
+    ends = rows.select("sig", "label").distinct()
+    crossed = ends.join(ends.withColumnRenamed("label", "label_b"), "sig").where("label < label_b")
+    left = crossed.join(rows.select("sig", "label", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("s").alias("s_x")), ["sig", "label"])
+    both = left.join(rows.select("sig", F.col("label").alias("label_b"), F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("s").alias("s_y")), ["sig", "label_b"])
+    return both.where(_possible("n_x", "s_x", "n_y", "s_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _by_blocks(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """(a, b): links between different classes among the documents that heavy signatures connect.
+
+    Documents connected by heavy signatures form groups; a group is dealt to blocks by size class and hash, and every
+    two blocks of neighbouring classes are one task's work: exact intersections by matrix product, of which only links
+    that connect something new leave the task.
+    """
+    head = rows.groupBy("sig").agg(F.min("node").alias("head"))
+    star = rows.join(head, "sig").select("node", "head").distinct()
+    group = components(star, "node", "head").select("node", F.col("label").alias("g"))
+    nodes = rows.select("node", "n", "label").distinct().join(group, "node")
+    nodes = nodes.withColumn("k", F.floor(F.log(F.col("n").cast("double")) / float(np.log(CLASS)) + 1e-9).cast("int"))
+    counts = nodes.groupBy("g", "k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    nodes = cut(nodes.join(counts, ["g", "k"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    blocks = nodes.select("g", "k", "i").distinct()
+    other = blocks.select("g", F.col("k").alias("k2"), F.col("i").alias("i2"))
+    duels = cut(blocks.join(other, "g").where("(k2 = k and i2 >= i) or k2 = k + 1"))
+    full = cut(nodes.join(lists.select("node", F.transform("tokens", lambda t: t["token"]).alias("t")), "node").select("g", "k", "i", "node", "n", "label", "t"))
+    keys, columns = ["g", "k", "i", "k2", "i2"], ["node", "n", "label", "t"]
+    left = full.join(duels, ["g", "k", "i"]).select(*keys, *columns)
+    other = full.select(F.col("g").alias("g_"), F.col("k").alias("k2_"), F.col("i").alias("i2_"), *[F.col(c).alias(f"{c}_") for c in columns])
+    met = duels.select(*[F.col(c).alias(f"{c}_") for c in keys])
+    right = other.join(met, ["g_", "k2_", "i2_"]).select(*[f"{c}_" for c in keys], *[f"{c}_" for c in columns])
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        a, b = _connecting(one, two.rename_columns(one.column_names)) if len(one) and len(two) else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_" for c in keys])).applyInArrow(run, "a long, b long")
+
+
+def _incidence(table: pa.Table, tokens: np.ndarray) -> np.ndarray:
+    """Rows of table by tokens: 1 where a row holds the token."""
+    column = table.column("t").combine_chunks()
+    values, bounds = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(column).to_numpy())))
+    at = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
+    hit = tokens[at] == values
+    out = np.zeros((len(table), len(tokens)), np.float32)
+    out[np.repeat(np.arange(len(table)), np.diff(bounds))[hit], at[hit]] = 1
+    return out
+
+
+def _connecting(one: pa.Table, two: pa.Table) -> tuple[list[int], list[int]]:
+    """Links between rows of one and two of different labels, as few as connect what all of them connect."""
+    held = [np.unique(t.column("t").combine_chunks().flatten().to_numpy()) for t in (one, two)]
+    tokens = np.intersect1d(*held, assume_unique=True)
+    common = np.zeros((len(one), len(two)))
+    for a in range(0, len(tokens), 8192):
+        part = tokens[a : a + 8192]
+        common += _incidence(one, part) @ _incidence(two, part).T
+    n_a, n_b = one.column("n").to_numpy().astype(np.int64), two.column("n").to_numpy().astype(np.int64)
+    l_a, l_b = one.column("label").to_numpy(), two.column("label").to_numpy()
+    link = (common * (100 + PERCENT) >= (n_a[:, None] + n_b) * PERCENT) & (l_a[:, None] != l_b)
+    node_a, node_b = one.column("node").to_numpy(), two.column("node").to_numpy()
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out_a, out_b = [], []
+    for i in np.flatnonzero(link.any(1)):
+        where = np.flatnonzero(link[i])
+        # One link to each class is enough.
+        for j in where[np.unique(l_b[where], return_index=True)[1]]:
+            x, y = find(int(l_a[i])), find(int(l_b[j]))
+            if x != y:
+                parent[x] = y
+                out_a.append(int(node_a[i]))
+                out_b.append(int(node_b[j]))
+    return out_a, out_b
 
 
 def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
