@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anntree, decontaminate, jaccard, mixing, pii, tokenfile, toxicity, urls
+from . import anntree, decontaminate, jaccard, language, mixing, pii, quality, tokenfile, toxicity, urls
 
 BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -129,6 +129,15 @@ SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, _table(spark, sf_dir, "labels")).withColumn("held_out", quality.held_out(F.col("doc_id")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -159,7 +168,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest_vectors": op1_nearest_vectors,
         "op2_mix_sources": op2_mix_sources,
+        "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
+        "op5_language_id": op5_language_id,
         "op6_token_files": op6_token_files,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_personal_data": op8_personal_data,
