@@ -23,7 +23,7 @@ def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.with_copies(_table(spark, sf_dir, "documents"))
     taken = (F.col("__mix_size") * F.col("__mix_copies")).alias("taken")
-    return rows.select("doc_id", F.col("__mix_size").alias("size"), "source_size", "target", taken)
+    return rows.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), taken)
 
 
 OP2_SQL = f"""

@@ -53,16 +53,17 @@ def draw(doc_id: Column, seed: str = DRAW_SEED) -> Column:
 
 
 def with_copies(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", seed: str = DRAW_SEED, cycle: int = 3, max_repeat: float = 3.0) -> DataFrame:
-    """docs with __mix_size, source_size, target, rate and __mix_copies: how often the mix takes each row."""
-    rates = cut(source_targets(docs, source, word_count(F.col(text)), cycle, max_repeat))
+    """docs with __mix_size, __mix_source_size, __mix_target, __mix_rate and __mix_copies: how often the mix takes each row."""
+    rates = source_targets(docs, source, word_count(F.col(text)), cycle, max_repeat)
+    rates = cut(rates.select("__mix_key", *[F.col(c).alias(f"__mix_{c}") for c in ("source_size", "target", "rate")]))
     side, small = small_side(rates, 256)
     rows = docs.withColumn("__mix_size", word_count(F.col(text)))
     if small:
         rows = rows.join(side, rows[source].eqNullSafe(side["__mix_key"]), "left").drop("__mix_key")
     else:
         rows = salted_join(rows, rates.withColumnRenamed("__mix_key", source), source)
-    whole = F.floor("rate")
-    extra = (draw(F.col(doc_id), seed) < F.col("rate") - whole).cast("int")
+    whole = F.floor("__mix_rate")
+    extra = (draw(F.col(doc_id), seed) < F.col("__mix_rate") - whole).cast("int")
     return rows.withColumn("__mix_copies", (whole + extra).cast("int"))
 
 
