@@ -27,8 +27,8 @@ from .common import cut
 
 #: Rows the tree is fitted on, at most; every row is indexed.
 FIT_ROWS = 20_000
-#: Rows a leaf should hold, and children of a node.
-LEAF_ROWS, FANOUT = 256, 8
+#: Rows a leaf may hold: this many times the root of all rows, so that leaves and visits grow as the root; children of a node.
+LEAF_ROOTS, FANOUT = 4.0, 8
 MAX_LEAVES = 4096
 #: Calibration queries (picked by a hash of their id) and the recall their visits must reach.
 CALIBRATION, TARGET = 128, 0.97
@@ -133,8 +133,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Tree | None:
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) < max(int(part * (1 << 30)), 1)) if part < 1 else rows
     x = matrix(sample.select("vec_id", "v").toArrow().sort_by("vec_id").column("v").combine_chunks())
     x = x if len(x) else matrix(rows.limit(fit_rows).toArrow().column("v").combine_chunks())
-    # A leaf of LEAF_ROWS indexed rows, as far as the sample and MAX_LEAVES allow.
-    return Tree(x, max(LEAF_ROWS * len(x) / n, len(x) / MAX_LEAVES, 4))
+    return Tree(x, max(LEAF_ROOTS * len(x) / np.sqrt(n), len(x) / MAX_LEAVES, 4))
 
 
 def placed(rows: DataFrame, tree: Tree) -> DataFrame:
