@@ -45,6 +45,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fewer(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """df of about `rows` rows in no more partitions than these are worth: every task of a shuffle leaves files, however few its rows."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def small_side(df: DataFrame, row_bytes: int) -> tuple[DataFrame, bool]:
     """df with a broadcast hint if its counted size is under BROADCAST_BYTES, else df as it is. df should be cut() before."""
     small = df.count() * row_bytes <= BROADCAST_BYTES

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fewer, release
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -24,12 +24,16 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     seen = None
     while True:
         state = tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        few = lambda df, n=state[0]: fewer(df, 2 * n)
         if state == seen or not state[0]:
-            return rows.select(F.col("u").alias("node"), F.col("v").alias("label")).union(rows.select(F.col("v"), F.col("v"))).groupBy("node").agg(F.min("label").alias("label"))
+            ends = few(rows).select(F.col("u").alias("node"), F.col("v").alias("label")).union(few(rows).select(F.col("v"), F.col("v")))
+            return few(ends.groupBy("node").agg(F.min("label").alias("label")))
         seen = state
-        both = rows.union(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = few(rows.union(rows.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = few(few(large).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        rows = cut(small.select("e.u", "e.v").where("u != v").distinct())
+        rows = cut(few(few(small.select("e.u", "e.v").where("u != v")).distinct()))
+        release(edges.sparkSession)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut, release, small_side
+from .common import cut, fewer, release, small_side
 from .components import components
 
 WIDTH = 5
@@ -215,9 +215,12 @@ def classes(lists: DataFrame) -> DataFrame:
     posts = signed(lists)
     often = posts.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("sig")
     posts = cut(posts.join(often, "sig"))
+    n = posts.count()
+    few = lambda df: cut(fewer(df, n, 20_000))  # noqa: E731  everything below is smaller than posts
+    posts = few(posts)
     found, tried, labels = None, None, None
     for turn in range(STAR_ROUNDS):
-        rows = posts.withColumn("label", F.col("node")) if labels is None else cut(_open(posts, labels))
+        rows = posts.withColumn("label", F.col("node")) if labels is None else few(_open(posts, labels))
         if rows.limit(1).count() == 0:
             return labels if labels is not None else lists.select("node", F.col("node").alias("label")).limit(0)
         # First heads: those with the fewest tokens of their own, as what copies were made from has.
@@ -228,19 +231,20 @@ def classes(lists: DataFrame) -> DataFrame:
         star = star.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
         # Of its heads, each document is held against the one it shares most signatures with.
         best = star.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
-        best = cut(best if tried is None else best.join(tried, ["a", "b"], "left_anti"))
-        links = cut(verified(best, lists))
+        best = few(best if tried is None else best.join(tried, ["a", "b"], "left_anti"))
+        links = few(verified(best, lists))
         tried = best if tried is None else tried.union(best)
         found = links if found is None else found.union(links)
-        labels = cut(components(found, "a", "b"))
-    rows = cut(_open(posts, labels))
+        labels = few(components(found, "a", "b"))
+        release(lists.sparkSession)
+    rows = few(_open(posts, labels))
     sizes = rows.groupBy("sig").agg(F.count("*").alias("c"))
     light = rows.join(sizes.where(F.col("c") <= HEAVY).select("sig"), "sig")
-    heavy = cut(rows.join(sizes.where(F.col("c") > HEAVY).select("sig"), "sig"))
-    pairs = cut(_listed(light).join(tried, ["a", "b"], "left_anti"))
-    found = found.union(cut(verified(pairs, lists)))
+    heavy = few(rows.join(sizes.where(F.col("c") > HEAVY).select("sig"), "sig"))
+    pairs = few(_listed(light).join(tried, ["a", "b"], "left_anti"))
+    found = found.union(few(verified(pairs, lists)))
     if heavy.limit(1).count():
-        found = found.union(cut(_by_blocks(heavy, lists)))
+        found = found.union(few(_by_blocks(heavy, lists)))
     return cut(components(found, "a", "b"))
 
 
