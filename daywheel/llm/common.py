@@ -64,6 +64,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 32) ->
     return left.join(right, on, "left").drop("__salt", "__salt_r", "__key")
 
 
+#: Rows of an Arrow batch of texts: at 10,000 rows a batch of long texts would take hundreds of MB on both sides.
+TEXT_ROWS = 512
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to TEXT_ROWS rows from now on in this session, unless it asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once per row (an expression that is only named would be copied into every use)."""
     return F.transform(F.array(value), body)[0]

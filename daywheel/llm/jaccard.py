@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut, fewer, release, small_side
+from .common import cut, fewer, release, small_side, text_batches
 from .components import components
 
 WIDTH = 5
@@ -342,6 +342,7 @@ def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
 def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (columns doc_id and text are read)."""
     docs = docs.select("doc_id", "text")
+    text_batches(docs.sparkSession)
     rows = cut(membership(docs, width))
     kept = cut(survivors(docs, rows, width))
     release(docs.sparkSession)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut, salted_join, small_side
+from .common import cut, salted_join, small_side, text_batches
 from .urls import host_of, path_of
 
 MAX_ROWS = 8_000
@@ -112,6 +112,7 @@ def _attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """(page_id, lang, score, text_lang, declared, host) of each page; docs (doc_id, text, lang) teach the text model."""
+    text_batches(pages.sparkSession)
     langs, table = fit(docs)
     n = len(langs)
     if not n:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut, salted_join, small_side
+from .common import cut, salted_join, small_side, text_batches
 
 MAX_ROWS = 20_000
 #: What an unlabelled document's evidence counts for in its site, against 1 for a label.
@@ -73,6 +73,7 @@ def held_out(doc_id: Column) -> Column:
 
 def evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> tuple[DataFrame, float]:
     """((doc_id, host, path, label, p), global rate): each row's label, if it may be learnt from, and classifier evidence p."""
+    text_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("label"))
     known = known.where(~held_out(F.col("doc_id")))
     rows = docs.select("doc_id", "text", F.coalesce(host, F.lit(NOBODY)).alias("host"), F.coalesce(path, F.lit(NOBODY)).alias("path"))

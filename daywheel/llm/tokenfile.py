@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut, fresh_path
+from .common import cut, fresh_path, text_batches
 
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -54,7 +54,7 @@ _WIDE_BLANK = re.compile("[\x85\xa0  -     　]")
 _SIMPLE = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)").fullmatch
 _CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 #: Longer texts are cut between words before they are encoded, so that memory doesn't follow the longest text.
-LONG = 1 << 21
+LONG = 1 << 20
 
 
 class Encoder:
@@ -271,6 +271,7 @@ class Reader:
 def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Write the ids of docs (doc_id, text) to files under path; returns the manifest (file, part, docs, n_tokens, start)."""
     spark = docs.sparkSession
+    text_batches(spark)
     path, vocabulary = path or fresh_path(spark, "tokens"), vocabulary or default_vocabulary()
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
