@@ -28,10 +28,10 @@ from .common import cut
 #: Rows the tree is fitted on, at most; every row is indexed.
 FIT_ROWS = 20_000
 #: Rows a leaf may hold: this many times the root of all rows, so that leaves and visits grow as the root; children of a node.
-LEAF_ROOTS, FANOUT = 4.0, 8
+LEAF_ROOTS, FANOUT = 8.0, 8
 MAX_LEAVES = 4096
 #: Calibration queries (picked by a hash of their id) and the recall their visits must reach.
-CALIBRATION, TARGET = 128, 0.97
+CALIBRATION, TARGET = 192, 0.95
 CHUNK = 4096
 QUERY_BLOCK = 1024
 
@@ -177,32 +177,21 @@ def best_of(q: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
             yield a + i, ids[top], np.sort(score)[::-1][: len(top)]
 
 
-def _search(chunks: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each visit's best rows. visits: query_id, q, leaf."""
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            q, own = matrix(right.column("q").combine_chunks()), right.column("query_id").to_numpy()
-            for one in left.to_batches():
-                for i in range(len(one)):
-                    ids, x = one.column("ids")[i].values.to_numpy(), one.column("vs")[i].values.to_numpy().reshape(len(one.column("ids")[i]), -1)
-                    for row, found, score in best_of(q, own, ids, x, k):
-                        out["query_id"].append(np.full(len(found), own[row]))
-                        out["vec_id"].append(found)
-                        out["score"].append(score)
-        return pa.table({n: pa.array(np.concatenate(c) if c else [], pa.float64() if n == "score" else pa.int64()) for n, c in out.items()})
-
-    # Queries of a leaf are dealt to groups of about QUERY_BLOCK, each meeting every chunk of the leaf.
-    parts = visits.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
-    many = chunks.groupBy("leaf").agg((F.max("chunk") + 1).alias("chunks"))
-    left = chunks.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    right = visits.join(parts, "leaf").join(many, "leaf").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(3)), F.col("parts")))
-    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("leaf", "chunk", "part", "query_id", "q")
-    left = left.select("leaf", F.col("chunk").cast("long").alias("chunk"), F.col("part").cast("long").alias("part"), "ids", "vs")
-    right = right.select("leaf", F.col("chunk").cast("long").alias("chunk"), F.col("part").cast("long").alias("part"), "query_id", "q")
-    keys = ["leaf", "chunk", "part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+def _search(chunks: DataFrame, walks: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best rows of each visited chunk. walks: leaf, own (query ids), qs (their vectors)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(len(part)):
+                ids, x, own, q = (part.column(c)[i].values.to_numpy() for c in range(4))
+                x, q = x.reshape(len(ids), -1), q.reshape(len(own), -1)
+                out = [(np.full(len(found), own[row]), found, score) for row, found, score in best_of(q, own, ids, x, k)]
+                if out:
+                    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    met = chunks.join(walks, "leaf").select("ids", "vs", "own", "qs")
+    return met.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -255,12 +244,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, target: float = TA
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            q = matrix(part.column(1))
-            leaves = [shared.value.order(x, visits) for x in q]
-            at = np.repeat(np.arange(len(q)), [len(x) for x in leaves])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.concatenate(leaves) if leaves else [], pa.int64())], ["query_id", "q", "leaf"])
+            for a in range(0, len(part), QUERY_BLOCK):
+                some = part.slice(a, QUERY_BLOCK)
+                own, q = some.column(0).to_numpy(), matrix(some.column(1))
+                leaves = [shared.value.order(x, visits) for x in q]
+                who, leaf = np.repeat(np.arange(len(q)), [len(x) for x in leaves]), np.concatenate(leaves)
+                # One row for each leaf that some query of the block visits, with all of these queries.
+                groups = [(x, who[leaf == x]) for x in np.unique(leaf)]
+                columns = [pa.array([int(x) for x, _ in groups], pa.int64()), pa.array([own[g] for _, g in groups], pa.list_(pa.int64())), pa.array([q[g].ravel() for _, g in groups], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["leaf", "own", "qs"])
 
     chosen = index.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
-    walks = chosen.mapInArrow(run, "query_id long, q array<double>, leaf long")
+    walks = chosen.mapInArrow(run, "leaf long, own array<bigint>, qs array<double>")
     found = ranked(_search(chunked(index), cut(walks), k), k)
     return found.withColumn("visits", F.lit(visits)).withColumn("calibrated_recall", F.lit(recall))
