@@ -1,13 +1,16 @@
 """Pairwise operators over (idx, features: array<double>): distances, affinities, sigma candidates, silhouettes.
 
-All are quadratic by definition. Pairs are formed once (i < j) as a theta join of row blocks; aggregates over pairs are
-combined before they are shuffled.
+All are quadratic by definition. Pairs are formed once (i < j) by blocks of rows; aggregates over pairs are combined
+before they are shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIGMA_RANGE = (0.01, 0.2)
 #: A candidate of 0 becomes this.
@@ -18,15 +21,43 @@ def squared_distance(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
-def pairs(rows: DataFrame, blocks: int = 16, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(i, j, distance) for i < j, with <extra>_i and <extra>_j. Rows are dealt to blocks; each pair of blocks is joined on its key."""
-    block = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")
-    left = rows.select(F.col("idx").alias("i"), F.col("features").alias("_a"), *[F.col(c).alias(f"{c}_i") for c in extra], block.alias("_p"))
-    right = rows.select(F.col("idx").alias("j"), F.col("features").alias("_b"), *[F.col(c).alias(f"{c}_j") for c in extra], block.alias("_q"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left, right = left.withColumn("_q", F.explode(every)), right.withColumn("_p", F.explode(every))
-    met = left.join(right, ["_p", "_q"]).where("i < j")
-    return met.select("i", "j", F.sqrt(squared_distance("_a", "_b")).alias("distance"), *[f"{c}_{s}" for c in extra for s in "ij"])
+#: Rows of a block of the pairwise join.
+BLOCK_ROWS = 512
+
+
+def pairs(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, distance) for i < j, with <extra>_i and <extra>_j.
+
+    Rows are dealt to blocks of about BLOCK_ROWS; each pair of blocks is one row of a join, its distances one matrix.
+    """
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    kept = rows.select("idx", "features", *extra).withColumn("_p", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
+    fields = ("idx", "features", *extra)
+    packed = kept.groupBy("_p").agg(*[F.array_sort(F.collect_list(F.struct(*fields)))[f].alias(f) for f in fields])
+    left = packed.select(F.col("_p"), *[F.col(f).alias(f"{f}_i") for f in fields]).withColumn("_q", F.explode(F.sequence("_p", F.lit(blocks - 1))))
+    right = packed.select(F.col("_p").alias("_q"), *[F.col(f).alias(f"{f}_j") for f in fields])
+    met = left.join(right, "_q").select("_p", "_q", *[f"{f}_{s}" for s in "ij" for f in fields])
+    kinds = {f.name: "bigint" if isinstance(f.dataType, T.IntegralType) else f.dataType.simpleString() for f in kept.schema.fields}
+    schema = ", ".join([f"i {kinds['idx']}", f"j {kinds['idx']}", "distance double"] + [f"{c}_{s} {kinds[c]}" for c in extra for s in "ij"])
+
+    def run(parts):
+        for part in parts:
+            for row in part.to_pylist():
+                a, b = (np.array(row[f"features_{s}"], float) for s in "ij")
+                i, j = (np.array(row[f"idx_{s}"]) for s in "ij")
+                step = max(1, (1 << 22) // max(b.size, 1))
+                for at in range(0, len(a), step):
+                    far = np.sqrt(((a[at : at + step, None, :] - b[None]) ** 2).sum(2))
+                    x, y = np.nonzero(np.ones_like(far, bool) if row["_p"] != row["_q"] else i[at : at + step, None] < j[None])
+                    u, v = i[at + x], j[y]
+                    turn = u > v
+                    found = {"i": np.where(turn, v, u), "j": np.where(turn, u, v), "distance": far[x, y]}
+                    for c in extra:
+                        mine, other = np.array(row[f"{c}_i"])[at + x], np.array(row[f"{c}_j"])[y]
+                        found |= {f"{c}_i": np.where(turn, other, mine), f"{c}_j": np.where(turn, mine, other)}
+                    yield pa.RecordBatch.from_pydict({k: pa.array(w) for k, w in found.items()})
+
+    return met.repartition(blocks * (blocks + 1) // 2, "_p", "_q").mapInArrow(run, schema)
 
 
 def affinity(rows: DataFrame, sigma: float) -> DataFrame:

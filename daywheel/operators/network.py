@@ -10,6 +10,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,19 +149,21 @@ def train_clusters(samples: DataFrame, horizon: int, units: tuple[int, int] = (3
 
     samples: split, window_index, cluster, features, y_by_lead.
     """
+    empty = pa.schema([("cluster", pa.int32()), ("weights", pa.string()), ("history", pa.string()), ("n_train", pa.int64())]).empty_table()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pandas()
         parts = {s: rows[rows["split"] == s].sort_values("window_index") for s in ("train", "val")}
         x = {s: np.stack(p["features"].to_numpy()) if len(p) else np.empty((0, 0)) for s, p in parts.items()}
         y = {s: np.stack(p["y_by_lead"].to_numpy()) if len(p) else np.empty((0, horizon)) for s, p in parts.items()}
         if not len(x["train"]):
-            return pd.DataFrame({"cluster": [], "weights": [], "history": [], "n_train": []})
+            return empty
         net = GatedNetwork(x["train"].shape[1], horizon, units, seed=int(options.get("seed", 42)))
         settings = {k: v for k, v in options.items() if k != "seed"}
         history = net.fit(x["train"], y["train"], x["val"], y["val"], **settings)
-        return pd.DataFrame({"cluster": [int(rows["cluster"].iloc[0])], "weights": [net.dump()], "history": [json.dumps(history)], "n_train": [len(x["train"])]})
+        return pa.table([[int(rows["cluster"].iloc[0])], [net.dump()], [json.dumps(history)], [len(x["train"])]], schema=empty.schema)
 
-    return samples.select("split", "window_index", "cluster", "features", "y_by_lead").groupBy("cluster").applyInPandas(run, MODEL_SCHEMA)
+    return samples.select("split", "window_index", "cluster", "features", "y_by_lead").groupBy("cluster").applyInArrow(run, MODEL_SCHEMA)
 
 
 def predict(samples: DataFrame, models: DataFrame, ids: list[str], horizon: int, units: tuple[int, int] = (32, 16), every: bool = False) -> DataFrame:
