@@ -50,7 +50,7 @@ def bin_count(values: DataFrame, column: str = "y") -> DataFrame:
 def bin_edges(values: DataFrame, column: str = "y") -> DataFrame:
     """(edge_index, edge)."""
     rows = bin_count(values, column).select("n_bins", "top", F.explode(F.sequence(F.lit(0), F.col("n_bins"))).alias("edge_index"))
-    return rows.select("edge_index", (F.col("top") / F.col("n_bins") * F.col("edge_index")).alias("edge"))
+    return rows.select("edge_index", F.when(F.col("edge_index") == F.col("n_bins"), F.col("top")).otherwise(F.col("top") / F.col("n_bins") * F.col("edge_index")).alias("edge"))
 
 
 def histogram(values: DataFrame, keys: tuple[str, ...], column: str = "y", bins: DataFrame | None = None) -> DataFrame:

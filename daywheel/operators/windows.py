@@ -132,9 +132,9 @@ def compressed_positions(rows: DataFrame, max_gap: int = 10, index: str = "windo
     rows = rows.withColumn("_gap", gap)
     if check and rows.where("_gap <= 0").limit(1).count():
         raise ValueError("indices must increase strictly")
-    first = F.first(index).over(order)
-    position = first + F.coalesce(F.sum(F.least("_gap", F.lit(max_gap))).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return rows.withColumn("position", position - first).withColumn("after_gap", F.coalesce(F.col("_gap") > max_gap, F.lit(False))).drop("_gap")
+    shown = F.when(F.col("_gap").isNotNull(), F.least("_gap", F.lit(max_gap)))
+    position = F.coalesce(F.sum(shown).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return rows.withColumn("position", position).withColumn("after_gap", F.coalesce(F.col("_gap") > max_gap, F.lit(False))).drop("_gap")
 
 
 def parts(rows: DataFrame, n: int, index: str = "window_index", keys: tuple[str, ...] = KEYS) -> DataFrame:

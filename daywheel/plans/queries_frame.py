@@ -184,7 +184,7 @@ def w12(spark, sf_dir):
     return windows.window_stats(base.filled(spark, sf_dir), "rain", WINDOW)
 
 
-@query("w13_compressed_axis", "station_id:s window_index:i position:i after_gap:b", "SELECT station_id, window_index, coalesce(sum(least(gap, 10)) OVER (PARTITION BY station_id ORDER BY window_index ROWS UNBOUNDED PRECEDING), 0) AS position, coalesce(gap > 10, false) AS after_gap FROM (SELECT *, window_index - lag(window_index) OVER (PARTITION BY station_id ORDER BY window_index) AS gap FROM samples WHERE wsum > 20)", CTES)
+@query("w13_compressed_axis", "station_id:s window_index:i position:i after_gap:b", "SELECT station_id, window_index, coalesce(sum(CASE WHEN gap IS NOT NULL THEN least(gap, 10) END) OVER (PARTITION BY station_id ORDER BY window_index ROWS UNBOUNDED PRECEDING), 0) AS position, coalesce(gap > 10, false) AS after_gap FROM (SELECT *, window_index - lag(window_index) OVER (PARTITION BY station_id ORDER BY window_index) AS gap FROM samples WHERE wsum > 20)", CTES)
 def w13(spark, sf_dir):
     return windows.compressed_positions(base.samples(spark, sf_dir).where("wsum > 20"), 10)
 

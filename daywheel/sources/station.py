@@ -75,7 +75,8 @@ def load_station(spark: SparkSession, state: str, station: str, root: str, colum
     wanted = columns or (RAW_DATE, *MEAN_MEASURES, *SUM_MEASURES)
     raw = spark.read.csv(files[0], sep=";", header=True, nullValue="", inferSchema=False)
     raw = raw.select(*[c for c in raw.columns if c in wanted])
-    raw = raw.withColumn(DATE, parsed_date(F.col(RAW_DATE))).where(F.col(DATE).isNotNull()).drop(RAW_DATE)
+    # Names are case-insensitive: the raw date column is replaced, not added to.
+    raw = raw.select(parsed_date(F.col(RAW_DATE)).alias(DATE), *[c for c in raw.columns if c != RAW_DATE]).where(F.col(DATE).isNotNull())
     raw = fill_missing(normalize_decimals(raw)).withColumn(STATION, F.lit(station))
     return resample_daily(raw).withColumn("state", F.lit(state))
 
