@@ -368,3 +368,37 @@ def r06b(spark, sf_dir):
 def r07(spark, sf_dir):
     own = base.model_predictions(spark, sf_dir).where("model = test_cluster").select("idx", "actual")
     return routing.aligned(own, base.selected(spark, sf_dir), "RMSE")
+
+
+@query("r02_metric_winners", "metric:s test_cluster:i selected_model_cluster:i n:i", "SELECT metric, test_cluster, selected_model_cluster, count(*) AS n FROM selected GROUP BY ALL", ROUTES)
+def r02(spark, sf_dir):
+    return base.selected(spark, sf_dir).groupBy("metric", "test_cluster", "selected_model_cluster").agg(F.count("*").alias("n"))
+
+
+def _windowed_sigmas(rows: str, width: int) -> str:
+    cells = f"list([(tmax - m) / s, (radiation - rm) / rs]) OVER (ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND {width - 1} FOLLOWING)"
+    scale = f"(SELECT avg(tmax) AS m, stddev_pop(tmax) AS s, avg(radiation) AS rm, stddev_pop(radiation) AS rs FROM {rows})"
+    return f"""win AS (SELECT * FROM (SELECT row_idx AS i, flatten({cells}) AS f FROM {rows}, {scale}) WHERE len(f) = {2 * width}),
+ordered AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM (SELECT list_distance(a.f, b.f) AS d FROM win a JOIN win b ON a.i < b.i)),"""
+
+
+@query("c16_sigma_full_frame", "k:i sigma:d4", _sigmas_sql(20, 0.01, 0.2), base.CTES_ALL + _windowed_sigmas("filled_all", 5))
+def c16(spark, sf_dir):
+    rows = base.filled(spark, sf_dir, False)
+    return _window_sigmas(scaling.apply(rows, scaling.fit(rows, ["tmax", "radiation"], "standard"), ["tmax", "radiation"]), 5)
+
+
+@query("c17_sigma_train_features", "k:i sigma:d4", _sigmas_sql(20, 0.01, 0.2), base.CTES_ALL + "tr AS (SELECT * FROM split_all WHERE split = 'train')," + _windowed_sigmas("tr", 4))
+def c17(spark, sf_dir):
+    rows = scaling.scale_split(base.split(spark, sf_dir, False), ["tmax", "radiation"], "standard", None, "rain").where("split = 'train'")
+    return _window_sigmas(rows, 4)
+
+
+def _window_sigmas(rows, width):
+    found = windows.sliding(rows, width, ["tmax", "radiation"]).select(F.col("window_index").alias("idx"), windows.flat(F.col("win")).alias("features"))
+    return distance.sigma_candidates(distance.pairs(found).cache())
+
+
+@query("a19_metrics_by_cluster_and_lead", "cluster:i lead_day:i n:i " + MEASURES, f"SELECT cluster, lead_day, count(*) AS n, {metrics_sql('actual', 'predicted')} FROM long WHERE split = 'test' GROUP BY cluster, lead_day", LONG)
+def a19(spark, sf_dir):
+    return metrics.by(base.long_table(spark, sf_dir).where("split = 'test'"), "cluster", "lead_day")

@@ -240,3 +240,17 @@ def k04(spark, sf_dir):
     rows = base.samples(spark, sf_dir)
     every = rows.where("split = 'train'").unionByName(rows.where("split = 'val'")).unionByName(rows.where("split = 'test'"))
     return every.groupBy("split").agg(F.count("*").alias("n"), F.min("window_index").alias("first"), F.max("window_index").alias("last"))
+
+
+@query("w07_lead_days", "station_id:s window_index:i first_day:t last_day:t y_by_lead:a6", "SELECT station_id, row_idx AS window_index, lead(\"Data\", 7) OVER w AS first_day, lead(\"Data\", 9) OVER w AS last_day, [lead(rain, 7) OVER w, lead(rain, 8) OVER w, lead(rain, 9) OVER w] AS y_by_lead FROM filled WINDOW w AS (PARTITION BY station_id ORDER BY row_idx) QUALIFY lead(row_idx, 9) OVER w IS NOT NULL", CTES)
+def w07(spark, sf_dir):
+    over = windows.by_row()
+    rows = base.filled(spark, sf_dir).select("station_id", F.col("row_idx").alias("window_index"), windows.lead_days(F.col("rain"), WINDOW, HORIZON, over).alias("y_by_lead"), windows.lead_days(F.col("Data"), WINDOW, HORIZON, over).alias("dates"))
+    rows = rows.where(frame.all_known(F.col("y_by_lead")))
+    return rows.withColumn("first_day", F.col("dates")[0]).withColumn("last_day", F.col("dates")[HORIZON - 1])
+
+
+@query("w07b_events_without_window", "station_id:s n:i", "SELECT station_id, count(*) AS n FROM events_of e ANTI JOIN (SELECT station_id, \"Data\" + 1 AS d FROM filled WHERE row_idx >= 1200) f ON f.station_id = e.station_id AND f.d = e.event_date GROUP BY 1", CTES + EVENTS)
+def w07b(spark, sf_dir):
+    ends = base.filled(spark, sf_dir).where(F.col("row_idx") >= 1200).select("station_id", F.date_add("Data", 1).alias("event_date"))
+    return top_days(spark, sf_dir).join(ends, ["station_id", "event_date"], "left_anti").groupBy("station_id").agg(F.count("*").alias("n"))

@@ -155,3 +155,16 @@ def st01(spark, sf_dir):
 @query("st02_streaming_sliding", "event_type:s day:t n:i total:d4", "SELECT event_type, d::DATE AS day, count(*) AS n, sum(value) AS total FROM (SELECT event_type, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 2 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS d FROM events) GROUP BY ALL")
 def st02(spark, sf_dir):
     return streaming_daily.run_sliding(spark, sf_dir)
+
+
+@query("c21_eigengap_by_window", "window:i k:i gap:d6 best:b")
+def c21(spark, sf_dir):
+    """Gaps of the train windows of the whole company's series, for several window sizes."""
+    from ..operators import scaling, windows
+
+    rows = scaling.scale_split(base.split(spark, sf_dir, False), ["radiation"], "standard", None, "rain").where("split = 'train' and row_idx < 400")
+    parts = []
+    for w in (3, 5):
+        found = windows.sliding(rows, w, ["radiation"]).select(F.col("window_index").alias("idx"), windows.flat(F.col("win")).alias("features"))
+        parts.append(cluster.eigengap_table(found, [1.0], 8).withColumn("window", F.lit(w)))
+    return parts[0].unionByName(parts[1])
