@@ -39,7 +39,15 @@ def _log_likelihood(y: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[
     r[0] = 1
     r[1 : len(theta) + 1] = theta
     rr = np.outer(r, r)
-    p = np.linalg.solve(np.eye(m * m) - np.kron(a, a), rr.ravel()).reshape(m, m)
+    # The stationary covariance, by doubling: p = sum of a^k rr a'^k.
+    p, power = rr, a
+    for _ in range(60):
+        more = power @ p @ power.T
+        p, power = p + more, power @ power
+        if np.abs(more).max() <= 1e-15 * np.abs(p).max():
+            break
+    if not np.isfinite(p).all():
+        raise np.linalg.LinAlgError("not stationary")
     state, total, logs, settled, f = np.zeros(m), 0.0, 0.0, False, 1.0
     gain = np.zeros(m)
     n = len(y)
