@@ -5,17 +5,25 @@ Rows are (idx, features: array<double>, ...). Labels are columns; fitted state i
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable, Generator
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distance import affinity, centroids, normalized, squared_distance
+from .distance import BLOCK_ROWS, affinity, centroids, normalized, squared_distance
 
 N_INIT, SEED = 10, 42
 #: Up to so many rows an affinity matrix is decomposed on the driver.
 DENSE_ROWS = 4096
+#: Products with the affinity before an iteration is reported as not converged, and the residual it must reach.
+TURNS, RESIDUAL = 300, 1e-6
+#: Numbers of all bases held on the driver for sigmas that are iterated together.
+SIGMA_NUMBERS = 1 << 24
+NO_EDGES = "degenerate affinity: no edges"
 
 
 def nearest(rows: DataFrame, centres: DataFrame) -> DataFrame:
@@ -98,12 +106,12 @@ def train_centroids(train: DataFrame, k: int, label: str = "cluster") -> DataFra
 
 def embedding(rows: DataFrame, sigma: float, k: int) -> tuple[list[int], np.ndarray, np.ndarray]:
     """(idx, row-normalised top-k eigenvectors, eigenvalues) of the normalised affinity; rows of zeros stay."""
-    edges = normalized(affinity(rows, sigma))
     idx = [r.idx for r in rows.select("idx").orderBy("idx").collect()]
     n = len(idx)
     if not 0 < k <= n:
         raise ValueError("k must lie between 1 and the number of rows")
     if n <= DENSE_ROWS:
+        edges = normalized(affinity(rows, sigma))
         at = {v: i for i, v in enumerate(idx)}
         found = edges.toArrow()
         i = np.fromiter((at[v] for v in found.column("i").to_pylist()), np.int64, len(found))
@@ -113,7 +121,9 @@ def embedding(rows: DataFrame, sigma: float, k: int) -> tuple[list[int], np.ndar
         values, vectors = np.linalg.eigh(matrix)
         values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
     else:
-        values, vectors = subspace(edges, idx, k)
+        [(values, vectors, short)] = block_spectra(rows, [sigma], k)
+        if short:
+            raise ArithmeticError(short)
     vectors = signed(vectors)
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     return idx, np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0), values
@@ -125,29 +135,125 @@ def signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(top < 0, -1.0, 1.0)
 
 
-def subspace(edges: DataFrame, idx: list[int], k: int, turns: int = 60, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """Top eigenpairs by block subspace iteration: the product with the matrix is a grouped sum, only n x k numbers meet on the driver."""
-    spark, n = edges.sparkSession, len(idx)
-    at = {v: i for i, v in enumerate(idx)}
-    both = edges.union(edges.select("j", "i", "w")).persist()
-    q, _ = np.linalg.qr(np.random.default_rng(0).normal(size=(n, k + 4)))
-    old = np.zeros(k)
+def _leading(n: int, k: int, turns: int, tol: float, seed: int = 0) -> Generator[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, str]]:
+    """Top k eigenpairs of a symmetric n x n matrix: yields blocks, is sent the matrix's products with them; returns (values, vectors, why not converged).
+
+    Block Lanczos with full orthogonalisation, restarted from the leading Ritz vectors. It ends when the residuals of all
+    k pairs, which bound the errors of the values, are under tol.
+    """
+    width = min(n, k + 4)
+    limit = min(n, 12 * width)
+    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))
+    basis, images, far = np.empty((n, 0)), np.empty((n, 0)), np.inf
     for _ in range(turns):
-        side = spark.createDataFrame([(v, q[i].tolist()) for v, i in at.items()], "j long, q array<double>")
-        parts = both.join(F.broadcast(side), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col("q")[c]).alias(f"y{c}") for c in range(q.shape[1])])
-        y = np.zeros_like(q)
-        for r in parts.toLocalIterator():
-            y[at[r[0]]] = r[1:]
-        small = q.T @ y
+        y = yield q
+        basis, images = np.hstack([basis, q]), np.hstack([images, y])
+        small = basis.T @ images
         values, turn = np.linalg.eigh((small + small.T) / 2)
-        # A shift keeps the largest, not the largest in magnitude, in front.
-        q, _ = np.linalg.qr(y @ turn[:, ::-1] + q @ turn[:, ::-1])
-        values = values[::-1][:k]
-        if np.abs(values - old).max() < tol:
-            break
-        old = values
+        values, turn = values[::-1], turn[:, ::-1]
+        vectors = basis @ turn[:, :k]
+        far = float(np.linalg.norm(images @ turn[:, :k] - vectors * values[:k], axis=0).max())
+        if far < tol or basis.shape[1] == n:
+            return values[:k], vectors, ""
+        for _ in range(2):
+            y = y - basis @ (basis.T @ y)
+        u, size, _ = np.linalg.svd(y, full_matrices=False)
+        q = u[:, size > 1e-12][:, : n - basis.shape[1]]
+        if not q.shape[1]:  # the blocks span an invariant subspace: go on from another start outside it
+            q = np.random.default_rng(seed + basis.shape[1]).normal(size=(n, min(width, n - basis.shape[1])))
+        for _ in range(2):
+            q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
+        # Not before q: it has to be orthogonal to what is let go as well.
+        if basis.shape[1] + width > limit and limit < n:
+            kept = turn[:, : limit // 2]
+            basis, images = basis @ kept, images @ kept
+    return values[:k], vectors, f"not converged: residual {far:.1e} after {turns} products"
+
+
+def subspace(edges: DataFrame, idx: list[int], k: int, turns: int = TURNS, tol: float = RESIDUAL) -> tuple[np.ndarray, np.ndarray]:
+    """Top eigenpairs by block iteration: the product with the matrix is a grouped sum, only n x k numbers meet on the driver."""
+    spark = edges.sparkSession
+    at = {v: i for i, v in enumerate(idx)}
+    both = edges.union(edges.select("j", "i", "w")).persist()
+    run, y = _leading(len(idx), k, turns, tol), None
+    try:
+        while True:
+            q = run.send(y)
+            side = spark.createDataFrame([(v, q[i].tolist()) for v, i in at.items()], "j long, q array<double>")
+            parts = both.join(F.broadcast(side), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col("q")[c]).alias(f"y{c}") for c in range(q.shape[1])])
+            y = np.zeros_like(q)
+            for r in parts.toLocalIterator():
+                y[at[r[0]]] = r[1:]
+    except StopIteration as end:
+        values, vectors, short = end.value
     both.unpersist()
-    return old, q[:, :k]
+    if short:
+        warnings.warn(short, stacklevel=2)
+    return values, vectors
+
+
+def block_spectra(rows: DataFrame, sigmas: list[float], k: int, turns: int = TURNS, tol: float = RESIDUAL) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """(top k eigenvalues, vectors, why not) of the normalised affinity at each sigma, rows in order of idx.
+
+    The matrix is never held: each product computes it anew, a pair of blocks of BLOCK_ROWS at a time, once for all sigmas.
+    What grows on the driver and the workers is the features and n x k numbers. Without edges the values are 0.
+    """
+    sc = rows.sparkSession.sparkContext
+    table = rows.select("idx", "features").toArrow().sort_by("idx")
+    x = np.asarray(table.column("features").combine_chunks().flatten(), np.float64).reshape(len(table), -1)
+    n, size = len(x), BLOCK_ROWS
+    shared = sc.broadcast(x)
+    blocks = -(-n // size)
+    deal = sc.parallelize([(p, q) for p in range(blocks) for q in range(p, blocks)], min(2 * sc.defaultParallelism, blocks * (blocks + 1) // 2))
+
+    def sums(sides: dict[float, np.ndarray]) -> dict[float, np.ndarray]:
+        """The affinity at each sigma times its side."""
+        sent = sc.broadcast(sides)
+
+        def run(pairs):
+            x, sides = shared.value, sent.value
+            length = (x * x).sum(1)
+            out = {s: np.zeros_like(q) for s, q in sides.items()}
+            for p, q in pairs:
+                a, b = (slice(i * size, (i + 1) * size) for i in (p, q))
+                far = np.maximum(length[a, None] + length[b] - 2 * (x[a] @ x[b].T), 0)
+                for s, side in sides.items():
+                    w = np.exp(far * (-0.5 / s**2))
+                    if p == q:
+                        np.fill_diagonal(w, 0)
+                    else:
+                        out[s][b] += w.T @ side[a]
+                    out[s][a] += w @ side[b]
+            yield out
+
+        try:
+            return deal.mapPartitions(run).treeReduce(lambda u, v: {s: u[s] + v[s] for s in u})
+        finally:
+            sent.destroy()
+
+    found: dict[float, tuple[np.ndarray, np.ndarray, str]] = {}
+    together = max(1, SIGMA_NUMBERS // (n * 24 * (k + 4)))
+    for at in range(0, len(sigmas), together):
+        part = sigmas[at : at + together]
+        degree = sums({s: np.ones((n, 1)) for s in part})
+        root = {s: np.divide(1, np.sqrt(d), out=np.zeros_like(d), where=d > 0) for s, d in degree.items()}
+        runs, sides = {}, {}
+        for s in part:
+            if degree[s].any():
+                runs[s] = _leading(n, k, turns, tol)
+                sides[s] = next(runs[s])
+            else:
+                found[s] = np.zeros(k), np.zeros((n, k)), NO_EDGES
+        while sides:
+            got = sums({s: root[s] * q for s, q in sides.items()})
+            sides = {}
+            for s, y in got.items():
+                try:
+                    sides[s] = runs[s].send(root[s] * y)
+                except StopIteration as end:
+                    found[s] = end.value
+    shared.destroy()
+    return [found[s] for s in sigmas]
 
 
 def spectral(rows: DataFrame, sigma: float, k: int, seed: int = SEED) -> DataFrame:
@@ -227,25 +333,55 @@ def eigengaps(features: np.ndarray, sigma: float, max_gaps: int = 20) -> dict:
     np.fill_diagonal(w, 0)
     degree = w.sum(1)
     if not (w > 0).any():
-        return {"sigma": sigma, "eigenvalues": [0.0] * (count + 1), "gaps": [0.0] * count, "best_k": None, "best_gap": None, "warning": "degenerate affinity: no edges"}
+        return {"sigma": sigma, "eigenvalues": [0.0] * (count + 1), "gaps": [0.0] * count, "best_k": None, "best_gap": None, "warning": NO_EDGES}
     root = np.divide(1, np.sqrt(degree), out=np.zeros(n), where=degree > 0)
     values = np.linalg.eigvalsh(root[:, None] * w * root)[::-1][: count + 1]
     found, best, gap, warning = gaps(values, max_gaps)
     return {"sigma": sigma, "eigenvalues": values.tolist(), "gaps": found, "best_k": best, "best_gap": gap, "warning": warning}
 
 
+def row_eigengaps(rows: DataFrame, sigmas: list[float], max_gaps: int = 20) -> list[dict]:
+    """As eigengaps, of any number of rows at each sigma: dense, a task per sigma, up to DENSE_ROWS, else block by block.
+
+    Where the block iteration doesn't converge, values and gaps are 0 and the warning says so.
+    """
+    n = rows.count()
+    if n <= DENSE_ROWS:
+        sc = rows.sparkSession.sparkContext
+        shared = sc.broadcast(np.array([r.features for r in rows.orderBy("idx").select("features").collect()]))
+        return sc.parallelize([float(s) for s in sigmas], len(sigmas)).map(lambda s: eigengaps(shared.value, s, max_gaps)).collect()
+    if any(s <= 0 for s in sigmas):
+        raise ValueError("sigma must be positive")
+    out, count = [], min(max_gaps, n - 1)
+    for sigma, (values, _, short) in zip(sigmas, block_spectra(rows, [float(s) for s in sigmas], count + 1), strict=True):
+        if short:
+            out.append({"sigma": sigma, "eigenvalues": [0.0] * (count + 1), "gaps": [0.0] * count, "best_k": None, "best_gap": None, "warning": short})
+            continue
+        found, best, gap, warning = gaps(values, max_gaps)
+        out.append({"sigma": sigma, "eigenvalues": values.tolist(), "gaps": found, "best_k": best, "best_gap": gap, "warning": warning})
+    return out
+
+
 def best_sigma(features: np.ndarray, low: float, high: float, points: int = 40, budget: int = 300, max_gaps: int = 20) -> dict:
     """The sigma of the largest eigengap: evenly spaced scouts, then a golden-section search between the best one's neighbours."""
-    seen: dict[float, dict] = {}
+    return _search(lambda sigmas: [eigengaps(features, s, max_gaps) for s in sigmas], low, high, points, budget)
+
+
+def best_row_sigma(rows: DataFrame, low: float, high: float, points: int = 40, budget: int = 300, max_gaps: int = 20) -> dict:
+    """As best_sigma, of any number of rows: scouts are evaluated together, then one sigma after the other."""
+    return _search(lambda sigmas: row_eigengaps(rows, sigmas, max_gaps), low, high, points, budget)
+
+
+def _search(evaluate: Callable[[list[float]], list[dict]], low: float, high: float, points: int, budget: int) -> dict:
+    scouts = [float(s) for s in np.linspace(low, high, max(1, min(points, budget)))]
+    todo = list(dict.fromkeys(scouts))
+    seen: dict[float, dict] = dict(zip(todo, evaluate(todo), strict=True))
 
     def value(sigma: float) -> float:
         if sigma not in seen:
-            seen[sigma] = eigengaps(features, sigma, max_gaps)
+            [seen[sigma]] = evaluate([sigma])
         return seen[sigma]["best_gap"] or 0.0
 
-    scouts = [float(s) for s in np.linspace(low, high, max(1, min(points, budget)))]
-    for s in scouts:
-        value(s)
     top = max(range(len(scouts)), key=lambda i: value(scouts[i]))
     a, b = scouts[max(top - 1, 0)], scouts[min(top + 1, len(scouts) - 1)]
     ratio = (np.sqrt(5) - 1) / 2
@@ -263,11 +399,15 @@ def best_sigma(features: np.ndarray, low: float, high: float, points: int = 40,
 
 
 def eigengap_table(rows: DataFrame, sigmas: list[float], max_gaps: int = 20) -> DataFrame:
-    """(sigma, k, gap, best): gaps of the rows at each sigma; sigmas are parallel tasks over a broadcast, bounded matrix."""
+    """(sigma, k, gap, best): gaps of the rows at each sigma; up to DENSE_ROWS rows sigmas are parallel tasks over a broadcast matrix, beyond that see block_spectra."""
     n = rows.count()
-    if n > DENSE_ROWS:
-        raise ValueError(f"at most {DENSE_ROWS} rows can be decomposed densely")
     spark = rows.sparkSession
+    if n > DENSE_ROWS:
+        found = row_eigengaps(rows, merged_sigmas(sigmas), max_gaps)
+        for got in found:
+            if got["warning"]:
+                warnings.warn(f"sigma {got['sigma']:g}: {got['warning']}", stacklevel=2)
+        return spark.createDataFrame([(got["sigma"], k, float(gap), got["best_k"] == k) for got in found for k, gap in enumerate(got["gaps"], 1)], "sigma double, k int, gap double, best boolean")
     x = np.array([r.features for r in rows.orderBy("idx").select("features").collect()])
     shared = spark.sparkContext.broadcast(x)
 

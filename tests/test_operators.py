@@ -94,6 +94,33 @@ def test_spectral_and_eigengap(spark):
     assert loose == pytest.approx(values[:2], abs=1e-3)
 
 
+def test_eigengaps_beyond_the_dense_size(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.4, size=(60, 3)) for c in (0, 2, 4)])
+    rows = points(spark, x)
+    dense = cluster.embedding(rows, 0.7, 3)
+    monkeypatch.setattr(cluster, "DENSE_ROWS", 50)
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 64)
+    found = {(r.sigma, r.k): r for r in cluster.eigengap_table(rows, [0.3, 0.7], 6).collect()}
+    assert len(found) == 12
+    for sigma in (0.3, 0.7):
+        want = cluster.eigengaps(x, sigma, 6)
+        for k, gap in enumerate(want["gaps"], 1):
+            assert found[sigma, k].gap == pytest.approx(gap, abs=1e-8) and found[sigma, k].best == (want["best_k"] == k)
+    idx, vectors, values = cluster.embedding(rows, 0.7, 3)
+    assert values == pytest.approx(dense[2], abs=1e-8) and vectors == pytest.approx(dense[1], abs=1e-4)
+    assert cluster.row_eigengaps(rows, [1e-12], 6)[0]["warning"] == cluster.NO_EDGES
+    whole, blocks = cluster.best_sigma(x, 0.3, 1.0, points=4, budget=8), cluster.best_row_sigma(rows, 0.3, 1.0, points=4, budget=8)
+    assert (whole["sigma"], whole["best_k"]) == (pytest.approx(blocks["sigma"], abs=1e-9), blocks["best_k"])
+
+
+def test_an_iteration_tells_that_it_did_not_converge(spark):
+    y = np.random.default_rng(1).normal(size=(60, 2))
+    edges = distance.normalized(distance.affinity(points(spark, y), 0.3))
+    with pytest.warns(UserWarning, match="not converged"):
+        cluster.subspace(edges, list(range(60)), 2, turns=1)
+
+
 def test_pca(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 4)) * [5, 2, 0.5, 0.1]
