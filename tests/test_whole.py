@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from daywheel.operators import cluster
 from daywheel.plans import base, catalog
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -18,3 +19,16 @@ def test_arma_fits_take_all_train_days(spark):
     days = train_days(spark)
     found = catalog.queries()["m08_arma_fits"](spark, SF_DIR).collect()
     assert days > 400 and {(r.p, r.q, r.n) for r in found} == {(1, 0, days), (2, 1, days)}
+
+
+def test_eigengaps_by_window_take_all_train_days(spark, monkeypatch):
+    seen, table = [], cluster.eigengap_table
+
+    def counted(rows, sigmas, max_gaps):
+        seen.append(rows.count())
+        return table(rows.limit(20), sigmas, max_gaps)
+
+    monkeypatch.setattr(cluster, "eigengap_table", counted)
+    catalog.queries()["c21_eigengap_by_window"](spark, SF_DIR)
+    days = train_days(spark)
+    assert seen == [days - 2, days - 4]
