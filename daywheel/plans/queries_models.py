@@ -101,8 +101,7 @@ def c19(spark, sf_dir):
 
 @query("c20_best_sigma", "sigma:d6 best_k:i best_gap:d6 evaluations:i")
 def c20(spark, sf_dir):
-    rows = adapters.features(spark, sf_dir).where("label < 3").orderBy("idx").select("features").collect()
-    found = cluster.best_sigma([r.features for r in rows], 0.1, 1.0, points=8, budget=14, max_gaps=8)
+    found = cluster.best_row_sigma(adapters.features(spark, sf_dir), 0.1, 1.0)
     return spark.createDataFrame([(float(found["sigma"]), found["best_k"], found["best_gap"], found["evaluations"])], "sigma double, best_k int, best_gap double, evaluations int")
 
 

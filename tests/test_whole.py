@@ -2,10 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from daywheel.operators import cluster
 from daywheel.plans import base, catalog
+from daywheel.sources import adapters
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -32,3 +34,11 @@ def test_eigengaps_by_window_take_all_train_days(spark, monkeypatch):
     catalog.queries()["c21_eigengap_by_window"](spark, SF_DIR)
     days = train_days(spark)
     assert seen == [days - 2, days - 4]
+
+
+def test_best_sigma_searches_all_embeddings(spark):
+    x = np.array([r.features for r in adapters.features(spark, SF_DIR).orderBy("idx").collect()])
+    want = cluster.best_sigma(x, 0.1, 1.0)
+    got = catalog.queries()["c20_best_sigma"](spark, SF_DIR).first()
+    assert (got.sigma, got.best_k, got.evaluations) == (pytest.approx(want["sigma"], abs=1e-5), want["best_k"], want["evaluations"])
+    assert got.evaluations > 40 and got.best_gap == pytest.approx(want["best_gap"], abs=1e-6)
