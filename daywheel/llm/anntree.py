@@ -217,7 +217,9 @@ def calibrate(index: DataFrame, tree: Tree, k: int, target: float = TARGET, quer
     """(leaves to visit, recall of the calibration queries at that many)."""
     n = index.count()
     part = min(1.0, 2 * queries / max(n, 1))
-    some = index.where(F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(1 << 30)) < int(part * (1 << 30))).select("vec_id", "v").dropDuplicates(["vec_id"]).orderBy("vec_id").limit(queries).toArrow()
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(1 << 30))
+    # In the order of the draw, not of the id, so that the limit leaves queries from all over the ids.
+    some = index.where(drawn < int(part * (1 << 30))).select("vec_id", "v").dropDuplicates(["vec_id"]).orderBy(drawn, "vec_id").limit(queries).toArrow()
     if not len(some):
         return tree.leaves, 1.0
     q, own = matrix(some.column("v").combine_chunks()), some.column("vec_id").to_numpy()

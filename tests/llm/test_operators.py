@@ -309,6 +309,15 @@ def test_nearest(spark):
     assert few.count() == 2
 
 
+def test_calibration_covers_all_ids(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(1000, 4)).astype(np.float32)
+    x[:500] = x[0]
+    picked, exact = [], anntree.exact
+    monkeypatch.setattr(anntree, "exact", lambda rows, q, own, k: picked.extend(own.tolist()) or exact(rows, q, own, k))
+    anntree.search(vectors(spark, [(i, v.tolist(), 0, None, None) for i, v in enumerate(x)]), F.col("vec_id") == 0, k=5)
+    assert len(picked) == anntree.CALIBRATION and 0.35 < np.mean(np.array(picked) >= 500) < 0.65
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows, labels = [], []
