@@ -73,7 +73,7 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def membership(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, node) of each row; node, the hash of the set, is null without tokens."""
+    """(doc_id, n, node, __nj_text) of each row; node, the hash of the set, is null without tokens; __nj_text tells rows of one doc_id apart."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -81,9 +81,9 @@ def membership(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for _, tokens in _sets(part.column(1).to_pylist(), width):
                 n.append(len(tokens))
                 node.append(_node(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(node, pa.int64())], ["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(node, pa.int64()), part.column(2)], ["doc_id", "n", "node", "__nj_text"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, node long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("__nj_text")).mapInArrow(run, "doc_id long, n int, node long, __nj_text long")
 
 
 def tokens(docs: DataFrame, width: int = WIDTH, part: float = 1.0) -> DataFrame:
@@ -341,6 +341,11 @@ def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (columns doc_id and text are read)."""
+    return _classed(docs, width).drop("__nj_text")
+
+
+def _classed(docs: DataFrame, width: int) -> DataFrame:
+    """As join, with __nj_text."""
     docs = docs.select("doc_id", "text")
     text_batches(docs.sparkSession)
     rows = cut(membership(docs, width))
@@ -354,16 +359,16 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = rows.join(side, "node", "left").withColumn("class", F.coalesce("label", "node"))
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "class", "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "__nj_text")
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with one document of each class: the one of smallest doc_id; rows without tokens and with null ids stay."""
-    found = cut(join(docs, width))
-    dropped = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("__nj_id")).distinct())
+    found = cut(_classed(docs, width))
+    dropped = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("__nj_id"), "__nj_text").distinct())
     twice = cut(found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select(F.col("doc_id").alias("__nj_id")))
-    side, _ = small_side(dropped, 16)
-    rows = docs.join(side, docs["doc_id"] == side["__nj_id"], "left_anti")
+    side, _ = small_side(dropped, 32)
+    rows = docs.join(side, (docs["doc_id"] == side["__nj_id"]) & (F.xxhash64(docs["text"]) == side["__nj_text"]), "left_anti")
     if not twice.limit(1).count():
         return rows
     again, _ = small_side(twice, 16)

@@ -85,6 +85,12 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.join(docs(spark, [])).count() == 0
 
 
+def test_a_repeated_id_loses_only_the_row_that_is_a_copy(spark):
+    copied, clean = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    got = jaccard.deduplicate(docs(spark, [(1, copied), (5, copied), (5, clean)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, copied), (5, clean)]
+
+
 def test_jaccard_long_text(spark):
     rng = random.Random(3)
     long = " ".join(f"t{rng.randrange(10**6)}" for _ in range(300_000))
