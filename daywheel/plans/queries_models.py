@@ -85,7 +85,7 @@ def k03(spark, sf_dir):
 @query("c01_kmeans", "cluster:i n:i")
 def c01(spark, sf_dir):
     rows = adapters.features(spark, sf_dir)
-    return cluster.nearest(rows, cluster.kmeans(rows, 3, n_init=3)[0]).groupBy("cluster").agg(F.count("*").alias("n"))
+    return cluster.nearest(rows, cluster.kmeans(rows, 3)[0]).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query("c02_spectral", "cluster:i n:i")
@@ -126,8 +126,8 @@ def f10(spark, sf_dir):
 def m01(spark, sf_dir):
     rows = base.samples(spark, sf_dir, False).drop("predicted", "yhat_by_lead")
     scaled = rows.withColumn("features", F.transform("features", lambda x: F.signum(x) * F.log1p(F.abs(x)) / 10))
-    models = network.train_clusters(scaled, base.HORIZON, units=(16, 8), epochs=30, patience=8)
-    found = network.predict(scaled.where("split = 'test'"), models, ["window_index"], base.HORIZON, units=(16, 8))
+    models = network.train_clusters(scaled, base.HORIZON)
+    found = network.predict(scaled.where("split = 'test'"), models, ["window_index"], base.HORIZON)
     both = rows.where("split = 'test'").join(found, "window_index").withColumn("predicted", F.col("yhat_by_lead")[base.HORIZON - 1])
     return metrics.by(both, "cluster", actual="y")
 
@@ -136,7 +136,7 @@ def m01(spark, sf_dir):
 def m02(spark, sf_dir):
     rows = base.samples(spark, sf_dir, False)
     scaled = rows.withColumn("features", F.transform("features", lambda x: F.signum(x) * F.log1p(F.abs(x)) / 10))
-    history = network.history_table(network.train_clusters(scaled, base.HORIZON, units=(16, 8), epochs=15, patience=5))
+    history = network.history_table(network.train_clusters(scaled, base.HORIZON))
     return history.groupBy("cluster").agg(F.count("*").alias("epochs"), F.min("val_loss").alias("best_val_loss"))
 
 

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from daywheel.operators import cluster
+from daywheel.operators import cluster, network
 from daywheel.plans import base, catalog
 from daywheel.sources import adapters
 
@@ -42,3 +42,18 @@ def test_best_sigma_searches_all_embeddings(spark):
     got = catalog.queries()["c20_best_sigma"](spark, SF_DIR).first()
     assert (got.sigma, got.best_k, got.evaluations) == (pytest.approx(want["sigma"], abs=1e-5), want["best_k"], want["evaluations"])
     assert got.evaluations > 40 and got.best_gap == pytest.approx(want["best_gap"], abs=1e-6)
+
+
+def test_models_train_with_the_operators_defaults(spark, monkeypatch):
+    asked = []
+
+    def stop(*args, **options):
+        asked.append(options)
+        raise StopIteration
+
+    monkeypatch.setattr(network, "train_clusters", stop)
+    monkeypatch.setattr(cluster, "kmeans", stop)
+    for name in ("m01_cluster_networks", "m02_training_history", "c01_kmeans"):
+        with pytest.raises(StopIteration):
+            catalog.queries()[name](spark, SF_DIR)
+    assert asked == [{}, {}, {}]
