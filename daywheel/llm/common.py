@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +20,12 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset (tests), a local one."""
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder; a local one in local mode only."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         folder = "file://" + tempfile.gettempdir() + "/daywheel-shared"
@@ -35,10 +38,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that fresh_path named, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder and read it back: cuts lineage so that a lost executor costs no recomputation.
+
+    A checkpoint hands on the estimated size of its plan, which joins multiply: over the rounds of an iteration that
+    becomes a number of millions of digits, and planning takes minutes. So the rows are taken up without the estimate.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def tidy() -> None:
@@ -66,11 +81,14 @@ def small_side(df: DataFrame, row_bytes: int) -> tuple[DataFrame, bool]:
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:
-    """left join on a null-safe key for a right side too large to broadcast: hot keys of left are dealt over `salts` tasks."""
-    left = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    right = right.withColumnRenamed(key, "__key").withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = left[key].eqNullSafe(right["__key"]) & (left["__salt"] == right["__salt_r"])
-    return left.join(right, on, "left").drop("__salt", "__salt_r", "__key")
+    """left join on a null-safe key for a right side too large to broadcast: hot keys of left are dealt over `salts` tasks.
+
+    Columns of the join's own start with `__sj_`.
+    """
+    left = left.withColumn("__sj_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    right = right.withColumnRenamed(key, "__sj_key").withColumn("__sj_deal", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = left[key].eqNullSafe(right["__sj_key"]) & (left["__sj_salt"] == right["__sj_deal"])
+    return left.join(right, on, "left").drop("__sj_salt", "__sj_deal", "__sj_key")
 
 
 #: Rows of an Arrow batch of texts: at 10,000 rows a batch of long texts would take hundreds of MB on both sides.

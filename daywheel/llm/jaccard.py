@@ -6,15 +6,18 @@ when 100 * intersection >= 80 * union of their token sets. The join returns one
 1. Documents of one set are one node. A document that holds more tokens of its own than a link allows errors can't link:
    that is counted on a fixed third of the hash space, which only ever keeps too many.
 2. Among the rest, tokens are ordered by document frequency. A node's prefix is extended until a link must share either a
-   token of at most RARE documents in it, which is indexed alone, or two frequent tokens of the same cell, which are
-   indexed as a pair (cells: hash buckets, their number set by the size class; see `signatures`).
+   token of at most RARE documents in it, which is indexed alone, or k frequent tokens of the same cell, which are
+   indexed as a combination, for k = 2 first (cells: hash buckets, their number set by the size class; see `signatures`).
 3. Documents sharing a signature are candidates. Each signature's documents are first held against one head, linked ones
    become a class, and only pairs of different classes go on, so a group of copies isn't expanded into its pairs.
-   Every candidate pair that classes don't already connect is verified by exact intersection: pairs of seldom
-   signatures as a list, those of signatures that many documents of different classes share block by block.
+   Every candidate pair that classes don't already connect is verified by exact intersection of its token sets.
+4. Documents of different classes that meet in signatures of more than HEAVY documents sign again with longer prefixes
+   and combinations of k + 1 tokens, up to the last of COMBINED; what still meets in such signatures is compared block by
+   block, so nothing is lost.
 
-Nothing is capped: memory per task is bounded by single documents, hot tokens and signatures are combined before each
-shuffle or joined with splitting. Two different tokens or sets share a 64-bit hash with odds of about 1e-8 at 1e6 pairs.
+Nothing is capped: memory per task is bounded by single documents; a hot signature's rows are dealt to tasks of DEAL
+documents, hot tokens are combined before each shuffle. Tokens and sets have 64-bit hashes without fixed collisions
+(`textnum`): of N different sets some two meet with odds of about N**2 / 2**65, 3e-8 at 1e6 documents.
 
 Defined results: null, empty and blank texts have no tokens, n_shingles 0 and link with nothing; rows that repeat a
 doc_id and text are one node; rows that share only a doc_id stay apart but both carry their own class; null doc_ids are
@@ -23,6 +26,8 @@ never a component_id unless a class has no other; an empty table gives an empty
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut, fewer, release, small_side, text_batches
+from .common import cut, fewer, release, salted_join, small_side, text_batches
 from .components import components
 
 WIDTH = 5
@@ -135,43 +140,65 @@ def size_class(n: int) -> int:
     return int(np.floor(np.log(n) / np.log(CLASS) + 1e-9))
 
 
-def signatures(df: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+def _width(k: int, size: int, cells: int) -> int:
+    """Tokens of a combination in a size class: k, or fewer where sets are too small to be sure to share so many in a cell.
+
+    A function of the class alone, so that all sets which sign for a class agree.
+    """
+    least = max(2, int(np.ceil(CLASS ** (size - 1) - 1e-9)))
+    need = (least * PERCENT + 99) // 100
+    return max(2, min(k, (need - 1) // cells + 1))
+
+
+@functools.cache
+def _choices(size: int, k: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(size), k)), np.int64).reshape(-1, k)
+
+
+def signatures(df: np.ndarray, token: np.ndarray, n: int, k: int = 2) -> np.ndarray:
     """Signatures of a set of n tokens whose shared ones are given, most seldom first.
 
     n - len(token) tokens are the set's own; of the first `missing` shared tokens a linked set must hold one. If these
-    are rare, each is a signature. Else all rare ones are, and the prefix goes on over frequent tokens until, with one
-    token of each cell allowed to be common without a signature, still `missing` are covered: then a linked set must
-    share two of a cell. Cells depend on the size class; a set signs for its own class and the next, so that any two
-    sets whose sizes differ by no more than a class meet in one.
+    are rare, each is a signature. Else all rare ones are, and the prefix goes on over frequent tokens until, with k - 1
+    tokens of each cell allowed to be common without a signature, still `missing` are covered: then a linked set must
+    share k of a cell, and of all k it shares those that end first lie in the prefixes of both. Cells depend on the size
+    class; a set signs for its own class and the next, so that any two sets whose sizes differ by no more than a class
+    meet in one. Rare tokens are left out for k > 2: what they find is found with k = 2.
     """
     if n < 2:
         return np.empty(0, np.uint64)
     missing = n - (n * PERCENT + 99) // 100 + 1 - (n - len(token))
     rare = int(np.searchsorted(df, RARE, "right"))
     if rare >= missing:
-        return token[:missing]
-    out = [token[:rare]]
+        return token[:missing] if k == 2 else np.empty(0, np.uint64)
+    out = [token[:rare]] if k == 2 else []
     often, left = token[rare:], missing - rare
     own = size_class(n)
-    for k in (own, own + 1):
-        cells = max(1, int(CELLS * CLASS**k))
+    for size in (own, own + 1):
+        cells = max(1, int(CELLS * CLASS**size))
+        wide = _width(k, size, cells)
         cell = often % np.uint64(cells)
-        first = np.zeros(len(often), bool)
-        first[np.unique(cell, return_index=True)[1]] = True
-        covered = np.cumsum(~first)
-        end = int(np.searchsorted(covered, left)) + 1
-        order = np.argsort(cell[:end], kind="stable")
-        sorted_cell, sorted_token = cell[:end][order], often[:end][order]
-        for gap in range(1, end):
-            same = sorted_cell[gap:] == sorted_cell[:-gap]
-            if not same.any():
-                break
-            a, b = sorted_token[:-gap][same], sorted_token[gap:][same]
-            out.append(textnum.mix64(textnum.mix64(a + np.uint64(k)) * np.uint64(0x9FB21C651E98DF25) + b))
-    return np.unique(np.concatenate(out))
-
-
-def signed(lists: DataFrame) -> DataFrame:
+        order = np.argsort(cell, kind="stable")
+        by_cell = cell[order]
+        head = np.flatnonzero(np.concatenate(([True], by_cell[1:] != by_cell[:-1])))
+        turn = np.empty(len(often), np.int64)
+        turn[order] = np.arange(len(often)) - np.repeat(head, np.diff(np.append(head, len(often))))
+        end = int(np.searchsorted(np.cumsum(turn >= wide - 1), left)) + 1
+        order = order[order < end]
+        cell, token_of = cell[order], often[order]
+        head = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        many = np.diff(np.append(head, len(order)))
+        for held in np.unique(many[many >= wide]):
+            some = head[many == held]
+            chosen = token_of[(some[:, None, None] + _choices(int(held), wide)[None]).reshape(-1, wide)]
+            mixed = textnum.mix64(chosen[:, 0] + np.uint64(size))
+            for j in range(1, wide):
+                mixed = textnum.mix64(mixed * np.uint64(0x9FB21C651E98DF25) + chosen[:, j])
+            out.append(mixed)
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+
+
+def signed(lists: DataFrame, k: int = 2) -> DataFrame:
     """(sig, node, n, s): each node's signatures; s is how many tokens it shares with others."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +207,7 @@ def signed(lists: DataFrame) -> DataFrame:
             arrays = part.column(2)
             bounds = arrays.offsets.to_numpy()
             df, token = arrays.values.field("df").to_numpy(), arrays.values.field("token").to_numpy().view(np.uint64)
-            sigs = [signatures(df[a:b], token[a:b], int(k)) for a, b, k in zip(bounds[:-1], bounds[1:], n, strict=True)]
+            sigs = [signatures(df[a:b], token[a:b], int(m), k) for a, b, m in zip(bounds[:-1], bounds[1:], n, strict=True)]
             many = [len(x) for x in sigs]
             if sum(many):
                 columns = [np.concatenate(sigs).view(np.int64), np.repeat(node, many), np.repeat(n, many), np.repeat(np.diff(bounds).astype(np.int32), many)]
@@ -190,10 +217,13 @@ def signed(lists: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by exact intersection of their shared tokens."""
+    """The pairs (a, b) of nodes that link, by exact intersection of their shared tokens.
+
+    b first: it hardly repeats, and a hot a then meets the lists in a join whose skew adaptive execution can split.
+    """
     one = lists.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.transform("tokens", lambda t: t["token"]).alias("t_a"))
     two = lists.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.transform("tokens", lambda t: t["token"]).alias("t_b"))
-    rows = pairs.select("a", "b").join(one, "a").join(two, "b")
+    rows = pairs.select("a", "b").join(two, "b").join(one, "a")
     common = F.size(F.array_intersect("t_a", "t_b"))
     return rows.where(linked(F.col("n_a"), F.col("n_b"), common)).select("a", "b")
 
@@ -202,50 +232,86 @@ def _possible(n_a: str, s_a: str, n_b: str, s_b: str) -> Column:
     return linked(F.col(n_a), F.col(n_b), F.least(s_a, s_b))
 
 
+#: Sizes of token combinations, tried in turn for what is still heavy.
+COMBINED = (2, 3, 4)
 #: Rounds of holding each signature's documents against a head before the rest of the pairs of different classes is taken.
-STAR_ROUNDS = 3
-#: Open signatures of more documents than this are taken block by block rather than as a list of pairs.
+STAR_ROUNDS = 2
+#: Open signatures of more documents than this sign again or are taken block by block rather than as a list of pairs.
 HEAVY = 64
+#: Documents of a signature that one task takes.
+DEAL = 256
 #: Documents of a block, about.
 BLOCK = 512
 
 
+def _dealt(rows: DataFrame, per_sig: DataFrame) -> DataFrame:
+    """rows (sig, node, parts, ..) joined to per_sig (sig, parts, ..: a row for each signature): a hot one is dealt to `parts` tasks."""
+    side = per_sig.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return rows.withColumn("deal", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(side, ["sig", "deal"]).drop("deal")
+
+
+def _posts(lists: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """((sig, node, n, s, parts) of the signatures that several nodes have, their number)."""
+    every = signed(lists, k)
+    often = every.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("c")).where("x != y")
+    posts = cut(every.join(often.select("sig", F.ceil(F.col("c") / DEAL).cast("int").alias("parts")), "sig"))
+    return posts, posts.count()
+
+
+def _star(rows: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
+    """(a, b): links of documents with heads; each b has at most one a, and a comes before b in the order of the turn."""
+    # First heads: those with the fewest tokens of their own, as what copies were made from has.
+    own = (F.col("n") - F.col("s")) / F.col("n") if turn == 0 else F.lit(0.0)
+    key = F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("k"), "node", "n", "s", "label")
+    heads = rows.groupBy("sig").agg(F.max("parts").alias("parts"), F.min(key).alias("h"))
+    heads = heads.select("sig", "parts", F.col("h.node").alias("a"), F.col("h.n").alias("n_a"), F.col("h.s").alias("s_a"), F.col("h.label").alias("label_a"))
+    star = _dealt(rows, heads).where((F.col("label") != F.col("label_a")) & _possible("n", "s", "n_a", "s_a"))
+    star = star.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    # Of its heads, each document is held against the one it shares most signatures with.
+    best = star.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("b", F.col("m.a").alias("a"))
+    return verified(best, lists)
+
+
+def _climbed(links: DataFrame) -> DataFrame:
+    """(node, label): the head of each b, two steps further up where heads have heads of their own."""
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    above = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    side, small = small_side(above, 16)
+    for _ in range(2):
+        found = up.join(side, "label", "left") if small else salted_join(up, above, "label")
+        up = found.select("node", F.coalesce("top", "label").alias("label"))
+    return up
+
+
 def classes(lists: DataFrame) -> DataFrame:
     """(node, label) for nodes with links."""
-    posts = signed(lists)
-    often = posts.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("sig")
-    posts = cut(posts.join(often, "sig"))
-    n = posts.count()
-    few = lambda df: cut(fewer(df, n, 20_000))  # noqa: E731  everything below is smaller than posts
-    posts = few(posts)
-    found, tried, labels = None, None, None
-    for turn in range(STAR_ROUNDS):
-        rows = posts.withColumn("label", F.col("node")) if labels is None else few(_open(posts, labels))
-        if rows.limit(1).count() == 0:
-            return labels if labels is not None else lists.select("node", F.col("node").alias("label")).limit(0)
-        # First heads: those with the fewest tokens of their own, as what copies were made from has.
-        own = (F.col("n") - F.col("s")) / F.col("n") if turn == 0 else F.lit(0.0)
-        key = F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("k"), "node", "n", "s", "label")
-        heads = rows.groupBy("sig").agg(F.min(key).alias("h")).select("sig", F.col("h.node").alias("a"), F.col("h.n").alias("n_a"), F.col("h.s").alias("s_a"), F.col("h.label").alias("label_a"))
-        star = rows.join(heads, "sig").where((F.col("label") != F.col("label_a")) & _possible("n", "s", "n_a", "s_a"))
-        star = star.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
-        # Of its heads, each document is held against the one it shares most signatures with.
-        best = star.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
-        best = few(best if tried is None else best.join(tried, ["a", "b"], "left_anti"))
-        links = few(verified(best, lists))
-        tried = best if tried is None else tried.union(best)
-        found = links if found is None else found.union(links)
-        labels = few(components(found, "a", "b"))
-        release(lists.sparkSession)
-    rows = few(_open(posts, labels))
-    sizes = rows.groupBy("sig").agg(F.count("*").alias("c"))
-    light = rows.join(sizes.where(F.col("c") <= HEAVY).select("sig"), "sig")
-    heavy = few(rows.join(sizes.where(F.col("c") > HEAVY).select("sig"), "sig"))
-    pairs = few(_listed(light).join(tried, ["a", "b"], "left_anti"))
-    found = found.union(few(verified(pairs, lists)))
-    if heavy.limit(1).count():
-        found = found.union(few(_by_blocks(heavy, lists)))
-    return cut(components(found, "a", "b"))
+    labels, found, rest = None, None, lists
+    for k in COMBINED:
+        posts, n = _posts(rest, k)
+        few = lambda df, n=n: cut(fewer(df, n, 20_000))  # noqa: E731  everything below is smaller than posts
+        for turn in range(STAR_ROUNDS):
+            rows = posts.withColumn("label", F.col("node")) if labels is None else few(_open(posts, labels))
+            links = few(_star(rows, lists, turn + STAR_ROUNDS * (k - 2)))
+            found = links if found is None else found.union(links)
+            # Until the last turn a step or two up to the heads is enough to tell which signatures are open.
+            labels = few(_climbed(links)) if labels is None and turn < STAR_ROUNDS - 1 else few(components(found, "a", "b"))
+            release(lists.sparkSession)
+        rows = few(_open(posts, labels))
+        sizes = rows.groupBy("sig").agg(F.count("*").alias("c"), F.max("parts").alias("parts"))
+        rows = few(_dealt(rows, sizes).withColumn("parts", F.ceil(F.col("c") / DEAL).cast("int")))
+        if not rows.limit(1).count():
+            return labels
+        links = few(verified(_listed(rows.where(F.col("c") <= HEAVY)), lists))
+        heavy = few(rows.where(F.col("c") > HEAVY))
+        more = heavy.limit(1).count() > 0
+        if more and k == COMBINED[-1]:
+            links = links.union(few(_by_blocks(heavy, lists)))
+        found = found.union(links)
+        labels = cut(components(found, "a", "b"))
+        if not more:
+            break
+        rest = cut(lists.join(_open(heavy.drop("label", "c"), labels).select("node").distinct(), "node", "left_semi"))
+    return labels
 
 
 def _listed(rows: DataFrame) -> DataFrame:
@@ -334,9 +400,10 @@ def _connecting(one: pa.Table, two: pa.Table) -> tuple[list[int], list[int]]:
 
 def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
     """posts with their class, of the signatures whose documents aren't all in one class."""
-    rows = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = rows.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("sig")
-    return rows.join(split, "sig")
+    side, _ = small_side(labels, 16)
+    rows = posts.join(side, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = rows.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("parts").alias("parts")).where("x != y").select("sig", "parts")
+    return _dealt(rows, split)
 
 
 def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -1,7 +1,9 @@
 """Words and word hashes of texts, over whole batches of bytes with numpy.
 
-A word's hash is a polynomial over random 64-bit values of its bytes (mod 2**64), mixed. Memory is bounded by PIECE bytes
-of text at a time, however long a text is; a longer word is taken whole.
+A word's hash sums independent random 64-bit values, one for each (place within a block of BLOCK bytes, byte), over each
+of its blocks; the blocks' sums are mixed with their number and summed, and the whole is mixed with the length. No two
+words collide by the form of the hash, as they would under a polynomial mod 2**64: two different words meet with odds of
+2**-64. Memory is bounded by PIECE bytes of text at a time, however long a text is; a longer word is taken whole.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-PIECE = 1 << 18
+#: Small enough for the arrays of a piece to stay in a core's cache.
+PIECE = 1 << 16
+#: Places that have values of their own.
+BLOCK = 64
 _U = np.uint64
-BASE = _U(0x9E3779B97F4A7C15)
-INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -25,57 +28,68 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _values(letters: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A random odd value for each byte, A-Z as a-z if fold; 0 for bytes that aren't letters."""
-    byte = np.arange(256, dtype=np.uint64)
-    if fold:
-        byte[65:91] += _U(32)
-    return np.where(letters, mix64((byte + _U(1)) * _U(0xD1342543DE82EF95)) | _U(1), _U(0))
+#: The value of byte b (0 for a separator, else the byte + 1) at place p of its block, at p * 257 + b.
+VALUES = mix64(np.arange(1, BLOCK * 257 + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+VALUES[::257] = 0
+
+
+def _codes(letters: np.ndarray) -> np.ndarray:
+    """1 + each byte, A-Z as a-z; 0 for bytes that aren't letters."""
+    byte = np.arange(256)
+    byte[65:91] += 32
+    return np.where(letters, byte + 1, 0).astype(np.int64)
 
 
 _blank = np.zeros(256, bool)
 _blank[[0x20, *range(9, 14)]] = True
 #: Words `[^\x20\x09-\x0D]+`, A-Z lower-cased.
-PLAIN = _values(~_blank)
-#: The same words as they are written.
-EXACT = _values(~_blank, fold=False)
+PLAIN = _codes(~_blank)
 _alnum = np.zeros(256, bool)
 _alnum[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Runs of ASCII letters and digits and of all further characters.
-LETTERS = _values(_alnum)
+LETTERS = _codes(_alnum)
 
 
-class Powers:
-    """Powers of BASE and of its inverse, as far as they were needed."""
+def _blocks(starts: np.ndarray, ends: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """For each word the sum of its blocks' mixed sums."""
+    many = -(-(ends - starts) // BLOCK)
+    first = np.cumsum(many) - many
+    turn = np.arange(int(many.sum())) - np.repeat(first, many)
+    begin = np.repeat(starts, many) + BLOCK * turn
+    stop = np.minimum(begin + BLOCK, np.repeat(ends, many))
+    return np.add.reduceat(mix64(sums[stop] - sums[begin] + turn.astype(np.uint64) * _U(0xD1342543DE82EF95)), first)
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * PIECE)
-            up, down = np.full(size, BASE), np.full(size, INVERSE)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up[:n], self.down[:n]
+def _edges(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = np.zeros(len(code) + 2, bool)
+    np.not_equal(code, 0, out=inside[1:-1])
+    at = np.flatnonzero(inside[1:] != inside[:-1])
+    return at[::2], at[1::2]
 
 
-_powers = Powers()
+def word_bounds(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of data."""
+    return _edges(table.take(np.frombuffer(data, np.uint8)))
 
 
 def piece_words(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, prefix sums, hashes) of the words of a piece of bytes."""
-    raw = np.frombuffer(data, np.uint8)
-    value = table[raw]
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = value != 0
-    step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    up, down = _powers.upto(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(value * up[: len(raw)], out=sums[1:])
-    hashes = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
-    return starts, ends, sums, hashes
+    """(starts, ends, prefix sums of the bytes' values, hashes) of the words of a piece of bytes."""
+    code = table.take(np.frombuffer(data, np.uint8))
+    starts, ends = _edges(code)
+    # Of each byte its place in its word: the index less that of the last start.
+    last = np.concatenate(([0], starts))
+    place = np.arange(len(code)) - np.repeat(last, np.diff(np.append(last, len(code))))
+    place &= BLOCK - 1
+    place *= 257
+    place += code
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(VALUES.take(place), out=sums[1:])
+    size = ends - starts
+    if len(size) and size.max() > BLOCK:
+        total = _blocks(starts, ends, sums)
+    else:
+        total = mix64(sums[ends] - sums[starts])
+    return starts, ends, sums, mix64(total + size.astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
 def _pieces(data: bytes, table: np.ndarray, size: int) -> Iterator[bytes]:

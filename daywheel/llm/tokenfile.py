@@ -49,7 +49,7 @@ def default_vocabulary() -> str:
 
 # A pre-token of the byte-level vocabulary never goes on from a non-blank to a blank, so a text's ids are those of its
 # chunks in a row, a chunk being the blanks before a word and the word. Texts whose words are parted by single ASCII
-# blanks are encoded by distinct chunk; any other text is encoded whole.
+# blanks are encoded by distinct chunk, told apart by its bytes; any other text is encoded whole.
 _WIDE_BLANK = re.compile("[\x85\xa0  -     　]")
 _SIMPLE = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)").fullmatch
 _CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
@@ -70,7 +70,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_words = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.end = struct.pack("<I", end_id)
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         if self.by_words:
             self.model = self.tokenizer.model
             self.model._resize_cache(0)
@@ -83,10 +83,11 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _learn(self, keys: list[int], chunks: list[str]) -> None:
+    def _learn(self, keys: list[bytes]) -> None:
         """Letters with a space before them are one pre-token, as are the ASCII signs after them: these go to the model directly."""
         model, alphabet, known, others = self.model.tokenize, self.alphabet, self.known, []
-        for key, chunk in zip(keys, chunks, strict=True):
+        for key in keys:
+            chunk = key.decode("utf-8", "replace")
             parts = _SIMPLE(chunk)
             if parts is None or not parts[1].strip(" ").isalpha():
                 others.append((key, chunk))
@@ -98,36 +99,46 @@ class Encoder:
         if others:
             known.update(zip([k for k, _ in others], self._ids([c for _, c in others]), strict=True))
 
+    @staticmethod
+    def _distinct(data: bytes, begins: np.ndarray, ends: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """(of each chunk the place of its bytes in the list, the list): told apart by their bytes, not by a hash. last: each text's last chunk."""
+        if not len(begins):
+            return begins, []
+        # Chunks follow each other but for what lies between two texts, which is a tile of its own.
+        at = np.arange(len(begins)) + np.searchsorted(last, np.arange(len(begins)))
+        offsets = np.empty(len(begins) + len(last), np.int32)
+        offsets[at], offsets[at[last] + 1] = begins, ends[last]
+        tiles = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        found = tiles.dictionary_encode()
+        return found.indices.to_numpy()[at].astype(np.int64), found.dictionary.to_pylist()
+
     def _by_chunks(self, group: list[bytes]) -> list[bytes | None]:
         """Ids of each text; None where words aren't parted by single blanks."""
         lengths = np.fromiter((len(x) + 1 for x in group), np.int64, len(group))
         data = b" ".join(group) + b" "
-        starts, ends, _, hashes = textnum.piece_words(data, textnum.EXACT)
+        starts, ends = textnum.word_bounds(data, textnum.PLAIN)
         stops = np.cumsum(lengths)
-        begins = stops - lengths
+        heads = stops - lengths
         bounds = np.concatenate(([0], np.searchsorted(starts, stops)))
         first, last, some = bounds[:-1], bounds[1:] - 1, np.diff(bounds) > 0
-        raw = np.frombuffer(data, np.uint8)
-        before = np.where(starts > 0, raw[starts - 1], 0).astype(np.uint64)
-        before[first[some]] = np.where(starts[first[some]] == begins[some], 0, before[first[some]])
+        begins = np.maximum(starts - 1, 0)
+        begins[first[some]] = np.maximum(begins[first[some]], heads[some])
         gap = np.zeros(len(starts) + 1, np.int64)
         gap[1:-1] = starts[1:] - ends[:-1]
-        gap[first[some]] = starts[first[some]] - begins[some]
+        gap[first[some]] = starts[first[some]] - heads[some]
         odd = np.add.reduceat(np.append(gap > 1, False), np.minimum(bounds[:-1], len(starts))) > 0
         tail = np.where(some, stops - 1 - ends[np.maximum(last, 0)] if len(ends) else 0, lengths - 1)
         odd = (odd & some) | (tail > 1) | (~some & (lengths > 1))
-        keys, at, place = np.unique(textnum.mix64(hashes + before * np.uint64(0x9E6C63D0876A9A47)), return_index=True, return_inverse=True)
-        names = keys.tolist()
+        place, names = self._distinct(data, begins, ends, last[some])
         if len(self.known) > CACHE:
             self.known.clear()
         found = list(map(self.known.get, names))
         new = [i for i, x in enumerate(found) if x is None]
         if new:
-            begin = (starts - (before > 0))[at].tolist()
-            end = ends[at].tolist()
-            self._learn([names[i] for i in new], [data[begin[i] : end[i]].decode("utf-8", "replace") for i in new])
+            # What stands between the chunks of two texts is blank and has no ids of its own.
+            self._learn([names[i] for i in new if names[i].strip()])
             for i in new:
-                found[i] = self.known[names[i]]
+                found[i] = self.known.get(names[i], b"")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         offset = np.concatenate(([0], np.cumsum(size)))
