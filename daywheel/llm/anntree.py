@@ -9,7 +9,7 @@ at most CHUNK rows, so a leaf that holds a third of all rows is many tasks' work
 
 Nearness is the inner product in double precision; ties go to the smaller id. Defined results: vectors that are null,
 zero, empty, of another length than most, or hold null or non-finite components take no part; rows that repeat an id are
-candidates each, but never of their own id; fewer candidates than k give all of them; an empty table gives an empty
+candidates each, but never of their own id, and the smallest of their vectors asks; fewer candidates than k give all of them; an empty table gives an empty
 result; further columns aren't read.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_side
 
 #: Rows the tree is fitted on, at most; every row is indexed.
 FIT_ROWS = 20_000
@@ -33,6 +33,8 @@ MAX_LEAVES = 4096
 #: Calibration queries (picked by a hash of their id) and the recall their visits must reach.
 CALIBRATION, TARGET = 192, 0.95
 CHUNK = 4096
+#: Chunks of a leaf that are searched together; a larger leaf is dealt to several such parts.
+PART = 64
 QUERY_BLOCK = 1024
 
 
@@ -147,15 +149,20 @@ def placed(rows: DataFrame, tree: Tree) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, v array<double>, leaf long")
 
 
-def chunked(rows: DataFrame) -> DataFrame:
-    """(leaf, chunk, ids, vs): the rows of each leaf in chunks of about CHUNK, vectors packed.
+def parts_of(counts: DataFrame) -> DataFrame:
+    """(leaf, part) of every part of every leaf; counts: leaf, c."""
+    last = F.ceil(F.ceil(F.col("c") / CHUNK) / PART).cast("int") - 1
+    return counts.select("leaf", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+
+
+def chunked(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(leaf, part, ids, vs): the rows of each leaf in chunks of about CHUNK, vectors packed; counts: leaf, c (at most MAX_LEAVES rows).
 
     Chunks are dealt by a hash of the id, as many as the leaf's count asks for, so no task gathers a whole hot leaf.
     """
-    counts = rows.groupBy("leaf").agg(F.count("*").alias("c"))  # at most MAX_LEAVES rows
     rows = rows.join(F.broadcast(counts), "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.ceil(F.col("c") / CHUNK)))
     packed = rows.groupBy("leaf", "chunk").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("rows"))
-    return packed.select("leaf", "chunk", F.transform("rows", lambda r: r["vec_id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("vs"))
+    return packed.select("leaf", F.floor(F.col("chunk") / PART).cast("int").alias("part"), F.transform("rows", lambda r: r["vec_id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("vs"))
 
 
 def best_of(q: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -178,7 +185,7 @@ def best_of(q: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
 
 
 def _search(chunks: DataFrame, walks: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best rows of each visited chunk. walks: leaf, own (query ids), qs (their vectors)."""
+    """(query_id, vec_id, score): the best rows of each visited chunk. walks: leaf, part, own (query ids), qs (their vectors)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -190,7 +197,7 @@ def _search(chunks: DataFrame, walks: DataFrame, k: int) -> DataFrame:
                     columns = [np.concatenate(c) for c in zip(*out, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
-    met = chunks.join(walks, "leaf").select("ids", "vs", "own", "qs")
+    met = chunks.join(walks, ["leaf", "part"]).select("ids", "vs", "own", "qs")
     return met.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
@@ -219,7 +226,7 @@ def calibrate(index: DataFrame, tree: Tree, k: int, target: float = TARGET, quer
     part = min(1.0, 2 * queries / max(n, 1))
     drawn = F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(1 << 30))
     # In the order of the draw, not of the id, so that the limit leaves queries from all over the ids.
-    some = index.where(drawn < int(part * (1 << 30))).select("vec_id", "v").dropDuplicates(["vec_id"]).orderBy(drawn, "vec_id").limit(queries).toArrow()
+    some = index.where(drawn < int(part * (1 << 30))).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy(drawn, "vec_id").limit(queries).toArrow()
     if not len(some):
         return tree.leaves, 1.0
     q, own = matrix(some.column("v").combine_chunks()), some.column("vec_id").to_numpy()
@@ -256,7 +263,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, target: float = TA
                 columns = [pa.array([int(x) for x, _ in groups], pa.int64()), pa.array([own[g] for _, g in groups], pa.list_(pa.int64())), pa.array([q[g].ravel() for _, g in groups], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["leaf", "own", "qs"])
 
-    chosen = index.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
-    walks = chosen.mapInArrow(run, "leaf long, own array<bigint>, qs array<double>")
-    found = ranked(_search(chunked(index), cut(walks), k), k)
+    # Of an id that repeats the smallest vector asks, so that reruns agree.
+    chosen = index.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    walks = cut(chosen.mapInArrow(run, "leaf long, own array<bigint>, qs array<double>"))
+    counts = cut(index.groupBy("leaf").agg(F.count("*").alias("c")))
+    side, _ = small_side(cut(parts_of(counts)), 16)  # a row for each leaf and for every CHUNK * PART rows
+    walks = walks.join(side, "leaf")
+    found = ranked(_search(chunked(index, counts), walks, k), k)
     return found.withColumn("visits", F.lit(visits)).withColumn("calibrated_recall", F.lit(recall))

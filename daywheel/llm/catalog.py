@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import anntree, decontaminate, jaccard, language, mixing, pii, quality, tokenfile, toxicity, urls
 
+from .common import LOWER, UPPER
+
 BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
@@ -75,15 +77,22 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE))
     counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
     rows = rows.select("doc_id", "pii", base.alias("base"))
-    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"), pii.scores(F.col("pii")).alias("scores"))
 
 
 def _sql_hits(kind: str, pattern: str, check: str) -> str:
-    """Spans of one kind as a list of texts; pieces and hits alternate in the text."""
-    return f"""list_transform(list_filter(list_transform(generate_series(1, len(regexp_extract_all(t, '{pattern}'))), lambda i: {{
-      'm': regexp_extract_all(t, '{pattern}')[i],
-      's': (list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i - 1], lambda x: length(x))), 0))::BIGINT}}),
-      lambda h: {check}), lambda h: '{kind}:' || h.s || ':' || (h.s + length(h.m)))"""
+    """Spans of one kind as a list of {s, e, score}; pieces and hits alternate in the text."""
+    hits, pieces = f"regexp_extract_all(t, '{pattern}')", f"string_split_regex(t, '{pattern}')"
+    near = f"(?:^|[^a-z0-9_])(?:{pii.WORDS[kind]})"
+    before, after = "substr(t, greatest(h.s - 48, 0) + 1, least(h.s, 48))", "substr(t, h.s + length(h.m) + 1, 48)"
+    words = " OR ".join(f"regexp_matches(translate({x}, '{UPPER}', '{LOWER}'), '{near}')" for x in (before, after))
+    score, gain = pii.SCORES[kind]
+    if kind in pii.EDGES:
+        check += f" AND NOT regexp_matches(right({before}, 1), '{pii.EDGES[kind]}') AND NOT regexp_matches(left({after}, 1), '{pii.EDGES[kind]}')"
+    keep = 0.0 if kind in pii.BASE else pii.KEEP
+    return f"""list_filter(list_transform(list_filter(list_transform(generate_series(1, len({hits})), lambda i: {{'m': {hits}[i],
+      's': (list_sum(list_transform({pieces}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({hits}[1:i - 1], lambda x: length(x))), 0))::BIGINT}}),
+      lambda h: {check}), lambda h: {{'k': '{kind}', 's': h.s, 'e': h.s + length(h.m), 'score': CASE WHEN {words} THEN {score + gain} ELSE {score} END::DOUBLE}}), lambda x: x.score >= {keep}::DOUBLE)"""
 
 
 def _op8_sql() -> str:
@@ -94,20 +103,22 @@ def _op8_sql() -> str:
     turned = f"(substr({account}, 5) || substr({account}, 1, 4))"
     numbers = f"list_transform(string_split({turned}, ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)"
     mod = f"list_reduce(list_prepend(0, {numbers}), lambda r, c: CASE WHEN c >= 10 THEN (r * 100 + c) % 97 ELSE (r * 10 + c) % 97 END) = 1"
-    before = "lower(t[greatest(h.s - 48, 0) + 1:h.s])"
     kinds = {
         "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
         "ip": ("[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "len(list_filter(string_split(h.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 256) > 255)) = 0"),
         "card": ("[0-9](?:[ -]?[0-9])+", f"len({number}) BETWEEN 13 AND 19 AND {luhn}"),
         "phone": ("\\+[0-9][ ().0-9-]+[0-9]", f"len({number}) BETWEEN 9 AND 15"),
-        "iban": ("\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b", f"len({account}) BETWEEN 15 AND 34 AND {mod}"),
-        "ssn": ("\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", f"regexp_matches({before}, '\\b(?:{pii.WORDS['ssn']})')"),
+        "iban": (pii.PATTERNS["iban"][0], f"len({account}) BETWEEN 15 AND 34 AND {mod}"),
+        "ssn": (pii.PATTERNS["ssn"][0], "true"),
     }
     lists = ",\n".join(f"{_sql_hits(k, p, c)} AS {k}" for k, (p, c) in kinds.items())
     every = "list_concat(list_concat(email, ip), list_concat(card, phone))"
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {lists} FROM d)
+    text = "lambda x: x.k || ':' || x.s || ':' || x.e"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {lists} FROM d),
+g AS (SELECT *, {every} AS base, list_concat({every}, list_concat(iban, ssn)) AS found FROM f)
 SELECT doc_id, len(email)::BIGINT AS n_email, len(ip)::BIGINT AS n_ip, len(card)::BIGINT AS n_card, len(phone)::BIGINT AS n_phone,
-  sha256(array_to_string({every}, ',')) AS base_sha256, array_to_string(list_concat({every}, list_concat(iban, ssn)), ',') AS spans FROM f"""
+  sha256(array_to_string(list_transform(base, {text}), ',')) AS base_sha256, array_to_string(list_transform(found, {text}), ',') AS spans,
+  array_to_string(list_transform(found, lambda x: printf('%.2f', x.score)), ',') AS scores FROM g"""
 
 
 OP8_SQL = _op8_sql()
@@ -117,18 +128,51 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
-# The synthetic pages hold no redirects or canonical links: there the method leaves unruled pages allowed. tests/llm plants some.
-OP9_SQL = """
-WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
-r(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-b AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
-  FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
-SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN b USING (page_id)
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _op9_sql() -> str:
+    fold = "list_reduce(list_prepend('', string_split(path, '/')[2:]), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*\\z', '') ELSE a || '/' || x END)"
+    target = "regexp_replace(regexp_replace(x, '" + urls.AMPERSAND + "', '&', 'g'), '(?s)#.*', '')"
+    kinds = " ".join(f"WHEN regexp_matches(tag, '{_q(k)}') THEN regexp_extract(tag, '{_q(v)}', 1)" for k, v in urls.KINDS.items())
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+
+    def parts(url: str, source: str) -> str:
+        """(url, host, path, node) of the URLs of a table."""
+        rest = f"CASE WHEN contains({url}, '://') THEN substr({url}, instr({url}, '://') + 3) END"
+        low = f"translate(substr(url, 1, instr(url, '://') - 1), '{UPPER}', '{LOWER}')"
+        return f"""SELECT *, CASE WHEN rest IS NOT NULL THEN {low} || '://' || host || CASE WHEN regexp_matches(path, '{urls.DOTS}') THEN
+    {fold} || CASE WHEN string_split(path, '/')[-1] IN ('.', '..') OR {fold} = '' THEN '/' ELSE '' END
+    WHEN path = '' THEN '/' ELSE path END || regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1) END AS node
+  FROM (SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+    FROM (SELECT *, {rest} AS rest FROM {source}))"""
+
+    won = f"arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM {{}} JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)"
+    return f"""
+WITH RECURSIVE p AS ({parts('url', 'pages')}),
+r(verdict, rh, rp) AS (VALUES {rules}),
+tags AS (SELECT url, path, node, unnest(regexp_extract_all(html, '{_q(urls.TAGS)}')) AS tag FROM p WHERE rest IS NOT NULL),
+found AS (SELECT *, {target} AS t FROM (SELECT *, CASE {kinds} END AS x FROM tags) WHERE x IS NOT NULL),
+goal AS (SELECT node AS src, CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:]*:)', 1) || t WHEN starts_with(t, '/') THEN origin || t WHEN starts_with(t, '?') THEN origin || path || t
+  ELSE origin || CASE WHEN folder = '' THEN '/' ELSE folder END || t END AS url
+  FROM (SELECT *, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) AS origin, regexp_extract(path, '^(.*/)', 1) AS folder FROM found)),
+links AS (SELECT src, node AS dst FROM ({parts('url', 'goal')}) WHERE src <> node),
+ends AS (SELECT src AS x, dst AS y FROM links UNION SELECT dst, src FROM links),
+reach(x, y) AS (SELECT x, x FROM ends UNION SELECT reach.x, ends.y FROM reach JOIN ends ON reach.y = ends.x),
+nodes AS ({parts('url', '(SELECT DISTINCT x AS url FROM ends)')}),
+said AS (SELECT node, {won.format('nodes')} GROUP BY node),
+bad AS (SELECT reach.x AS node FROM reach JOIN said ON said.node = reach.y GROUP BY reach.x HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow')),
+b AS (SELECT page_id, url, {won.format('(SELECT DISTINCT page_id, url, host, path FROM p)')} GROUP BY page_id, url)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, CASE WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN b ON b.page_id IS NOT DISTINCT FROM p.page_id AND b.url IS NOT DISTINCT FROM p.url LEFT JOIN bad ON bad.node = p.node
 """
 
 
+OP9_SQL = _op9_sql()
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, _table(spark, sf_dir, "labels")).withColumn("held_out", quality.held_out(F.col("doc_id")))

@@ -5,8 +5,11 @@ How far a declared language or an address suffix (the first path segment of two
 for a language is learnt from the pages themselves: grouped aggregations of the text posteriors, smoothed. A host's
 prior is its pages' mean posterior drawn towards its domain's, a domain's towards the global one.
 
+Markup is taken out by one scan of its tags, so time is linear in the page however many of them stay open.
+
 Defined results: null or empty HTML has a flat text likelihood, null or broken URLs an empty host and no suffix, pages
-without a declaration none: such evidence says nothing; ties go to the language first in code point order; rows that
+without a declaration none: such evidence says nothing (without a host the global prior holds); numeric character
+references of eight or more digits are U+FFFD; ties go to the language first in code point order; rows that
 repeat give a row each; an empty pages table gives an empty result, without labelled documents lang is null; further
 columns aren't read.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +40,36 @@ HOST_STRENGTH, DOMAIN_STRENGTH, CUE_STRENGTH = 5.0, 20.0, 10.0
 #: Log-likelihoods are divided by words ** TEMPER: neighbouring trigrams aren't independent.
 TEMPER = 0.5
 
-_DROP = re.compile(r"(?is)<(script|style|nav|footer)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>|<[^<>]*>")
+_OPEN = re.compile(r"(?i)<(?:(script|style|nav|footer)\b|(!--)|(div class=\"ad\">))|<[^<>]*>")
+_TAG = re.compile(r"<[^<>]*>")
+_CLOSE = {k: re.compile(rf"(?i)</{k}\s*>") for k in ("script", "style", "nav", "footer")} | {"!--": re.compile("-->"), 'div class="ad">': re.compile("(?i)</div>")}
 _DECLARED = re.compile(r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b")
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 
 
 def visible(page: str | None) -> str:
-    return entities.unescape(_DROP.sub(" ", page or ""))
+    """The page's text: tags, comments and the insides of scripts, styles, navigation and advertisements are blanks; what isn't closed is a tag only."""
+    page, out, at, ends = page or "", [], 0, {}
+    while m := _OPEN.search(page, at):
+        out.append(page[at : m.start()])
+        kind, at = (m[1] or m[2] or m[3] or "").lower(), m.end()
+        if kind:
+            # The ends of each kind are found once, and those before here are passed for good.
+            if kind not in ends:
+                ends[kind] = deque((x.start(), x.end()) for x in _CLOSE[kind].finditer(page))
+            while ends[kind] and ends[kind][0][0] < m.end():
+                ends[kind].popleft()
+            if ends[kind]:
+                at = ends[kind][0][1]
+            elif tag := _TAG.match(page, m.start()):
+                at = tag.end()
+            else:
+                out.append("<")
+                at = m.start() + 1
+                continue
+        out.append(" ")
+    out.append(page[at:])
+    return entities.unescape(_LONG_NUMBER.sub("\ufffd", "".join(out)))
 
 
 def buckets(texts: list[str]) -> list[np.ndarray]:
@@ -89,8 +117,9 @@ def text_posteriors(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> Da
     rows = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.mapInArrow(run, "page_id long, host string, path string, declared string, l array<double>")
     first = F.regexp_extract("path", r"^/([a-z]{2})(?:/|$)", 1)
-    suffix = F.when(first != "", first).otherwise(F.concat(F.lit("."), F.regexp_extract("host", r"([^.]*)$", 1)))
-    return rows.select("page_id", "host", F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1).alias("domain"), suffix.alias("suffix"), F.coalesce("declared", F.lit("")).alias("declared"), "l")
+    suffix = F.when(first != "", first).when(F.col("host") != "", F.concat(F.lit("."), F.regexp_extract("host", r"([^.]*)$", 1))).otherwise("")
+    domain = F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1)
+    return rows.select("page_id", "host", F.when(domain != "", domain).otherwise(F.col("host")).alias("domain"), suffix.alias("suffix"), F.coalesce("declared", F.lit("")).alias("declared"), "l")
 
 
 def softmax(logs: Column) -> Column:
@@ -125,12 +154,12 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     hosts = rows.groupBy("host").agg(F.first("domain").alias("domain"), F.count("*").alias("pages"), *[F.sum(F.col("t")[i]).alias(f"s{i}") for i in range(n)])
     hosts = _attach(hosts, domains, "domain")
     hosts = hosts.select("host", F.zip_with(F.array(*[f"s{i}" for i in range(n)]), "d", lambda s, d: (s + HOST_STRENGTH * d) / (F.col("pages") + HOST_STRENGTH)).alias("h"))
-    rows = _attach(rows, hosts, "host")
+    rows = _attach(rows, hosts, "host").withColumn("h", F.when(F.col("host") != "", F.col("h")).otherwise(prior))
     for cue, name in (("declared", "c"), ("suffix", "u")):
         # P(cue | language) / P(cue): how much likelier a language is under this cue than at all.
         cues = _sums(rows, cue, n).select(cue, F.zip_with("s", prior, lambda s, b: (s + CUE_STRENGTH * b) / (F.col("pages") + CUE_STRENGTH) / b).alias(name))
         rows = _attach(rows, cues, cue)
-    fused = F.transform(F.arrays_zip("l", "h", "c", "u"), lambda x: x["l"] + F.log(x["h"]) + F.when(F.col("declared") != "", F.log(x["c"])).otherwise(0.0) + F.log(x["u"]))
+    fused = F.transform(F.arrays_zip("l", "h", "c", "u"), lambda x: x["l"] + F.log(x["h"]) + F.when(F.col("declared") != "", F.log(x["c"])).otherwise(0.0) + F.when(F.col("suffix") != "", F.log(x["u"])).otherwise(0.0))
     rows = rows.withColumn("post", softmax(fused))
     names = F.array(*[F.lit(x) for x in langs])
     best = lambda c: names[(F.array_position(c, F.array_max(c)) - 1).cast("int")]

@@ -2,12 +2,16 @@ r"""Personal data: patterns propose spans, checksums confirm them, nearby contex
 
 Only DataFrame functions: a pattern's hits and the pieces between them give the spans' offsets in code points. The
 patterns are written so that each start is tried once per run of characters (`\G` or a look-behind) and repetitions are
-possessive: time is linear in the text, and long runs of digits or letters need no stack.
+possessive, offsets are running sums taken block by block, and a hit's context comes from the pieces next to it: time is
+linear in the text and in its hits, and long runs of digits or letters need no stack.
 
-Kinds, in order: email, ip, card (Luhn), phone: the base; iban (mod 97) and ssn (needs a context word) are added.
+Kinds, in order: email, ip, card (Luhn), phone: the base; iban (mod 97) and ssn (needs a context word) are added; these
+two must not touch further characters of their kind (EDGES). A context word within CONTEXT characters before or after a
+span raises its score.
 
 Defined results: null and empty texts have no spans; hits that fail their check are dropped without a retry inside them;
-rows that repeat give a row each; an empty table gives an empty result; further columns are not read.
+rows that repeat give a row each; an empty table gives an empty result; further columns pass through `spans`, which puts
+its result in place of a column named pii.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import LOWER, UPPER, let
 
 LOCAL = "[A-Za-z0-9._%+-]"
 LABEL = "[A-Za-z0-9-]"
@@ -27,10 +31,12 @@ PATTERNS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]"),
     "card": (r"[0-9]++(?:[ -][0-9]++)*+", r"[0-9](?:[ -]?[0-9]){12}"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
+    "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
 }
-#: Score before and gain by a context word within CONTEXT characters before the span; spans under KEEP go, base ones never.
+#: Characters that must not stand next to a span.
+EDGES = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]"}
+#: Score before and gain by a context word within CONTEXT characters of the span; spans under KEEP go, base ones never.
 SCORES = {"email": (0.9, 0.1), "ip": (0.6, 0.3), "card": (0.8, 0.2), "phone": (0.6, 0.3), "iban": (0.9, 0.1), "ssn": (0.3, 0.5)}
 WORDS = {
     "email": "mail|contact|write",
@@ -90,33 +96,68 @@ def confirmed(kind: str, hit: Column) -> Column:
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def kind_spans(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, score>> of one kind, in order; start and end in code points, end exclusive."""
-    pattern, test = PATTERNS[kind]
-    score, gain = SCORES[kind]
+#: Hits of a block whose running sums are taken by themselves.
+BLOCK = 256
 
-    def located(both: Column) -> Column:
-        pairs = F.arrays_zip(both["pieces"], both["hits"])
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,hit:string>>").alias("out"))
 
-        def step(acc: Column, z: Column) -> Column:
-            s = acc["at"] + F.length(z["pieces"])
-            e = s + F.length(z["hits"])
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["hits"].alias("hit")))).alias("out"))
+def running(sizes: Column) -> Column:
+    """Running sums of a non-empty array of whole numbers: within blocks, then over the blocks' totals."""
 
-        return F.aggregate(F.slice(pairs, F.lit(1), F.size(both["hits"])), first, step, lambda acc: acc["out"])
+    def sums(part: Column) -> Column:
+        return F.aggregate(part, F.array().cast("array<bigint>"), lambda out, x: F.concat(out, F.array(F.coalesce(F.get(out, F.size(out) - 1), F.lit(0)) + x)))
 
-    def scored(x: Column) -> Column:
-        begin = F.greatest(x["s"] - CONTEXT, F.lit(0))
-        near = F.lower(F.substring(text, begin + 1, x["s"] - begin)).rlike(rf"\b(?:{WORDS[kind]})")
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), F.when(near, score + gain).otherwise(score).alias("score"))
+    def whole(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK)), lambda b: sums(F.slice(x, b.cast("int") * BLOCK + 1, F.lit(BLOCK))))
+        before = lambda parts: sums(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
+        moved = lambda parts, tops: F.flatten(F.transform(parts, lambda p, b: F.transform(p, lambda v: v + F.coalesce(F.get(tops, b - 1), F.lit(0)))))
+        return let(blocks, lambda parts: let(before(parts), lambda tops: moved(parts, tops)))
+
+    return let(sizes, whole)
+
+
+def kind_spans(text: Column, kind: str) -> Column:
+    """array<struct<kind, start, end, score>> of one kind, in order; start and end in code points, end exclusive."""
+    pattern, test = PATTERNS[kind]
+    score, gain = SCORES[kind]
+    near = rf"(?:^|[^a-z0-9_])(?:{WORDS[kind]})"
+    wide = F.lit(CONTEXT)
+
+    def before(pieces: Column, hits: Column, i: Column) -> Column:
+        """The CONTEXT characters before hit i: every hit has one at least, so those of the last CONTEXT hits are enough."""
+        own, first = F.get(pieces, i), F.greatest(i - CONTEXT, F.lit(0))
+        joined = F.array_join(F.transform(F.slice(hits, first + 1, i - first), lambda h, j: F.concat(F.right(F.get(pieces, first + j), wide), h)), "")
+        return F.when(F.length(own) >= CONTEXT, F.right(own, wide)).otherwise(F.right(F.concat(joined, own), wide))
+
+    def after(pieces: Column, hits: Column, i: Column) -> Column:
+        own = F.get(pieces, i + 1)
+        joined = F.array_join(F.transform(F.slice(hits, i + 2, wide), lambda h, j: F.concat(h, F.left(F.get(pieces, i + 2 + j), wide))), "")
+        return F.when(F.length(own) >= CONTEXT, F.left(own, wide)).otherwise(F.left(F.concat(own, joined), wide))
+
+    def placed(both: Column, kept: Column) -> Column:
+        pieces, hits = both["pieces"], both["hits"]
+        ends = running(F.transform(hits, lambda h, i: F.length(F.get(pieces, i)) + F.length(h)))
+
+        def scored(end: Column, x: Column, around: Column) -> Column:
+            words = F.translate(around["b"], UPPER, LOWER).rlike(near) | F.translate(around["a"], UPPER, LOWER).rlike(near)
+            edge = F.right(around["b"], F.lit(1)).rlike(EDGES[kind]) | F.left(around["a"], F.lit(1)).rlike(EDGES[kind]) if kind in EDGES else F.lit(False)
+            return F.struct(F.lit(kind).alias("kind"), (end - F.length(x["hit"])).cast("int").alias("start"), end.cast("int").alias("end"), F.when(words, score + gain).otherwise(score).alias("score"), edge.alias("edge"))
+
+        def one(at: Column, x: Column) -> Column:
+            around = F.struct(before(pieces, hits, x["i"]).alias("b"), after(pieces, hits, x["i"]).alias("a"))
+            return let(around, lambda c: scored(F.get(at, x["i"]), x, c))
+
+        found = let(ends, lambda at: F.transform(kept, lambda x: one(at, x)))
+        low = lambda x: x["edge"] | (x["score"] < (0.0 if kind in BASE else KEEP))
+        return F.transform(F.filter(found, lambda x: ~low(x)), lambda x: F.struct(x["kind"], x["start"], x["end"], x["score"]))
+
+    def checked(both: Column) -> Column:
+        numbered = F.transform(both["hits"], lambda h, i: F.struct(h.alias("hit"), i.alias("i")))
+        kept = F.filter(numbered, lambda x: confirmed(kind, x["hit"]))
+        return let(kept, lambda k: F.when(F.size(k) > 0, placed(both, k)).otherwise(F.array().cast(SPAN)).cast(SPAN))
 
     both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    found = F.transform(F.filter(let(both, located), lambda x: confirmed(kind, x["hit"])), scored)
-    if kind not in BASE:
-        found = F.filter(found, lambda x: x["score"] >= KEEP)
     some = F.contains(text, F.lit(test)) if len(test) == 1 else text.rlike(test)
-    return F.when(some, found).otherwise(F.array()).cast(SPAN)
+    return F.when(some, let(both, checked)).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
 def spans(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = BASE + ADDED) -> DataFrame:
@@ -130,5 +171,10 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def scores(found: Column) -> Column:
+    """The score of each span, with two digits, comma-joined."""
+    return F.array_join(F.transform(found, lambda x: x["score"].cast("decimal(3,2)").cast("string")), ",")
+
+
 def count_of(found: Column, kind: str) -> Column:
     return F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long")

@@ -6,9 +6,12 @@ that no rule fits. An explicit allow takes precedence: a URL that an allow rule
 holds an explicitly allowed URL isn't blocked through its other members.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: from there up to `?`, `#` or the end.
+In the graph URLs are told apart by scheme and host in lower case, path with its dot segments resolved (`/` if empty) and
+query; the fragment is dropped. Links are resolved against their page; those of other schemes (`mailto:`) are none.
 Defined results: a null URL, or one without `://`, has empty host and path, no rule fits it and it is allowed; among the
-rules that fit the longest (host and path together) wins, allow before block; rows that repeat give a row each; an empty
-table gives an empty result; further columns pass through (internal columns start with `__uf_`).
+rules that fit the longest (host and path together) wins, allow before block; all canonical links and refreshes of a
+page count; rows that repeat give a row each; an empty table gives an empty result; further columns pass through
+(internal columns start with `__uf_`).
 """
 
 from __future__ import annotations
@@ -16,17 +19,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, small_side
+from .common import LOWER, UPPER, cut, let, salted_join, small_side
 from .components import components
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Up to so many rules are written into the plan; more are joined by host suffix.
 INLINE_RULES = 64
 
-TAG = {"canonical": r"""(?i)<link\b[^<>]*\brel\s*=\s*["']?canonical\b[^<>]*>""", "refresh": r"""(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b[^<>]*>"""}
-TARGET = {"canonical": r"""(?i)\bhref\s*=\s*["']?([^"'<>\s]+)""", "refresh": r"""(?i)\burl\s*=\s*["']?([^"'<>\s;]+)"""}
+#: Patterns of HTML; written without look-arounds, so that other engines can use them too.
+TAGS = r"(?i)<(?:link|meta)\b[^<>]*>"
+KINDS = {
+    r"""(?i)^<link\b[^<>]*[ \t\r\n\f"'/]rel[ \t\r\n\f]*=[ \t\r\n\f]*["']?canonical["' \t\r\n\f/>]""": r"""(?i)[ \t\r\n\f"'/]href[ \t\r\n\f]*=[ \t\r\n\f]*["']?([^"'<> \t\r\n\f]+)""",
+    r"""(?i)^<meta\b[^<>]*[ \t\r\n\f"'/]http-equiv[ \t\r\n\f]*=[ \t\r\n\f]*["']?refresh["' \t\r\n\f/>]""": r"""(?i)[ \t\r\n\f"';]url[ \t\r\n\f]*=[ \t\r\n\f]*["']?([^"'<>; \t\r\n\f]+)""",
+}
+DOTS = r"/\.\.?(?:/|\z)"
+AMPERSAND = "&(?:amp|#38|#x26|#X26);"
 
 
 def _rest(url: Column) -> Column:
@@ -41,33 +49,53 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def resolved(path: Column) -> Column:
+    """A path without its dot segments; `/` if it is empty."""
+
+    def fold(segments: Column) -> Column:
+        def step(out: Column, x: Column) -> Column:
+            return F.when(x == ".", out).when(x == "..", F.regexp_replace(out, r"/[^/]*\z", "")).otherwise(F.concat(out, F.lit("/"), x))
+
+        out = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.lit(""), step)
+        return F.concat(out, F.when(F.get(segments, F.size(segments) - 1).isin(".", "..") | (out == ""), F.lit("/")).otherwise(F.lit("")))
+
+    return F.when(path.rlike(DOTS), let(F.split(path, "/"), fold)).when(path == "", F.lit("/")).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """What tells URLs apart in the graph: scheme and host in lower case, the fragment dropped."""
-    scheme = F.lower(F.substring(url, F.lit(1), F.instr(url, "://") - 1))
-    rest = F.regexp_replace(F.regexp_replace(_rest(url), r"^[^/?#]*", ""), "#.*$", "")
-    return F.when(F.contains(url, F.lit("://")), F.concat(scheme, F.lit("://"), host_of(url), rest))
+    """What tells URLs apart in the graph."""
+    scheme = F.translate(F.substring(url, F.lit(1), F.instr(url, "://") - 1), UPPER, LOWER)
+    query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(F.contains(url, F.lit("://")), F.concat(scheme, F.lit("://"), host_of(url), resolved(path_of(url)), query))
 
 
 def absolute(target: Column, base: Column) -> Column:
-    """A link's target seen from the page base."""
+    """A link's target seen from the page base; null for what isn't a page."""
+    t = F.regexp_replace(F.regexp_replace(target, AMPERSAND, "&"), "#.*", "")
     origin = F.regexp_extract(base, r"^([^:]*://[^/?#]*)", 1)
-    folder = F.concat(origin, F.regexp_extract(F.concat(path_of(base), F.lit("")), r"^(.*/)", 1))
+    folder = F.regexp_extract(path_of(base), r"^(.*/)", 1)
     return (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), target))
-        .when(target.startswith("/"), F.concat(origin, target))
-        .otherwise(F.concat(F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder), target))
+        F.when(t == "", None)
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(t.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), t))
+        .when(t.startswith("/"), F.concat(origin, t))
+        .when(t.startswith("?"), F.concat(origin, path_of(base), t))
+        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), t))
     )
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): the canonical link and the meta refresh of each page, as nodes."""
-    found = [F.when(F.col(html).rlike(f"(?i){k}"), F.regexp_extract(F.regexp_extract(F.col(html), TAG[k], 0), TARGET[k], 1)) for k in TAG]
-    # Built inside lambdas: each link is made absolute once, and the generated code stays small.
-    edge = lambda t: let(absolute(t, F.col(url)), lambda a: F.struct(node_of(F.col(url)).alias("src"), node_of(a).alias("dst")))
-    links = F.transform(F.filter(F.array(*found), lambda t: t.isNotNull() & (t != "")), edge)
-    rows = pages.where(F.contains(F.col(url), F.lit("://"))).select(F.explode(links).alias("e"))
-    return rows.select("e.src", "e.dst").where("src != dst")
+    """(src, dst): the canonical links and meta refreshes of each page, as nodes."""
+    target = F.lit(None).cast("string")
+    for kind, value in KINDS.items():
+        target = F.coalesce(target, F.when(F.col("__uf_tag").rlike(kind), F.regexp_extract("__uf_tag", value, 1)))
+    page = F.col(url).alias("__uf_page")
+    rows = pages.where(F.contains(F.col(url), F.lit("://")) & F.col(html).rlike("(?i)canonical|refresh"))
+    rows = rows.select(page, F.explode(F.regexp_extract_all(F.col(html), F.lit(TAGS.replace("*>", "*+>")), F.lit(0))).alias("__uf_tag"))
+    rows = rows.select("__uf_page", target.alias("__uf_target")).where("__uf_target is not null")
+    rows = rows.select("__uf_page", absolute(F.col("__uf_target"), F.col("__uf_page")).alias("__uf_target"))
+    return rows.select(node_of(F.col("__uf_page")).alias("src"), node_of(F.col("__uf_target")).alias("dst")).where("src != dst")
 
 
 def _fits(host: Column, path: Column, rule_host: Column, rule_path: Column) -> Column:
@@ -109,12 +137,16 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url
     blocked = F.lit(False)
     if found:
         graph = found[0] if len(found) == 1 else found[0].union(found[1])
-        classes = components(graph)
+        classes = cut(components(graph))
         nodes = with_rules(classes.withColumn("__uf_host", host_of(F.col("node"))).withColumn("__uf_path", path_of(F.col("node"))), rules)
         says = nodes.groupBy("label").agg(F.max((F.col("__uf_rule.verdict") == "block").cast("int")).alias("b"), F.max((F.col("__uf_rule.verdict") == "allow").cast("int")).alias("a"))
-        bad = cut(classes.join(says.where("b = 1 and coalesce(a, 0) = 0"), "label").select(F.col("node").alias("__uf_bad")))
-        side, _ = small_side(bad, 512)
-        rows = rows.withColumn("__uf_node", node_of(F.col(url))).join(side, F.col("__uf_node") == F.col("__uf_bad"), "left").drop("__uf_node")
+        says = cut(says.where("b = 1 and coalesce(a, 0) = 0").select("label", F.lit(True).alias("__uf_shut")))
+        side, small = small_side(says, 512)
+        members = classes.join(side, "label") if small else salted_join(classes, says, "label").where("__uf_shut")
+        bad = cut(members.select(F.col("node").alias("__uf_node"), F.lit(True).alias("__uf_bad")))
+        side, small = small_side(bad, 512)
+        rows = rows.withColumn("__uf_node", node_of(F.col(url)))
+        rows = (rows.join(side, "__uf_node", "left") if small else salted_join(rows, bad, "__uf_node")).drop("__uf_node")
         blocked = F.col("__uf_bad").isNotNull()
     verdict = F.coalesce(F.col("__uf_rule.verdict"), F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select(*[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")], F.col("__uf_host").alias("host"), F.col("__uf_path").alias("path"), F.col("__uf_rule.rule").alias("rule"), verdict.alias("verdict"))

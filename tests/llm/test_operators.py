@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("daywheel.llm")
 from pyspark.sql import functions as F
 
-from daywheel.llm import anntree, components, decontaminate, jaccard, language, mixing, pii, quality, tokenfile, toxicity, urls
+from daywheel.llm import anntree, catalog, components, decontaminate, jaccard, language, mixing, pii, quality, textnum, tokenfile, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Extra columns whose names the operators use inside.
@@ -209,6 +209,86 @@ def test_url_rules_and_aliases(spark):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, many).collect()} == got
 
 
+def in_duckdb(sql, **tables):
+    """Rows of an SQL twin over tables given as (columns, rows)."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for name, (schema, rows) in tables.items():
+        con.execute(f"CREATE TABLE {name} ({schema})")
+        con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * (schema.count(',') + 1))})", rows)
+    got = con.execute(sql)
+    names = [c[0] for c in got.description]
+    return sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in got.fetchall()), key=repr)
+
+
+def in_spark(df):
+    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
+
+
+def test_pii_equals_its_sql(spark, tmp_path):
+    texts = [
+        "my tax id: 123-45-6789", "123-45-6789 is my ssn", "ssn _123-45-6789_ and x123-45-6789-1", "ssn 0123-45-6789", "no word 123-45-6789",
+        "DE89370400440532013000", "_DE89370400440532013000_", "xDE89370400440532013000", "é DE89 3704 0044 0532 0130 00é GB29 NWBK 6016 1331 9268 19, DE89 3704 0044 0532 0130 01",
+        "call +1 555 123 4567 ext", "é" * 60 + " visa 4111 1111 1111 1111" + "é" * 60 + "pay 5500005555555559 card", "a@b.co c@d.co mail e@f.co" * 30, "1.2.3.4 server 5.6.7.8 host", None, "", "advisa 4111111111111111", "4111111111111111 credit",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = in_spark(catalog.op8_personal_data(spark, str(tmp_path)))
+    assert got == in_duckdb(catalog.OP8_SQL, documents=("doc_id BIGINT, text VARCHAR", rows))
+    found = {r.doc_id: (r.spans, r.scores) for r in catalog.op8_personal_data(spark, str(tmp_path)).collect()}
+    assert found[0] == ("ssn:11:22", "0.80") and found[1] == ("ssn:0:11", "0.80") and found[3] == ("", "") and found[4] == ("", "")
+    assert found[9][1] == "0.90" and found[15][1] == "0.80" and found[16][1] == "1.00"
+
+
+def test_pii_of_many_hits(spark):
+    """One valid card among very many short numbers, and very many valid hits: linear in both."""
+    short = " ".join(["12 x"] * 100_000)
+    text = f"{short} card 4111 1111 1111 1111 x {short}"
+    mails = "a@b.co " * 60_000
+    got = {r.doc_id: r.pii for r in pii.spans(docs(spark, [(1, text), (2, mails)])).collect()}
+    at = len(short) + 6
+    assert [(x.kind, x.start, x.end) for x in got[1]] == [("card", at, at + 19)]
+    assert [(x.start, x.end) for x in got[2]] == [(7 * i, 7 * i + 6) for i in range(60_000)]
+
+
+def test_urls_equal_their_sql(spark, tmp_path):
+    rng = random.Random(9)
+    hosts = ["a.example.org", "shop.com", "mirror.net", "x.test", "Y.Test", "free.net", "notexample.org"]
+    paths = ["", "/", "/es/x", "/de/1", "/fr/2", "/en/1", "/a/b/c", "/a/./b/../b/c", "/q?x=1&y=2", "/a/b/"]
+    targets = [*[f"http://{h}{p}" for h in hosts for p in paths], "../c", "./c", "?z=1", "#top", "mailto:me@x.test", "//x.test/de/1", "/de/1", "c", "..", "/q?x=1&amp;y=2", "HTTP://SHOP.com/de/1#f", "javascript:void(0)"]
+    forms = ['<link rel="canonical" href="{}">', "<LINK href='{}' class=x rel=canonical />", '<meta http-equiv="refresh" content="0; url={}">', "<Meta Content='5;URL={}' Http-Equiv=Refresh>", '<a rel="canonical" href="{}">', '<link data-rel="canonical" href="{}">']
+    rows = []
+    for i in range(150):
+        html = "".join(rng.choice(forms).format(rng.choice(targets)) for _ in range(rng.choice([0, 0, 1, 1, 2])))
+        rows.append((i, rng.choice(["http://", "https://"]) + rng.choice(hosts) + rng.choice(paths), html))
+    rows += [(200, None, "<link rel=canonical href=http://shop.com/de/1>"), (201, "no scheme", ""), (202, "http://x.test/only", None), (3, rows[3][1], rows[3][2])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = in_spark(catalog.op9_url_filter(spark, str(tmp_path)))
+    assert got == in_duckdb(catalog.OP9_SQL, pages=("page_id BIGINT, url VARCHAR, html VARCHAR", rows))
+    plain = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), html=None).collect()}
+    assert any(plain[r[1]] != r[-1] for r in got)
+
+
+def test_urls_given_edges_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 500)
+    pages = spark.createDataFrame([(i, f"http://h{i}.net/") for i in range(3000)], "page_id long, url string")
+    edges = spark.createDataFrame([(f"http://h{i}.net/", "http://shop.com/de/1") for i in range(0, 3000, 2)] + [(None, "http://h1.net/"), ("http://h3.net/", "http://h3.net/#x")], "src string, dst string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, html=None, edges=edges).collect()}
+    assert got == {i: "block" if i % 2 == 0 else "allow" for i in range(3000)}
+    # The hub as the largest and as the smallest node.
+    for hub in (10**9, -1):
+        star = spark.range(100_000).select(F.col("id").alias("src"), F.lit(hub).cast("long").alias("dst"))
+        found = components.components(star).agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).first()
+        assert tuple(found) == (100_001, min(hub, 0), min(hub, 0))
+
+
+def test_language_of_open_tags(spark):
+    assert language.visible("a<script>x</script >b<!-- <p> -->c<nav>d<p>e</NAV>f<script>g<p>h") == "a b c f g h"
+    assert language.visible("x < y <!-- z <div class=\"ad\">q</div>&amp;&#999999999999999999;") == "x < y <!-- z  &\ufffd"
+    for page in ("<script" * 300_000, "<!--" * 500_000, "<nav>" * 400_000, "<script>a</nav>" * 140_000, "<" * 2_000_000):
+        assert len(language.visible(page)) <= len(page)
+
+
 ODD = ["", " ", "a  b", "a   b ", "x\n \ny", "a\n\n b", "it's 's ' s", "a \nb", "\t\n b", " a", "a ", "é  b", "a\x1cb .\x1c.", "x<|endoftext|>y", "1 2 3,4", "\n \n", "naïve café ¡olé!", "word," * 50]
 
 
@@ -237,6 +317,35 @@ def test_token_files(spark, tmp_path):
         list(tokenfile.Reader(f"file://{name}").documents())
 
 
+def thue_morse(n):
+    """Two words of 2**n letters on which every polynomial hash mod 2**64 agrees from n = 10 on."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse(10)
+    hashes, _ = textnum.word_hashes([one.encode(), two.encode()])
+    assert hashes[0] != hashes[1]
+    encoder = tokenfile.Encoder(tokenfile.default_vocabulary())
+    texts = [one, two, f"x {one} y {two}"]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs(spark, [(1, one), (2, two), (3, f"{one} a b c d e"), (4, f"{two} a b c d e")])).collect()}
+    assert got == {i: i for i in range(1, 5)}
+
+
+def test_word_hash_of_the_same_words_anywhere():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 64, 65, 130, 700]))) for _ in range(60)]
+    alone = [int(textnum.word_hashes([w.encode()])[0][0]) for w in words]
+    together, bounds = textnum.word_hashes([" ".join(words).encode(), ("\n" + "\t ".join(words).upper().replace("É", "é")).encode()])
+    assert together.tolist() == alone + alone and bounds.tolist() == [0, 60, 120]
+    assert len(set(alone)) == len(set(words))
+
+
 def test_frames_are_independent(tmp_path):
     out = tokenfile.Writer(f"file://{tmp_path}/one.dwt", frame_ids=8)
     ids = [np.arange(n, dtype="<u4").tobytes() for n in (1, 3, 20, 5, 4, 2)]
