@@ -28,7 +28,6 @@ MAX_ROWS = 20_000
 SOFT = 0.1
 #: Bounds of the strength of a prior, in documents.
 STRENGTH = (2.0, 500.0)
-NOBODY = "\x00"
 
 _CLASS = np.zeros(256, np.int64)
 for _at, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), b".,;:!?'\"", b"#$%&*|<>{}[]\\/=_^~@+-()", b" ", b"\n", range(128, 256))):
@@ -71,12 +70,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
+def _named(site: Column) -> Column:
+    """A site's name; null is no name that another could have."""
+    return F.coalesce(F.concat(F.lit("+"), site), F.lit("-"))
+
+
 def evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> tuple[DataFrame, float]:
     """((doc_id, host, path, label, p), global rate): each row's label, if it may be learnt from, and classifier evidence p."""
     text_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("label"))
     known = known.where(~held_out(F.col("doc_id")))
-    rows = docs.select("doc_id", "text", F.coalesce(host, F.lit(NOBODY)).alias("host"), F.coalesce(path, F.lit(NOBODY)).alias("path"))
+    rows = docs.select("doc_id", "text", _named(host).alias("host"), _named(path).alias("path"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -118,7 +122,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     """(doc_id, evidence, host_rate, path_rate, score, keep) of each row; keep: score >= 0.5. Host and path default to source and lang."""
     rows, rate = evidence(docs, labels, F.col("source") if host is None else host, F.col("lang") if path is None else path)
     rows = rows.withColumn("w", F.when(F.col("label").isNotNull(), 1.0).otherwise(SOFT)).withColumn("y", F.col("w") * F.coalesce("label", "p"))
-    rows = rows.withColumn("site", F.concat_ws("\x01", "host", "path"))
+    rows = rows.withColumn("site", F.concat(F.length("host").cast("string"), F.lit(":"), "host", "path"))
     paths = cut(rows.groupBy("host", "site").agg(F.sum("w").alias("n"), F.sum("y").alias("s")))
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     k_host, k_path = strength(hosts, rate), strength(paths, rate)
