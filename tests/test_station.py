@@ -60,10 +60,14 @@ def test_series_and_period(spark):
 
 def test_config(tmp_path):
     file = tmp_path / "c.yaml"
-    file.write_text("# head\noutput:\n  root: 'a # b'  # tail\n  group_by_date: false\nruns: [1, 2]\nempty:\nrate: 0.5\n")
+    file.write_text("# head\noutput_root: 'a # b'  # tail\nno colon here\ngroup_outputs_by_day: no\ndeep:\n  inner:\n    x: 1e3\n  y: on\nruns: [1, 2]\nempty:\nrate: 0.5\ntext: \"it\\\"s # kept\" # gone\n")
     found = config.load_config(file)
-    assert found == {"output": {"root": "a # b", "group_by_date": False}, "runs": [1, 2], "empty": {}, "rate": 0.5}
+    assert found == {"output_root": "a # b", "group_outputs_by_day": "no", "deep": {"inner": {"x": 1000.0}, "y": "on"}, "runs": [1, 2], "empty": {}, "rate": 0.5, "text": 'it\\"s # kept'}
     assert config.load_config(tmp_path / "none") == {}
-    assert config.output_root(found, "x", "/p").as_posix() == "/p/a # b"
+    assert config.output_root(found, "/p").as_posix() == "/p/a # b"
+    assert config.output_root({"output_root": "outputs"}, "/p", day=DAY).as_posix() == "/p/outputs/01_01_25"
+    assert config.output_root({"output_root": "/o", "group_outputs_by_day": False}, "/p").as_posix() == "/o"
+    assert config.output_root({"date_folder_format": "%Y"}, "/p", day=DAY).as_posix() == "/p/outputs/2025"
+    assert config.date_folder(DAY.replace(month=7, day=14)) == "14_07_25"
     once = config.dated_root("/o", DAY)
-    assert once.name == "01-01-2025" and config.dated_root(once, DAY) == once
+    assert once.name == "01_01_25" and config.dated_root(once, DAY) == once
