@@ -16,7 +16,7 @@ from ..operators import arma, cluster, distance, evaluate, frame, network, reduc
 from ..operators.cluster import assign_splits
 from ..sources.schema import DATE, RAIN, STATION
 from ..sources.station import load_station, rain_series
-from . import report, sweep
+from . import outputs, report, sweep
 
 
 def measure_columns(daily: DataFrame) -> list[str]:
@@ -74,14 +74,18 @@ def run_network(daily: DataFrame, config: sweep.Config, horizon: int = 5, train:
     ids = [STATION, "split", "window_index"]
     found = network.predict(samples, models, ids, horizon, units).drop("model_cluster")
     full = samples.join(found, ids).withColumn("predicted", F.col("yhat_by_lead")[horizon - 1])
-    selected = None
+    selected = compared = None
     if oracle:
         every = network.predict(samples.where("split = 'test'"), models, ["window_index"], horizon, units, every=True)
         rows = samples.where("split = 'test'").select("window_index", F.col("cluster").alias("test_cluster"), F.col("y").alias("actual")).join(every, "window_index")
         rows = rows.select(F.col("window_index").alias("idx"), "test_cluster", "actual", F.col("model_cluster").alias("model"), F.col("yhat_by_lead")[horizon - 1].alias("prediction"))
-        selected = routing.selection(routing.comparison(rows))
+        compared = routing.comparison(rows)
+        selected = routing.selection(compared)
     if folder:
-        row = report.save_run(f"{folder}/{config.name}", full, network.history_table(models), selected)
+        about = {"name": config.name, "window_size": config.window, "n_clusters": config.k, "algorithm": algorithm, "sigma": config.sigma, "forecast_horizon": horizon, "pca_variance_threshold": pca, "pca_for_clustering_only": pca is not None, "lstm_units": units[0], "dense_units": units[1]} | options
+        report.save_run(f"{folder}/{config.name}", full, network.history_table(models), selected)
+        row = outputs.save_run(f"{folder}/{config.name}", full, about, horizon, selected, compared) | {"window_size": config.window, "n_clusters": config.k, "sigma": config.sigma}
+        outputs.write_report(f"{folder}/{config.name}", about)
     else:
         got = {r.split: r for r in metrics.by(full, "split", actual="y").collect()}
         row = {f"{s}_{m}": got[s][m] for s in frame.SPLITS if s in got for m in ("rmse", "mae", "r2")}
@@ -90,8 +94,8 @@ def run_network(daily: DataFrame, config: sweep.Config, horizon: int = 5, train:
     return row
 
 
-def run_arma(daily: DataFrame, config: sweep.ArmaConfig, train: float = 0.6, val: float = 0.1, rain: str = RAIN) -> dict:
-    """Fit on the train days, forecast at every day with fixed parameters, evaluate on whole lead-day rows."""
+def run_arma(daily: DataFrame, config: sweep.ArmaConfig, train: float = 0.6, val: float = 0.1, rain: str = RAIN, folder: str | None = None) -> dict:
+    """Fit on the train days, forecast at every day with fixed parameters, evaluate on whole lead-day rows. folder: where its files go."""
     rows = frame.split(rain_series(daily, rain, check=True), train, val, check=True).persist()
     fitted = arma.fit_stations(rows.where("split = 'train'"), [(config.p, config.q)], rain).first()
     if fitted.error:
@@ -101,6 +105,12 @@ def run_arma(daily: DataFrame, config: sweep.ArmaConfig, train: float = 0.6, val
     arma.check_forecasts(ahead)
     targets = windows.supervised(rows, config.window, config.horizon, rain, [rain], need_current=True)
     both = targets.join(ahead.select(F.col("row_idx").alias("origin_index"), "yhat_by_lead"), "origin_index").withColumn("predicted", F.col("yhat_by_lead")[config.horizon - 1])
+    if folder:
+        facts = {"aic": fitted.aic, "bic": fitted.bic, "hqic": fitted.hqic}
+        text = "\n".join(["ARMA MODEL", f"order: ({config.p}, {config.q})", f"mean: {report.number(fitted.mean)}", f"ar: {list(fitted.ar)}", f"ma: {list(fitted.ma)}", *[f"{k}: {report.number(v)}" for k, v in facts.items()]]) + "\n"
+        row = outputs.save_run(f"{folder}/{config.name}", both, {"name": config.name, "window_size": config.window, "forecast_horizon": config.horizon}, config.horizon, model_summary=text, facts=facts)
+        rows.unpersist()
+        return row | {"window_size": config.window}
     got = {r.split: r for r in metrics.by(both, "split", actual="y").collect()}
     rows.unpersist()
     return {"aic": fitted.aic, "bic": fitted.bic, "hqic": fitted.hqic} | {f"{s}_{m}": got[s][m] for s in frame.SPLITS if s in got for m in ("rmse", "mae", "r2")}
@@ -113,9 +123,11 @@ def run_sweep(daily: DataFrame, grid: list, run, **options: object) -> tuple[Dat
     daily.unpersist()
     if not done:
         return None, failed
-    names = list(done[0])
-    kinds = ", ".join(f"{n} {'string' if n == 'run_name' else 'double'}" for n in names)
-    table = daily.sparkSession.createDataFrame([tuple(r.get(n) if n == "run_name" or r.get(n) is None else float(r[n]) for n in names) for r in done], kinds)
+    names = list(dict.fromkeys(n for r in done for n in r))
+    whole = {n: all(isinstance(r.get(n), int) for r in done) for n in names}
+    kinds = ", ".join(f"{n} {'string' if n == 'run_name' else 'long' if whole[n] else 'double'}" for n in names)
+    cell = lambda n, v: v if n == "run_name" or v is None or whole[n] else float(v)
+    table = daily.sparkSession.createDataFrame([tuple(cell(n, r.get(n)) for n in names) for r in done], kinds)
     return sweep.rank(table), failed
 
 
@@ -154,9 +166,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.kind == "network":
             ranked, failed = run_sweep(daily, sweep.configurations(args.windows, args.k, [args.sigma] if args.algorithm == "spectral" else None), run_network, horizon=args.horizon, algorithm=args.algorithm, oracle=args.oracle, folder=args.out, epochs=args.epochs)
         else:
-            ranked, failed = run_sweep(daily, sweep.arma_configurations(args.windows, args.horizon, args.orders), run_arma)
+            ranked, failed = run_sweep(daily, sweep.arma_configurations(args.windows, args.horizon, args.orders), run_arma, folder=args.out)
         if ranked is not None:
             print(report.text_table(report.rows_of(ranked.orderBy("rank")), ["rank", "run_name", "test_rmse", "test_mae"]))
+            if args.out:
+                outputs.save_sweep(args.out, report.rows_of(ranked), failed, {"Station": f"{args.state}/{args.station}", "Window sizes": args.windows, "Forecast horizon": args.horizon})
         for f in failed:
             print(f"failed {f['run_name']}: {f['error']}")
     return 0

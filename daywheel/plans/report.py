@@ -40,9 +40,9 @@ def latex_table(rows: list[dict], columns: list[str], caption: str, label: str,
     return "\n".join([r"\begin{table}[htbp]", r"\centering", rf"\caption{{{escape(caption)}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{'l' + 'r' * (len(columns) - 1)}}}", r"\hline", head, r"\hline", *body, r"\hline", r"\end{tabular}", r"\end{table}"])
 
 
-def rows_of(df: DataFrame, limit: int = 1000) -> list[dict]:
-    """A small result table as dicts."""
-    return [r.asDict() for r in df.limit(limit).collect()]
+def rows_of(df: DataFrame) -> list[dict]:
+    """All rows of a result table (a row for each split, cluster, lead day or run) as dicts."""
+    return [r.asDict() for r in df.collect()]
 
 
 def text_table(rows: list[dict], columns: list[str], digits: int = 4) -> str:
@@ -96,7 +96,7 @@ def plot_tables(samples: DataFrame, history: DataFrame | None = None, selected:
 def save_run(folder: str, samples: DataFrame, history: DataFrame | None = None, selected: DataFrame | None = None) -> dict:
     """Write a run's tables and return its row of the sweep: test measures by name."""
     for name, table in plot_tables(samples, history, selected).items():
-        write_table(table, folder, name)
+        write_table(table, folder, name, summary=name not in ("predictions", "lead_days"))
     by_split = {r["split"]: r for r in rows_of(metrics.by(samples, "split", actual="y"))}
     return {f"{s}_{m}": by_split[s][m] for s in ("train", "val", "test") if s in by_split for m in ("rmse", "mae", "r2")}
 

@@ -32,6 +32,8 @@ def test_network_run(spark, daily, tmp_path):
     assert set(row) >= {"train_rmse", "val_mae", "test_rmse"} and row["test_rmse"] > 0
     names = {p.name for p in (tmp_path / "w4_k2").iterdir()}
     assert {"predictions.parquet", "lead_day_metrics.csv", "oracle_transfer_matrix.parquet", "training_history.parquet"} <= names
+    assert {"metrics_summary.csv", "test_predictions.csv", "summary.txt", "test_model_selection_report.txt", "report.tex"} <= names
+    assert row["n_clusters"] == 2 and "cluster_0_rmse" in row
     lead = spark.read.parquet(str(tmp_path / "w4_k2" / "lead_day_metrics.parquet"))
     assert lead.where("lead_day = 2").first().rmse == pytest.approx(row["test_rmse"])
     oracle = spark.read.parquet(str(tmp_path / "w4_k2" / "oracle_metric_summary.parquet")).where("metric = 'RMSE'").first()
@@ -43,6 +45,14 @@ def test_arma_sweep(daily):
     assert [r.run_name for r in ranked.collect()] == ["arma_p1_q0_w5_h2"] and failed[0]["run_name"] == "arma_p120_q1_w5_h2"
 
 
+def test_arma_files(spark, root, tmp_path, capsys):
+    out = tmp_path / "sweep"
+    assert experiments.main(["arma", "--root", root, "--state", "RS", "--station", "A801", "--windows", "5", "--horizon", "2", "--orders", "1,0", "--out", str(out)], spark) == 0
+    assert {"sweep_results.csv", "sweep_summary.txt", "overleaf_table.txt"} <= {p.name for p in out.iterdir()}
+    run = out / "arma_p1_q0_w5_h2"
+    assert {"metrics_summary.csv", "test_predictions.csv", "summary.txt", "arma_model_summary.txt"} <= {p.name for p in run.iterdir()}
+
+
 def test_tools(spark, root, daily, capsys):
     assert experiments.run_auto_sigma(daily, 4, n=5).count() == 5
     gaps = experiments.run_eigengap(daily, [3], points=4, budget=6, max_gaps=5)
