@@ -1,7 +1,7 @@
 """Pairwise operators over (idx, features: array<double>): distances, affinities, sigma candidates, silhouettes.
 
-All are quadratic by definition. Pairs are formed once (i < j) by blocks of rows; aggregates over pairs are combined
-before they are shuffled.
+All are quadratic by definition. Pairs are formed once (i < j) by blocks of rows; order statistics and silhouettes are
+summed within each pair of blocks, so that pairs become rows only where they are the result.
 """
 
 from __future__ import annotations
@@ -25,11 +25,12 @@ def squared_distance(a: Column | str, b: Column | str) -> Column:
 BLOCK_ROWS = 512
 
 
-def pairs(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(i, j, distance) for i < j, with <extra>_i and <extra>_j.
+def _met(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(_p, _q, idx_i, features_i, .., idx_j, features_j, ..): every pair _p <= _q of blocks of about BLOCK_ROWS rows, packed.
 
-    Rows are dealt to blocks of about BLOCK_ROWS; each pair of blocks is one row of a join, its distances one matrix.
+    The pairs of blocks are dealt to a number of partitions that doesn't grow with the rows: a task takes one after another.
     """
+    spark = rows.sparkSession
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     kept = rows.select("idx", "features", *extra).withColumn("_p", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
     fields = ("idx", "features", *extra)
@@ -37,18 +38,38 @@ def pairs(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     left = packed.select(F.col("_p"), *[F.col(f).alias(f"{f}_i") for f in fields]).withColumn("_q", F.explode(F.sequence("_p", F.lit(blocks - 1))))
     right = packed.select(F.col("_p").alias("_q"), *[F.col(f).alias(f"{f}_j") for f in fields])
     met = left.join(right, "_q").select("_p", "_q", *[f"{f}_{s}" for s in "ij" for f in fields])
-    kinds = {f.name: "bigint" if isinstance(f.dataType, T.IntegralType) else f.dataType.simpleString() for f in kept.schema.fields}
+    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return met.repartition(min(blocks * (blocks + 1) // 2, parts), "_p", "_q")
+
+
+def _distances(row: dict):
+    """(first row, distances: some rows of the block i by all of block j) of a pair of blocks, a bounded part at a time."""
+    a, b = (np.array(row[f"features_{s}"], float) for s in "ij")
+    step = max(1, (1 << 20) // max(b.size, 1))
+    for at in range(0, len(a), step):
+        yield at, np.sqrt(((a[at : at + step, None, :] - b[None]) ** 2).sum(2))
+
+
+def _once(row: dict, at: int, far: np.ndarray) -> np.ndarray:
+    """Which of these distances stand for a pair: all of two blocks, i < j within one."""
+    if row["_p"] != row["_q"]:
+        return np.ones_like(far, bool)
+    i, j = (np.array(row[f"idx_{s}"]) for s in "ij")
+    return i[at : at + len(far), None] < j[None]
+
+
+def pairs(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, distance) for i < j, with <extra>_i and <extra>_j. Each pair of blocks of rows is one matrix of distances."""
+    fields = {f.name: f.dataType for f in rows.select("idx", *extra).schema.fields}
+    kinds = {k: "bigint" if isinstance(t, T.IntegralType) else t.simpleString() for k, t in fields.items()}
     schema = ", ".join([f"i {kinds['idx']}", f"j {kinds['idx']}", "distance double"] + [f"{c}_{s} {kinds[c]}" for c in extra for s in "ij"])
 
     def run(parts):
         for part in parts:
             for row in part.to_pylist():
-                a, b = (np.array(row[f"features_{s}"], float) for s in "ij")
                 i, j = (np.array(row[f"idx_{s}"]) for s in "ij")
-                step = max(1, (1 << 22) // max(b.size, 1))
-                for at in range(0, len(a), step):
-                    far = np.sqrt(((a[at : at + step, None, :] - b[None]) ** 2).sum(2))
-                    x, y = np.nonzero(np.ones_like(far, bool) if row["_p"] != row["_q"] else i[at : at + step, None] < j[None])
+                for at, far in _distances(row):
+                    x, y = np.nonzero(_once(row, at, far))
                     u, v = i[at + x], j[y]
                     turn = u > v
                     found = {"i": np.where(turn, v, u), "j": np.where(turn, u, v), "distance": far[x, y]}
@@ -57,7 +78,7 @@ def pairs(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
                         found |= {f"{c}_i": np.where(turn, other, mine), f"{c}_j": np.where(turn, mine, other)}
                     yield pa.RecordBatch.from_pydict({k: pa.array(w) for k, w in found.items()})
 
-    return met.repartition(blocks * (blocks + 1) // 2, "_p", "_q").mapInArrow(run, schema)
+    return _met(rows, extra).mapInArrow(run, schema)
 
 
 def affinity(rows: DataFrame, sigma: float) -> DataFrame:
@@ -76,48 +97,138 @@ def normalized(edges: DataFrame) -> DataFrame:
     return edges.join(left, "i").join(right, "j").select("i", "j", (F.col("w") * F.col("_x") * F.col("_y")).alias("w"))
 
 
-def sigma_candidates(distances: DataFrame, n: int = 20, low: float = SIGMA_RANGE[0], high: float = SIGMA_RANGE[1]) -> DataFrame:
-    """(k, sigma): n values in even steps between two order statistics of the pairwise distances."""
+def sigma_candidates(rows: DataFrame, n: int = 20, low: float = SIGMA_RANGE[0], high: float = SIGMA_RANGE[1]) -> DataFrame:
+    """(k, sigma): n values in even steps between two order statistics of the rows' pairwise distances."""
     if n <= 0:
         raise ValueError("n must be positive")
     if not 0 <= low <= high <= 1:
         raise ValueError("quantiles must satisfy 0 <= low <= high <= 1")
-    total = distances.count()
+    count = rows.count()
+    total = count * (count - 1) // 2
     if not total:
         raise ValueError("at least two samples are needed")
-    at = [min(int(q * total), total - 1) for q in (low, high)]
-    ends = [order_statistic(distances, "distance", k) for k in at]
+    ends = order_statistics(rows, [min(int(q * total), total - 1) for q in (low, high)])
     step = (ends[1] - ends[0]) / (n - 1) if n > 1 else 0.0
     values = [ends[0] + k * step for k in range(n)]
-    return distances.sparkSession.createDataFrame([(k, float(v) if v != 0 else LEAST_SIGMA) for k, v in enumerate(values)], "k int, sigma double")
-
-
-def order_statistic(rows: DataFrame, column: str, k: int, buckets: int = 4096) -> float:
-    """The k-th smallest value (from 0), exactly, by narrowing a histogram: no global sort, nothing collected but counts."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
-    part = rows.select(F.col(column).alias("v"))
-    while True:
-        if low == high:
-            return float(low)
-        width = (high - low) / buckets
-        bucket = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(buckets - 1)) if width > 0 else F.lit(0)
-        counts = part.groupBy(bucket.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
-        for r in counts:
-            if k < r["c"]:
-                break
-            k -= r["c"]
-        if r["c"] <= 100_000:
-            return float(sorted(x[0] for x in part.where(F.col("v").between(r["lo"], r["hi"])).collect())[k])
-        low, high = r["lo"], r["hi"]
-        part = part.where(F.col("v").between(low, high))
+    return rows.sparkSession.createDataFrame([(k, float(v) if v != 0 else LEAST_SIGMA) for k, v in enumerate(values)], "k int, sigma double")
+
+
+#: Buckets of a histogram of distances, and how many distances are looked at one by one in the end.
+BUCKETS, FEW = 8192, 100_000
+
+
+def order_statistics(rows: DataFrame, places: list[int]) -> list[float]:
+    """The pairwise distances at these places of their order (from 0), exactly, by histograms that narrow.
+
+    Distances are counted where they are computed, block pair by block pair; only counts are shuffled, and pairs never
+    become rows but for the FEW at the end.
+    """
+    rows = rows.select("idx", "features").persist()
+    met = _met(rows)
+    first = rows.select("features").first().features
+    far = rows.agg(F.max(F.sqrt(squared_distance(F.col("features"), F.array(*[F.lit(float(x)) for x in first]))))).first()[0]
+    # Of each place: its rank among the distances from the low to the high end (the low one included).
+    spans = [(k, 0.0, 2 * far * (1 + 1e-9) + 1e-300) for k in places]
+    done: dict[int, float] = {}
+    while len(done) < len(places):
+        ends = sorted({s[1:] for i, s in enumerate(spans) if i not in done})
+        bins = _counted(met, ends)
+        wanted = {}
+        for i, (k, a, b) in enumerate(spans):
+            if i in done:
+                continue
+            for bucket, count, least, most in bins[ends.index((a, b))]:
+                if k < count:
+                    break
+                k -= count
+            edges = np.linspace(a, b, BUCKETS + 1)
+            spans[i] = (k, float(edges[bucket]), float(edges[bucket + 1]))
+            if least == most:
+                done[i] = least
+            elif count <= FEW:
+                wanted[i] = spans[i]
+        if wanted:
+            ends = sorted({s[1:] for s in wanted.values()})
+            values = _within(met, ends)
+            for i, (k, a, b) in wanted.items():
+                done[i] = float(np.partition(values[ends.index((a, b))], k)[k])
+    rows.unpersist()
+    return [done[i] for i in range(len(places))]
+
+
+def _counted(met: DataFrame, ends: list[tuple[float, float]]) -> list[list[tuple]]:
+    """Of each span its buckets in order: (bucket, count, least, most)."""
+
+    def run(parts):
+        count = np.zeros((len(ends), BUCKETS), np.int64)
+        least, most = np.full((len(ends), BUCKETS), np.inf), np.full((len(ends), BUCKETS), -np.inf)
+        for part in parts:
+            for row in part.to_pylist():
+                for at, far in _distances(row):
+                    far = far[_once(row, at, far)]
+                    for s, (a, b) in enumerate(ends):
+                        some = far[(far >= a) & (far < b)]
+                        bucket = np.clip(np.searchsorted(np.linspace(a, b, BUCKETS + 1), some, "right") - 1, 0, BUCKETS - 1)
+                        count[s] += np.bincount(bucket, minlength=BUCKETS)
+                        np.minimum.at(least[s], bucket, some)
+                        np.maximum.at(most[s], bucket, some)
+        s, b = np.nonzero(count)
+        yield pa.RecordBatch.from_pydict({"s": pa.array(s.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "c": pa.array(count[s, b]), "lo": pa.array(least[s, b]), "hi": pa.array(most[s, b])})
+
+    found = met.mapInArrow(run, "s int, b int, c bigint, lo double, hi double")
+    found = found.groupBy("s", "b").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    return [sorted((r.b, r.c, r.lo, r.hi) for r in found if r.s == s) for s in range(len(ends))]
+
+
+def _within(met: DataFrame, ends: list[tuple[float, float]]) -> list[np.ndarray]:
+    """The distances of each span, of at most FEW."""
+
+    def run(parts):
+        for part in parts:
+            for row in part.to_pylist():
+                for at, far in _distances(row):
+                    far = far[_once(row, at, far)]
+                    for s, (a, b) in enumerate(ends):
+                        some = far[(far >= a) & (far < b)]
+                        if len(some):
+                            yield pa.RecordBatch.from_pydict({"s": pa.array(np.full(len(some), s, np.int32)), "d": pa.array(some)})
+
+    found = met.mapInArrow(run, "s int, d double").toArrow()
+    where, values = found.column("s").to_numpy(), found.column("d").to_numpy()
+    return [values[where == s] for s in range(len(ends))]
+
+
+def _cluster_sums(rows: DataFrame, label: str) -> DataFrame:
+    """(idx, other, s, c): sum and number of the distances of each row to the others of each cluster, block by block."""
+
+    def run(parts):
+        for part in parts:
+            for row in part.to_pylist():
+                named = [np.unique(np.array(row[f"{label}_{s}"]), return_inverse=True) for s in "ij"]
+                member = [np.eye(len(names))[at] for names, at in named]
+                same = row["_p"] == row["_q"]
+                back = np.zeros((len(row["idx_j"]), len(named[0][0])))
+                ahead = []
+                for at, far in _distances(row):
+                    ahead.append(far @ member[1])
+                    back += far.T @ member[0][at : at + len(far)]
+                sides = [("i", np.concatenate(ahead), named[1][0], member[1].sum(0))]
+                if not same:
+                    sides.append(("j", back, named[0][0], member[0].sum(0)))
+                for side, sums, names, many in sides:
+                    idx = np.array(row[f"idx_{side}"])
+                    count = np.repeat(many[None], len(idx), 0) - (member[0] if same else 0)
+                    x, y = np.nonzero(count)
+                    yield pa.RecordBatch.from_pydict({"idx": pa.array(idx[x]), "other": pa.array(names[y]), "s": pa.array(sums[x, y]), "c": pa.array(count[x, y].astype(np.int64))})
+
+    kinds = {f.name: "bigint" if isinstance(f.dataType, T.IntegralType) else f.dataType.simpleString() for f in rows.select("idx", label).schema.fields}
+    found = _met(rows, (label,)).mapInArrow(run, f"idx {kinds['idx']}, other {kinds[label]}, s double, c bigint")
+    return found.groupBy("idx", "other").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
 
 
 def silhouette(rows: DataFrame, label: str = "label") -> DataFrame:
     """(idx, label, silhouette) of each sample, by exact Euclidean distances; 0 for the only one of its cluster."""
-    met = pairs(rows, extra=(label,))
-    both = met.select(F.col("i").alias("idx"), F.col(f"{label}_j").alias("other"), "distance").union(met.select("j", f"{label}_i", "distance"))
-    means = both.groupBy("idx", "other").agg(F.sum("distance").alias("s"), F.count("*").alias("c"))
-    means = means.join(rows.select("idx", F.col(label).alias("label")), "idx")
+    means = _cluster_sums(rows, label).join(rows.select("idx", F.col(label).alias("label")), "idx")
     own = F.col("other") == F.col("label")
     sides = means.groupBy("idx", "label").agg(F.max(F.when(own, F.col("s") / F.col("c"))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("c"))).alias("b"))
     return sides.select("idx", "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).alias("silhouette"))

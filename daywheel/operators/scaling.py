@@ -20,16 +20,18 @@ def scaler_kind(name: str | None) -> str | None:
     return kind
 
 
-def fit(rows: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    """One row: <column>_shift and <column>_scale; a scale of 0 becomes 1. Deviations are of the population."""
-    if kind == "standard":
-        pairs = [(F.avg(c), F.stddev_pop(c), c) for c in columns]
-    else:
-        pairs = [(F.min(c), F.max(c) - F.min(c), c) for c in columns]
+def _models(columns: list[str], kind: str) -> list[Column]:
+    """Aggregates <column>_shift and <column>_scale; a scale of 0 becomes 1. Deviations are of the population."""
     found = []
-    for shift, scale, c in pairs:
+    for c in columns:
+        shift, scale = (F.avg(c), F.stddev_pop(c)) if kind == "standard" else (F.min(c), F.max(c) - F.min(c))
         found += [shift.alias(f"{c}_shift"), F.when(scale == 0, 1.0).otherwise(scale).alias(f"{c}_scale")]
-    return rows.agg(*found)
+    return found
+
+
+def fit(rows: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """One row: <column>_shift and <column>_scale."""
+    return rows.agg(*_models(columns, kind))
 
 
 def apply(df: DataFrame, model: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,11 +43,13 @@ def apply(df: DataFrame, model: DataFrame, columns: list[str]) -> DataFrame:
 
 def scale_split(df: DataFrame, columns: list[str], covariates: str | None = "standard", rain_scaler: str | None = None, rain: str = RAIN) -> DataFrame:
     """Covariates and rain scaled apart, by what the train rows say; None leaves its columns as they are."""
-    train = df.where("split = 'train'")
-    for kind, own in ((scaler_kind(covariates), [c for c in columns if c != rain]), (scaler_kind(rain_scaler), [c for c in columns if c == rain])):
-        if kind and own:
-            df = apply(df, fit(train, own, kind), own)
-    return df
+    parts = [(scaler_kind(covariates), [c for c in columns if c != rain]), (scaler_kind(rain_scaler), [c for c in columns if c == rain])]
+    parts = [(kind, own) for kind, own in parts if kind and own]
+    if not parts:
+        return df
+    # Both scalers come from one pass over the train rows.
+    model = df.where("split = 'train'").agg(*[c for kind, own in parts for c in _models(own, kind)])
+    return apply(df, model, [c for _, own in parts for c in own])
 
 
 def fit_targets(samples: DataFrame, kind: str, column: str = "y_by_lead") -> DataFrame:

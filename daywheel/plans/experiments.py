@@ -40,7 +40,7 @@ def run_clustering(daily: DataFrame, window: int = 4, k: int = 3, sigma: float =
 
 def run_auto_sigma(daily: DataFrame, window: int = 5, train: float = 0.6, n: int = 20) -> DataFrame:
     """(k, sigma) from the train windows' pairwise distances."""
-    return distance.sigma_candidates(distance.pairs(window_features(daily, window, train)).persist(), n)
+    return distance.sigma_candidates(window_features(daily, window, train), n)
 
 
 def run_eigengap(daily: DataFrame, sizes: list[int], train: float = 0.6, points: int = 40, budget: int = 300, max_gaps: int = 20) -> list[dict]:
@@ -50,7 +50,7 @@ def run_eigengap(daily: DataFrame, sizes: list[int], train: float = 0.6, points:
         rows = window_features(daily, window, train)
         if rows.count() > cluster.DENSE_ROWS:
             raise ValueError(f"more than {cluster.DENSE_ROWS} train windows")
-        ends = [r.sigma for r in distance.sigma_candidates(distance.pairs(rows).persist()).orderBy("k").collect()]
+        ends = [r.sigma for r in distance.sigma_candidates(rows).orderBy("k").collect()]
         x = [r.features for r in rows.orderBy("idx").select("features").collect()]
         out.append({"window": window} | cluster.best_sigma(x, ends[0], ends[-1], points, budget, max_gaps))
     return out

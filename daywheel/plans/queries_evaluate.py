@@ -242,12 +242,12 @@ def _sigmas_sql(n: int, low: float, high: float) -> str:
 
 @query("c14_sigma_candidates", "k:i sigma:d6", _sigmas_sql(20, 0.01, 0.2), ORDERED)
 def c14(spark, sf_dir):
-    return distance.sigma_candidates(distance.pairs(adapters.features(spark, sf_dir)).cache())
+    return distance.sigma_candidates(adapters.features(spark, sf_dir))
 
 
 @query("c15_sigma_values", "k:i sigma:d6", _sigmas_sql(5, 0.1, 0.5), ORDERED)
 def c15(spark, sf_dir):
-    return distance.sigma_candidates(distance.pairs(adapters.features(spark, sf_dir)).cache(), 5, 0.1, 0.5)
+    return distance.sigma_candidates(adapters.features(spark, sf_dir), 5, 0.1, 0.5)
 
 
 SILHOUETTE = (
@@ -396,7 +396,7 @@ def c17(spark, sf_dir):
 
 def _window_sigmas(rows, width):
     found = windows.sliding(rows, width, ["tmax", "radiation"]).select(F.col("window_index").alias("idx"), windows.flat(F.col("win")).alias("features"))
-    return distance.sigma_candidates(distance.pairs(found).cache())
+    return distance.sigma_candidates(found)
 
 
 @query("a19_metrics_by_cluster_and_lead", "cluster:i lead_day:i n:i " + MEASURES, f"SELECT cluster, lead_day, count(*) AS n, {metrics_sql('actual', 'predicted')} FROM long WHERE split = 'test' GROUP BY cluster, lead_day", LONG)

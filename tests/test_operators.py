@@ -52,19 +52,22 @@ def test_nearest_and_splits(spark):
         cluster.assign_splits(rows, 5, "kmeans")
 
 
-def test_sigmas(spark):
-    pairs = distance.pairs(points(spark, [(0,), (1,), (3,)]))
-    got = [r.sigma for r in distance.sigma_candidates(pairs, 3, 0.0, 1.0).orderBy("k").collect()]
+def test_sigmas(spark, monkeypatch):
+    three = points(spark, [(0,), (1,), (3,)])
+    got = [r.sigma for r in distance.sigma_candidates(three, 3, 0.0, 1.0).orderBy("k").collect()]
     assert got == [1, 2, 3]
     assert cluster.merged_sigmas([0.1, 1], [1, 2, 0.1]) == [0.1, 1, 2]
     for bad in (dict(n=0), dict(low=0.5, high=0.1)):
         with pytest.raises(ValueError):
-            distance.sigma_candidates(pairs, **bad)
+            distance.sigma_candidates(three, **bad)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 3))
     far = np.sort(np.sqrt(((x[:, None] - x) ** 2).sum(2))[np.triu_indices(40, 1)])
-    table = distance.pairs(points(spark, x)).cache()
-    assert [distance.order_statistic(table, "distance", k, 4) for k in (0, 100, 779)] == pytest.approx([far[0], far[100], far[779]])
+    monkeypatch.setattr(distance, "BUCKETS", 4)
+    monkeypatch.setattr(distance, "FEW", 5)
+    monkeypatch.setattr(distance, "BLOCK_ROWS", 16)
+    assert distance.order_statistics(points(spark, x), [0, 100, 779]) == pytest.approx([far[0], far[100], far[779]])
+    assert distance.order_statistics(points(spark, [(1,)] * 30 + [(2,)]), [0, 400, 464]) == [0.0, 0.0, 1.0]
 
 
 def test_silhouette(spark):
