@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,19 +138,60 @@ def quantile_weights(values: DataFrame, quantiles: list[float], column: str = "y
 def bootstrap_ci(values: DataFrame, column: str = "value", seed: int = 42, resamples: int = 2000, confidence: float = 0.95, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, n, mean, low, high, p_positive of the mean, by resampling.
 
-    Each resample weighs every row by a Poisson(1) draw hashed from row and resample: the bootstrap in one pass, without
-    shipping a group to one task. Rows need an id column `idx`.
+    Each resample weighs every row by a Poisson(1) draw hashed from row and resample. Every task sums its rows under all
+    resamples, so rows are read once and only sums (keys x resamples for each task) are shuffled. Rows need an id column
+    `idx` (long) and a known value.
     """
-    draws = values.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = (F.pmod(F.xxhash64("idx", "_b", F.lit(seed)), F.lit(1 << 52)).cast("double")) / float(1 << 52)
-    steps, total, p = [], 0.0, float(np.exp(-1))
-    for k in range(9):
-        total += p
-        steps.append(F.when(u >= total, 1).otherwise(0))
-        p /= k + 1
-    draws = draws.withColumn("_w", sum(steps[1:], steps[0]))
-    means = draws.groupBy(*keys, "_b").agg((F.sum(F.col("_w") * F.col(column)) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
+    limits = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(9)])
+
+    def run(parts):
+        sums: dict[tuple, list[np.ndarray]] = {}
+        turns = np.arange(resamples, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+        for part in parts:
+            group = list(zip(*[part.column(i).to_pylist() for i in range(2, part.num_columns)], strict=True)) or [()] * len(part)
+            ids, x = part.column(0).to_numpy().astype(np.uint64), part.column(1).to_numpy()
+            for key in dict.fromkeys(group):
+                own = np.flatnonzero([g == key for g in group])
+                total = sums.setdefault(key, [np.zeros(resamples), np.zeros(resamples)])
+                for a in range(0, len(own), 512):
+                    some = own[a : a + 512]
+                    h = _scrambled(_scrambled(ids[some] + np.uint64(seed))[:, None] + turns)
+                    weight = np.searchsorted(limits, (h >> np.uint64(11)).astype(float) * 2.0**-53, "right").astype(float)
+                    total[0] += weight.sum(0)
+                    total[1] += x[some] @ weight
+        for key, (w, wx) in sums.items():
+            columns = {"_b": pa.array(np.arange(resamples, dtype=np.int32)), "_w": pa.array(w), "_x": pa.array(wx)}
+            fields = {k: pa.array([v] * resamples, arrow[k]) for k, v in zip(keys, key, strict=True)}
+            yield pa.RecordBatch.from_pydict(columns | fields)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    known = values.where(F.col(column).isNotNull()).select(F.col("idx").cast("long"), F.col(column).cast("double").alias("_v"), *keys)
+    arrow = {k: to_arrow_type(known.schema[k].dataType) for k in keys}
+    schema = ", ".join(["_b int, _w double, _x double", *[f"`{k}` {known.schema[k].dataType.simpleString()}" for k in keys]])
+    means = known.mapInArrow(run, schema).groupBy(*keys, "_b").agg((F.sum("_x") / F.nullif(F.sum("_w"), F.lit(0.0))).alias("m"))
     tail = (1 - confidence) / 2
     ci = means.groupBy(*keys).agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("p_positive"))
     plain = values.groupBy(*keys).agg(F.count(column).alias("n"), F.avg(column).alias("mean"))
     return plain.join(ci, list(keys)) if keys else plain.crossJoin(ci)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pooled_gaps(samples: DataFrame, features: dict[str, int], value: str = "next", quantile: float = 0.75, key: str = "cluster") -> DataFrame:
+    """(cluster, feature, mean_high, mean_low, difference): means over all days of the windows before high and other values.
+
+    High is at or above the quantile of the values above 0. samples: cluster, value, win (days as arrays); features name
+    places in a day.
+    """
+    limit = samples.where(F.col(value) > 0).agg(F.percentile(value, quantile).alias("q"))
+    days = samples.crossJoin(F.broadcast(limit)).select(key, (F.col(value) >= F.col("q")).alias("high"), F.explode("win").alias("day"))
+    cells = F.create_map(*[c for name, at in features.items() for c in (F.lit(name), F.col("day")[at])])
+    long = days.select(key, "high", F.explode(cells).alias("feature", "v"))
+    found = long.groupBy(key, "feature").agg(F.avg(F.when(F.col("high"), F.col("v"))).alias("mean_high"), F.avg(F.when(~F.col("high"), F.col("v"))).alias("mean_low"))
+    return found.withColumn("difference", F.abs(F.col("mean_high") - F.col("mean_low")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.schema import DATE, STATION
+from ..sources.schema import DATE, RAIN, STATION
 
 SPLITS = ("train", "val", "test")
 
@@ -79,3 +79,10 @@ def melted(df: DataFrame, ids: list[str], values: list[str], name: str = "variab
 def spread_map(df: DataFrame, column: str, keys: list[int], prefix: str) -> DataFrame:
     """A map column as columns prefix<key>, 0 where a key is absent."""
     return df.withColumns({f"{prefix}{k}": F.coalesce(F.try_element_at(F.col(column), F.lit(k)), F.lit(0)) for k in keys}).drop(column)
+
+
+def top_days(daily: DataFrame, n: int = 10, rain: str = RAIN, keys: tuple[str, ...] = (STATION,)) -> DataFrame:
+    """keys, event_date, rain, rank: the n days of most rain of each station, the earlier first on ties."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(rain), "row_idx")
+    rows = daily.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return rows.select(*keys, F.col(DATE).alias("event_date"), F.col(rain).alias("rain"), "rank")

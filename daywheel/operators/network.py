@@ -120,7 +120,8 @@ class GatedNetwork:
 
     def evaluate(self, x: np.ndarray, y: np.ndarray, weigh=np.ones_like) -> dict[str, float]:
         e = self.predict(x) - y
-        return {"loss": float((weigh(y) * e * e).mean()), "mae": float(np.abs(e).mean()), "mse": float((e * e).mean())}
+        mse = float((e * e).mean())
+        return {"loss": float((weigh(y) * e * e).mean()), "mae": float(np.abs(e).mean()), "mse": mse, "rmse": mse**0.5}
 
     def dump(self) -> str:
         return json.dumps({k: v.tolist() for k, v in self.w.items()})

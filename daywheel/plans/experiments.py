@@ -32,6 +32,11 @@ def window_features(daily: DataFrame, window: int, train: float | None = None, c
     return reduce.fit(found, pca).apply(found) if pca else found
 
 
+def component_count(daily: DataFrame, window: int, threshold: float, train: float | None = None) -> int:
+    """How many components of a raw frame's scaled windows explain the threshold's share of their variance."""
+    return reduce.fit(window_features(daily, window, train), threshold).components.shape[1]
+
+
 def run_clustering(daily: DataFrame, window: int = 4, k: int = 3, sigma: float = 1.0, algorithm: str = "spectral") -> DataFrame:
     """(cluster, n, percent) of the whole frame's windows."""
     rows = window_features(daily, window, rain_scaler="standard")

@@ -159,9 +159,7 @@ EVENTS = "events_of AS (SELECT station_id, \"Data\" AS event_date, rain FROM (SE
 
 
 def top_days(spark, sf_dir, n=10):
-    order = Window.partitionBy("station_id").orderBy(F.desc("rain"), "row_idx")
-    rows = base.filled(spark, sf_dir).withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
-    return rows.select("station_id", F.col("Data").alias("event_date"), "rain", F.col("r").alias("rank"))
+    return frame.top_days(base.filled(spark, sf_dir), n, "rain")
 
 
 @query("w10_window_before_event", "station_id:s event_date:t window_index:i", "SELECT e.station_id, event_date, CASE WHEN row_idx - 6 >= 0 THEN row_idx - 6 END AS window_index FROM events_of e LEFT JOIN filled f ON f.station_id = e.station_id AND f.\"Data\" = e.event_date - 1", CTES + EVENTS)
@@ -169,9 +167,9 @@ def w10(spark, sf_dir):
     return windows.window_before(top_days(spark, sf_dir), base.filled(spark, sf_dir), WINDOW)
 
 
-@query("w10b_window_before_event_asof", "station_id:s event_date:t window_index:i", "SELECT e.station_id, event_date, CASE WHEN row_idx - 6 >= 0 THEN row_idx - 6 END AS window_index FROM events_of e ASOF LEFT JOIN (SELECT * FROM filled WHERE row_idx % 5 <> 0) f ON f.station_id = e.station_id AND f.\"Data\" < e.event_date", CTES + EVENTS)
+@query("w10b_window_before_event_asof", "station_id:s event_date:t window_index:i", "SELECT e.station_id, event_date, CASE WHEN row_idx - 6 >= 0 THEN row_idx - 6 END AS window_index FROM events_of e ASOF LEFT JOIN (SELECT * FROM daily WHERE tmax IS NOT NULL) f ON f.station_id = e.station_id AND f.\"Data\" < e.event_date", CTES + EVENTS)
 def w10b(spark, sf_dir):
-    return windows.window_before_asof(top_days(spark, sf_dir), base.filled(spark, sf_dir).where("row_idx % 5 != 0"), WINDOW)
+    return windows.window_before_asof(top_days(spark, sf_dir), base.daily(spark, sf_dir).where("tmax is not null"), WINDOW)
 
 
 @query("w11_persistence_delta", "station_id:s split:s n:i mean_delta:d4", "SELECT station_id, split, count(*) AS n, avg(y3 - current) AS mean_delta FROM samples GROUP BY ALL", CTES)
@@ -250,7 +248,7 @@ def w07(spark, sf_dir):
     return rows.withColumn("first_day", F.col("dates")[0]).withColumn("last_day", F.col("dates")[HORIZON - 1])
 
 
-@query("w07b_events_without_window", "station_id:s n:i", "SELECT station_id, count(*) AS n FROM events_of e ANTI JOIN (SELECT station_id, \"Data\" + 1 AS d FROM filled WHERE row_idx >= 1200) f ON f.station_id = e.station_id AND f.d = e.event_date GROUP BY 1", CTES + EVENTS)
+@query("w07b_events_without_window", "station_id:s n:i", "SELECT station_id, count(*) AS n FROM events_of e ANTI JOIN (SELECT station_id, \"Data\" + 1 AS d FROM daily WHERE row_idx >= 6 AND tmax IS NOT NULL) f ON f.station_id = e.station_id AND f.d = e.event_date GROUP BY 1", CTES + EVENTS)
 def w07b(spark, sf_dir):
-    ends = base.filled(spark, sf_dir).where(F.col("row_idx") >= 1200).select("station_id", F.date_add("Data", 1).alias("event_date"))
+    ends = base.daily(spark, sf_dir).where((F.col("row_idx") >= WINDOW - 1) & F.col("tmax").isNotNull()).select("station_id", F.date_add("Data", 1).alias("event_date"))
     return top_days(spark, sf_dir).join(ends, ["station_id", "event_date"], "left_anti").groupBy("station_id").agg(F.count("*").alias("n"))

@@ -55,6 +55,7 @@ def test_arma_files(spark, root, tmp_path, capsys):
 
 def test_tools(spark, root, daily, capsys):
     assert experiments.run_auto_sigma(daily, 4, n=5).count() == 5
+    assert 1 <= experiments.component_count(daily, 4, 0.5) <= experiments.component_count(daily, 4, 0.99) <= 8
     gaps = experiments.run_eigengap(daily, [3], points=4, budget=6, max_gaps=5)
     assert gaps[0]["window"] == 3 and len(gaps[0]["gaps"]) == 5
     assert experiments.main(["cluster", "--root", root, "--state", "RS", "--station", "A801", "--k", "2", "--windows", "4"], spark) == 0
