@@ -399,7 +399,7 @@ def _search(evaluate: Callable[[list[float]], list[dict]], low: float, high: flo
 
 
 def eigengap_table(rows: DataFrame, sigmas: list[float], max_gaps: int = 20) -> DataFrame:
-    """(sigma, k, gap, best): gaps of the rows at each sigma; up to DENSE_ROWS rows sigmas are parallel tasks over a broadcast matrix, beyond that see block_spectra."""
+    """(sigma, k, gap, ignored, best): gaps of the rows at each sigma (that of k = 1 counts for nothing); up to DENSE_ROWS rows sigmas are parallel tasks over a broadcast matrix, beyond that see block_spectra."""
     n = rows.count()
     spark = rows.sparkSession
     if n > DENSE_ROWS:
@@ -407,7 +407,8 @@ def eigengap_table(rows: DataFrame, sigmas: list[float], max_gaps: int = 20) ->
         for got in found:
             if got["warning"]:
                 warnings.warn(f"sigma {got['sigma']:g}: {got['warning']}", stacklevel=2)
-        return spark.createDataFrame([(got["sigma"], k, float(gap), got["best_k"] == k) for got in found for k, gap in enumerate(got["gaps"], 1)], "sigma double, k int, gap double, best boolean")
+        table = spark.createDataFrame([(got["sigma"], k, float(gap), got["best_k"] == k) for got in found for k, gap in enumerate(got["gaps"], 1)], "sigma double, k int, gap double, best boolean")
+        return table.withColumn("ignored", F.col("k") == 1)
     x = np.array([r.features for r in rows.orderBy("idx").select("features").collect()])
     shared = spark.sparkContext.broadcast(x)
 
@@ -418,4 +419,4 @@ def eigengap_table(rows: DataFrame, sigmas: list[float], max_gaps: int = 20) ->
                 yield __import__("pandas").DataFrame({"sigma": sigma, "k": range(1, len(got["gaps"]) + 1), "gap": got["gaps"], "best": [got["best_k"] == k for k in range(1, len(got["gaps"]) + 1)]})
 
     grid = spark.createDataFrame([(float(s),) for s in merged_sigmas(sigmas)], "sigma double").repartition(len(sigmas))
-    return grid.mapInPandas(run, "sigma double, k int, gap double, best boolean")
+    return grid.mapInPandas(run, "sigma double, k int, gap double, best boolean").withColumn("ignored", F.col("k") == 1)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ from ..sources.station import load_station, rain_series
 from . import outputs, report, sweep
 
 
+log = logging.getLogger("daywheel")
+
+
 def measure_columns(daily: DataFrame) -> list[str]:
     return frame.numeric_columns(daily, (DATE, "row_idx", "split_row", "split_offset"))
 
@@ -159,6 +163,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("daywheel").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    logging.basicConfig(level=logging.INFO, format="%(message)s")
+    section(f"{args.kind}: station {args.state}/{args.station}")
     daily = frame_of(load_station(spark, args.state, args.station, args.root))
     if args.kind == "cluster":
         print(report.text_table(report.rows_of(run_clustering(daily, args.windows[0], args.k[0], args.sigma, args.algorithm).orderBy("cluster")), ["cluster", "n", "percent"]))
@@ -181,6 +187,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return 0
 
 
+def section(title: str) -> None:
+    """A heading on the log."""
+    log.info("%s", "=" * 72)
+    log.info("%s", title)
+
+
 def frame_of(daily: DataFrame) -> DataFrame:
     """A loaded station's frame with unknown means filled, as the models need."""
     return daily.fillna(0.0, subset=[c for c in measure_columns(daily)])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..operators import evaluate, frame, routing
+from ..operators import distance, evaluate, frame, routing
 from . import report
 
 LINE = "=" * 72
@@ -181,6 +181,40 @@ def selection_report(routes: list[dict], metric: str, interval: dict | None = No
     return "\n".join(out if routes else [*out, "no test samples"]) + "\n"
 
 
+# Distances between windows before much and little rain.
+
+
+def distance_report(rows: DataFrame, names: list[str], about: dict) -> str:
+    """Markdown: how windows before much rain differ from the others, cluster by cluster.
+
+    rows: idx, cluster, high, features (as named). A cluster without windows of either kind has no distances.
+    """
+    counts = report.rows_of(rows.groupBy("cluster").agg(F.count("*").alias("n"), F.count(F.when(F.col("high"), 1)).alias("high")).orderBy("cluster"))
+    percent = lambda part, whole: f"{part} ({100 * part / max(whole, 1):.1f}%)"
+    total, high = sum(r["n"] for r in counts), sum(r["high"] for r in counts)
+    out = ["# Cluster Distance Analysis: windows before much and little rain", "", "## Configuration", "", *[f"- **{k}:** {v}" for k, v in about.items()]]
+    out += [f"- **High Precipitation Windows:** {percent(high, total)}", f"- **Total Features:** {len(names)}", f"- **Features:** {', '.join(names)}", "", "## Detailed Cluster Analysis", ""]
+    spread = []
+    for r in counts:
+        own = rows.where(F.col("cluster") == r["cluster"])
+        out += [f"### Cluster {r['cluster']}", "", f"- **Total Windows:** {r['n']}", f"- **High Precipitation:** {percent(r['high'], r['n'])}", f"- **Low Precipitation:** {percent(r['n'] - r['high'], r['n'])}", ""]
+        if 0 < r["high"] < r["n"]:
+            gap = report.rows_of(distance.centroid_gap(own))[0]
+            out += ["**Distance Metrics:**", f"- Centroid Distance: {report.number(gap['centroid_distance'])}", f"- Mean Distance from High Centroid: {report.number(gap['mean_distance_high'])}", f"- Mean Distance from Low Centroid: {report.number(gap['mean_distance_low'])}", ""]
+            ranked = [g | {"feature": names[g["pos"]]} for g in report.rows_of(distance.feature_gaps(own).orderBy("rank"))]
+            out += ["**All Features Ranked by Distance:**", "", markdown_table(ranked, ["rank", "feature", "difference", "mean_high", "mean_low"]), ""]
+        spread += [f"### Cluster {r['cluster']}", "", f"- **High Precipitation Windows:** {r['high']}", ""]
+        if r["high"]:
+            found = sorted(report.rows_of(distance.feature_spread(own.where("high"))), key=lambda g: (-g["mean_deviation"], g["pos"]))
+            spread += [markdown_table([g | {"rank": i, "feature": names[g["pos"]]} for i, g in enumerate(found, 1)], ["rank", "feature", "mean_deviation", "mean", "std", "min", "max"]), ""]
+    return "\n".join([*out, "## High Precipitation Windows Only", "", *spread])
+
+
+def markdown_table(rows: list[dict], columns: list[str]) -> str:
+    lines = [columns, ["---"] * len(columns), *[[report.number(r.get(c)) for c in columns] for r in rows]]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+
+
 # Sweeps.
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..operators import evaluate, routing
+from ..operators import evaluate, routing, windows
 from ..sources.sinks import write_table
 
 # What LaTeX needs escaped.
@@ -70,6 +70,20 @@ def horizon_report(diagnostics: DataFrame) -> str:
     return "FORECAST HORIZON BEHAVIOUR\n" + "=" * 72 + "\n" + (text_table(rows, list(rows[0])) if rows else "no samples") + "\n"
 
 
+def series(test: DataFrame, keys: tuple[str, ...], n: int = 1) -> DataFrame:
+    """keys, part, position, after_gap, window_index, target_date, actual, predicted, residual in order of the windows.
+
+    Axes: the date of the last lead day, or a position that shortens gaps; part: one of n stretches of equal length.
+    """
+    rows = windows.parts(windows.compressed_positions(test, keys=keys), n, keys=keys)
+    date = F.element_at("date_by_lead", -1).alias("target_date")
+    return rows.select(*keys, "part", "position", "after_gap", "window_index", date, F.col("y").alias("actual"), "predicted", (F.col("y") - F.col("predicted")).alias("residual")).orderBy(*keys, "window_index")
+
+
+#: Tables of a row for each window or lead day.
+ROW_TABLES = ("predictions", "lead_days", "test_series", "cluster_series")
+
+
 def plot_tables(samples: DataFrame, history: DataFrame | None = None, selected: DataFrame | None = None, metric: str = "RMSE") -> dict[str, DataFrame]:
     """What figures would show, as tables by name. samples: station_id, split, window_index, cluster, current, y, predicted, y_by_lead, yhat_by_lead, date_by_lead."""
     test = samples.where("split = 'test'")
@@ -85,6 +99,9 @@ def plot_tables(samples: DataFrame, history: DataFrame | None = None, selected:
         "lead_day_metrics": metrics.by(lead, "lead_day"),
         "horizon_diagnostics": evaluate.horizon_diagnostics(samples),
         "scatter_limits": evaluate.scatter_limits(test, "y", "predicted"),
+        "test_series": series(test, ("station_id",), 4),
+        "cluster_series": series(test, ("station_id", "cluster")),
+        "lead_day_limits": lead.groupBy("lead_day").agg(F.least(F.min("actual"), F.min("predicted")).alias("low"), F.greatest(F.max("actual"), F.max("predicted")).alias("high")),
     }
     if history is not None:
         found["training_history"] = history
@@ -96,7 +113,14 @@ def plot_tables(samples: DataFrame, history: DataFrame | None = None, selected:
 def save_run(folder: str, samples: DataFrame, history: DataFrame | None = None, selected: DataFrame | None = None) -> dict:
     """Write a run's tables and return its row of the sweep: test measures by name."""
     for name, table in plot_tables(samples, history, selected).items():
-        write_table(table, folder, name, summary=name not in ("predictions", "lead_days"))
+        write_table(table, folder, name, summary=name not in ROW_TABLES)
+    if selected is not None:
+        # The same tables as if the oracle had routed every test window.
+        routed = samples.where("split = 'test'").withColumn("idx", F.col("window_index"))
+        best = routing.aligned(routed, selected, "RMSE").withColumn("predicted", F.coalesce("selected_prediction", "predicted"))
+        best = best.withColumn("yhat_by_lead", F.concat(F.slice("yhat_by_lead", 1, F.size("yhat_by_lead") - 1), F.array("predicted")))
+        for name in ("predictions", "error_by_magnitude", "cluster_performance", "scatter_limits", "test_series", "cluster_series"):
+            write_table(plot_tables(best)[name], f"{folder}/oracle_model", name, summary=name not in ROW_TABLES)
     by_split = {r["split"]: r for r in rows_of(metrics.by(samples, "split", actual="y"))}
     return {f"{s}_{m}": by_split[s][m] for s in ("train", "val", "test") if s in by_split for m in ("rmse", "mae", "r2")}
 

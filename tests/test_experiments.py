@@ -33,6 +33,9 @@ def test_network_run(spark, daily, tmp_path):
     names = {p.name for p in (tmp_path / "w4_k2").iterdir()}
     assert {"predictions.parquet", "lead_day_metrics.csv", "oracle_transfer_matrix.parquet", "training_history.parquet"} <= names
     assert {"metrics_summary.csv", "test_predictions.csv", "summary.txt", "test_model_selection_report.txt", "report.tex"} <= names
+    assert {"predictions.parquet", "cluster_series.parquet"} <= {p.name for p in (tmp_path / "w4_k2" / "oracle_model").iterdir()}
+    series = spark.read.parquet(str(tmp_path / "w4_k2" / "test_series.parquet")).collect()
+    assert {r.part for r in series} == {1, 2, 3, 4} and series[0].target_date is not None
     assert row["n_clusters"] == 2 and "cluster_0_rmse" in row
     lead = spark.read.parquet(str(tmp_path / "w4_k2" / "lead_day_metrics.parquet"))
     assert lead.where("lead_day = 2").first().rmse == pytest.approx(row["test_rmse"])

@@ -73,3 +73,10 @@ def test_sweep_files(tmp_path):
     assert "Station: RS/A801" in text and "Failed runs: 1" in text and "w4_k2: RMSE=4.2000" in text
     tables = (tmp_path / "overleaf_cluster_metric_tables.txt").read_text()
     assert tables.count(r"\begin{table}") == 2 and "tab:lstm_cluster_metrics_k3" in tables and "N/A" in tables
+
+
+def test_distance_report(spark):
+    rows = spark.createDataFrame([(i, i % 2, i >= 6 and i % 2 == 0, [float(i), float(i % 3)]) for i in range(10)], "idx int, cluster int, high boolean, features array<double>")
+    text = outputs.distance_report(rows, ["rain", "tmax"], {"Station": "RS/A801"})
+    assert "- **Station:** RS/A801" in text and "### Cluster 0" in text and "Centroid Distance: 5.0" in text
+    assert text.count("Centroid Distance") == 1 and "| 1 | rain | 5.0000 | 7.0000 | 2.0000 |" in text
