@@ -10,8 +10,8 @@ containment on the shingle texts.
 Words are `[^\\x20\\x09-\\x0D]+` of the lower-cased text, shingles are five words; a text of fewer words is one shingle.
 
 Defined results: null, empty or blank texts and items have no shingles and match nothing; an item is matched by a
-document holding at least threshold of its distinct shingles (ties included); rows that repeat give a row each; an empty
-table on either side gives no pairs; columns of docs other than doc_id and text are not read by `leaks` and pass through
+document holding at least threshold of its distinct shingles (ties included); rows that repeat give a row each, a null
+id is an id of its own on either side; an empty table on either side gives no pairs; columns of docs other than doc_id and text are not read by `leaks` and pass through
 `decontaminate` (internal columns start with `__dc_`).
 """
 
@@ -67,8 +67,9 @@ def hashed_words(text: Column) -> Column:
 
 
 def item_index(items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per item: item_id, shingles (distinct texts), n, need, size_class, sketch (its bottom-m hashes)."""
-    rows = items.select("item_id", F.array_distinct(shingle_texts(words_of(F.col("text")), width)).alias("shingles"), F.array_distinct(shingle_hashes(hashed_words(F.col("text")), width)).alias("hashes"))
+    """One row per item: item_id, __dc_key, shingles (distinct texts), n, need, size_class, sketch (its bottom-m hashes)."""
+    key = F.struct(F.col("item_id").alias("id")).alias("__dc_key")  # a key even where the id is null
+    rows = items.select("item_id", key, F.array_distinct(shingle_texts(words_of(F.col("text")), width)).alias("shingles"), F.array_distinct(shingle_hashes(hashed_words(F.col("text")), width)).alias("hashes"))
     rows = rows.withColumn("n", F.size("shingles")).where("n > 0")
     # Ties of the threshold count; the small slack keeps 0.8 * 5 from rounding up to 5.
     rows = rows.withColumn("need", F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
@@ -93,10 +94,10 @@ def _probes(docs: DataFrame, classes: list, width: int) -> DataFrame:
 def candidates(docs: DataFrame, index: DataFrame, width: int = WIDTH) -> DataFrame:
     """(__dc_id, __dc_text, items): documents that hold a sketch value of an item and are long enough for it."""
     classes = index.groupBy("size_class").agg(F.min("need").alias("need"), F.max(F.array_max("sketch")).alias("bound")).collect()  # a row per power of two
-    sketches = index.select("item_id", "need", F.explode("sketch").alias("hash"))
+    sketches = index.select("__dc_key", "need", F.explode("sketch").alias("hash"))
     side, _ = small_side(cut(sketches), 32)
     found = _probes(docs, classes, width).join(side, "hash").where("__dc_n >= need")
-    return found.groupBy("__dc_id", "__dc_text").agg(F.collect_set("item_id").alias("items"))
+    return found.groupBy("__dc_id", "__dc_text").agg(F.collect_set("__dc_key").alias("items"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -107,9 +108,9 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__dc_text"))
     on = rows["doc_id"].eqNullSafe(side["__dc_id"]) & (rows["__dc_text"] == side["__dc_text"])
     rows = rows.join(side, on).select("doc_id", rows["__dc_text"], F.array_distinct(shingle_texts(words_of(F.col("text")), width)).alias("doc_shingles"), "items")
-    pairs = rows.select("doc_id", "__dc_text", "doc_shingles", F.explode("items").alias("item_id"))
+    pairs = rows.select("doc_id", "__dc_text", "doc_shingles", F.explode("items").alias("__dc_key"))
     bounded, _ = small_side(index, 4096)
-    pairs = pairs.join(bounded.select("item_id", "shingles", "n", "need"), "item_id")
+    pairs = pairs.join(bounded.select("__dc_key", "item_id", "shingles", "n", "need"), "__dc_key")
     pairs = pairs.withColumn("matched", F.size(F.array_intersect("doc_shingles", "shingles"))).where("matched >= need")
     return pairs.select("doc_id", "item_id", F.col("n").cast("long").alias("item_shingles"), F.col("matched").cast("long").alias("matched"), (F.col("matched") / F.col("n")).alias("containment"), "__dc_text")
 
