@@ -93,8 +93,10 @@ def supervised(daily: DataFrame, window: int = 7, horizon: int = 3, rain: str =
         F.lead(rain, window - 1).over(over).alias("current"),
         lead_days(F.col(rain), window, horizon, over).alias("y_by_lead"),
         lead_days(F.col(DATE), window, horizon, over).alias("date_by_lead"),
+        F.count(F.lit(1)).over(over.rowsBetween(0, window - 1)).alias("_n"),
     )
-    rows = rows.where((F.size("win") == window) & F.forall("y_by_lead", lambda x: x.isNotNull()))
+    # The days of a window are counted, not its array measured, so that the array is only built where it is read.
+    rows = rows.where((F.col("_n") == window) & F.forall("y_by_lead", lambda x: x.isNotNull())).drop("_n")
     rows = rows.where("current is not null") if need_current else rows
     return rows.withColumn("features", F.flatten("win")).withColumn("y", F.col("y_by_lead")[horizon - 1])
 

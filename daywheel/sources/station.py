@@ -53,12 +53,13 @@ def resample_daily(rows: DataFrame, keys: tuple[str, ...] = (STATION,), date: st
     """
     means, sums = [c for c in means if c in rows.columns], [c for c in sums if c in rows.columns]
     daily = rows.groupBy(*keys, date).agg(*[F.avg(c).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums])
-    calendar = daily.groupBy(*keys).agg(F.min(date).alias("a"), F.max(date).alias("b"))
-    calendar = calendar.select(*keys, F.explode(F.sequence("a", "b")).alias(date))
-    order = Window.partitionBy(*keys).orderBy(date)
-    dense = calendar.join(daily, [*keys, date], "left")
-    dense = dense.select(*keys, date, *means, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sums])
-    return dense.withColumn("row_idx", (F.row_number().over(order) - 1).cast("long"))
+    # Each day stands for itself and the days without rows after it: one pass, and no join with a calendar.
+    own = Window.partitionBy(*keys)
+    until = F.coalesce(F.date_sub(F.lead(date).over(own.orderBy(date)), 1), F.col(date))
+    rows = daily.withColumns({"_first": F.min(date).over(own), "_until": until})
+    rows = rows.select(*keys, F.col(date).alias("_own"), "_first", *means, *sums, F.explode(F.sequence(date, "_until")).alias(date))
+    known = lambda c: F.when(F.col(date) == F.col("_own"), F.col(c))
+    return rows.select(*keys, date, *[known(c).alias(c) for c in means], *[F.coalesce(known(c), F.lit(0.0)).alias(c) for c in sums], F.datediff(date, "_first").cast("long").alias("row_idx"))
 
 
 def load_station(spark: SparkSession, state: str, station: str, root: str, columns: tuple[str, ...] | None = None) -> DataFrame:
