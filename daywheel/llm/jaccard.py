@@ -6,14 +6,15 @@ when 100 * intersection >= 80 * union of their token sets. The join returns one
 1. Documents of one set are one node. A document that holds more tokens of its own than a link allows errors can't link:
    that is counted on a fixed third of the hash space, which only ever keeps too many.
 2. Among the rest, tokens are ordered by document frequency. A node's prefix is extended until a link must share either a
-   token of at most RARE documents in it, which is indexed alone, or k frequent tokens of the same cell, which are
-   indexed as a combination, for k = 2 first (cells: hash buckets, their number set by the size class; see `signatures`).
+   token of at most RARE documents in it, which is indexed alone, or two frequent tokens of the same cell, which are
+   indexed as a combination (cells: hash buckets, their number set by the size class; see `signatures`).
 3. Documents sharing a signature are candidates. Each signature's documents are first held against one head, linked ones
    become a class, and only pairs of different classes go on, so a group of copies isn't expanded into its pairs.
    Every candidate pair that classes don't already connect is verified by exact intersection of its token sets.
-4. Documents of different classes that meet in signatures of more than HEAVY documents sign again with longer prefixes
-   and combinations of k + 1 tokens, up to the last of COMBINED; what still meets in such signatures is compared block by
-   block, so nothing is lost.
+4. Documents of different classes that meet in signatures of more than HEAVY documents sign again with the tokens of
+   their shortest prefix: these are their most seldom ones, so documents that share a common passage but not its
+   surroundings part. (Combinations of three and four tokens need longer prefixes, which reach further into such a
+   passage, and part less.) What still meets in heavy signatures is compared block by block, so nothing is lost.
 
 Nothing is capped: memory per task is bounded by single documents; a hot signature's rows are dealt to tasks of DEAL
 documents, hot tokens are combined before each shuffle. Tokens and sets have 64-bit hashes without fixed collisions
@@ -26,8 +27,6 @@ never a component_id unless a class has no other; an empty table gives an empty
 
 from __future__ import annotations
 
-import functools
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,62 +139,40 @@ def size_class(n: int) -> int:
     return int(np.floor(np.log(n) / np.log(CLASS) + 1e-9))
 
 
-def _width(k: int, size: int, cells: int) -> int:
-    """Tokens of a combination in a size class: k, or fewer where sets are too small to be sure to share so many in a cell.
-
-    A function of the class alone, so that all sets which sign for a class agree.
-    """
-    least = max(2, int(np.ceil(CLASS ** (size - 1) - 1e-9)))
-    need = (least * PERCENT + 99) // 100
-    return max(2, min(k, (need - 1) // cells + 1))
-
-
-@functools.cache
-def _choices(size: int, k: int) -> np.ndarray:
-    return np.array(list(itertools.combinations(range(size), k)), np.int64).reshape(-1, k)
-
-
 def signatures(df: np.ndarray, token: np.ndarray, n: int, k: int = 2) -> np.ndarray:
     """Signatures of a set of n tokens whose shared ones are given, most seldom first.
 
-    n - len(token) tokens are the set's own; of the first `missing` shared tokens a linked set must hold one. If these
-    are rare, each is a signature. Else all rare ones are, and the prefix goes on over frequent tokens until, with k - 1
-    tokens of each cell allowed to be common without a signature, still `missing` are covered: then a linked set must
-    share k of a cell, and of all k it shares those that end first lie in the prefixes of both. Cells depend on the size
-    class; a set signs for its own class and the next, so that any two sets whose sizes differ by no more than a class
-    meet in one. Rare tokens are left out for k > 2: what they find is found with k = 2.
+    n - len(token) tokens are the set's own; of the first `missing` shared tokens a linked set must hold one. For k = 1
+    these are the signatures, and for k = 2 as well if they are rare. Else all rare ones are, and the prefix goes on over
+    frequent tokens until, with one token of each cell allowed to be common without a signature, still `missing` are
+    covered: then a linked set must share two of a cell. Cells depend on the size class; a set signs for its own class
+    and the next, so that any two sets whose sizes differ by no more than a class meet in one.
     """
     if n < 2:
         return np.empty(0, np.uint64)
     missing = n - (n * PERCENT + 99) // 100 + 1 - (n - len(token))
     rare = int(np.searchsorted(df, RARE, "right"))
-    if rare >= missing:
-        return token[:missing] if k == 2 else np.empty(0, np.uint64)
-    out = [token[:rare]] if k == 2 else []
+    if k == 1 or rare >= missing:
+        return token[:missing]
+    out = [token[:rare]]
     often, left = token[rare:], missing - rare
     own = size_class(n)
     for size in (own, own + 1):
         cells = max(1, int(CELLS * CLASS**size))
-        wide = _width(k, size, cells)
         cell = often % np.uint64(cells)
-        order = np.argsort(cell, kind="stable")
-        by_cell = cell[order]
-        head = np.flatnonzero(np.concatenate(([True], by_cell[1:] != by_cell[:-1])))
-        turn = np.empty(len(often), np.int64)
-        turn[order] = np.arange(len(often)) - np.repeat(head, np.diff(np.append(head, len(often))))
-        end = int(np.searchsorted(np.cumsum(turn >= wide - 1), left)) + 1
-        order = order[order < end]
-        cell, token_of = cell[order], often[order]
-        head = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        many = np.diff(np.append(head, len(order)))
-        for held in np.unique(many[many >= wide]):
-            some = head[many == held]
-            chosen = token_of[(some[:, None, None] + _choices(int(held), wide)[None]).reshape(-1, wide)]
-            mixed = textnum.mix64(chosen[:, 0] + np.uint64(size))
-            for j in range(1, wide):
-                mixed = textnum.mix64(mixed * np.uint64(0x9FB21C651E98DF25) + chosen[:, j])
-            out.append(mixed)
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+        first = np.zeros(len(often), bool)
+        first[np.unique(cell, return_index=True)[1]] = True
+        covered = np.cumsum(~first)
+        end = int(np.searchsorted(covered, left)) + 1
+        order = np.argsort(cell[:end], kind="stable")
+        sorted_cell, sorted_token = cell[:end][order], often[:end][order]
+        for gap in range(1, end):
+            same = sorted_cell[gap:] == sorted_cell[:-gap]
+            if not same.any():
+                break
+            a, b = sorted_token[:-gap][same], sorted_token[gap:][same]
+            out.append(textnum.mix64(textnum.mix64(a + np.uint64(size)) * np.uint64(0x9FB21C651E98DF25) + b))
+    return np.unique(np.concatenate(out))
 
 
 def signed(lists: DataFrame, k: int = 2) -> DataFrame:
@@ -232,10 +209,9 @@ def _possible(n_a: str, s_a: str, n_b: str, s_b: str) -> Column:
     return linked(F.col(n_a), F.col(n_b), F.least(s_a, s_b))
 
 
-#: Sizes of token combinations, tried in turn for what is still heavy.
-COMBINED = (2, 3, 4)
-#: Rounds of holding each signature's documents against a head before the rest of the pairs of different classes is taken.
-STAR_ROUNDS = 2
+#: Tokens of a combination, and rounds of holding each signature's documents against a head before the rest of the pairs
+#: of different classes is taken: first for all documents, then for those that still meet in heavy signatures.
+LEVELS = ((2, 2), (1, 1))
 #: Open signatures of more documents than this sign again or are taken block by block rather than as a list of pairs.
 HEAVY = 64
 #: Documents of a signature that one task takes.
@@ -285,33 +261,32 @@ def _climbed(links: DataFrame) -> DataFrame:
 
 def classes(lists: DataFrame) -> DataFrame:
     """(node, label) for nodes with links."""
-    labels, found, rest = None, None, lists
-    for k in COMBINED:
+    labels, found, rest, turn = None, None, lists, 0
+    for level, (k, turns) in enumerate(LEVELS):
         posts, n = _posts(rest, k)
         few = lambda df, n=n: cut(fewer(df, n, 20_000))  # noqa: E731  everything below is smaller than posts
-        for turn in range(STAR_ROUNDS):
+        for last in range(turns):
             rows = posts.withColumn("label", F.col("node")) if labels is None else few(_open(posts, labels))
-            links = few(_star(rows, lists, turn + STAR_ROUNDS * (k - 2)))
+            links = few(_star(rows, lists, turn))
             found = links if found is None else found.union(links)
-            # Until the last turn a step or two up to the heads is enough to tell which signatures are open.
-            labels = few(_climbed(links)) if labels is None and turn < STAR_ROUNDS - 1 else few(components(found, "a", "b"))
-            release(lists.sparkSession)
+            # At first a step or two up to the heads is enough to tell which signatures are open.
+            labels = few(_climbed(links)) if turn == 0 and last < turns - 1 else few(components(found, "a", "b"))
+            turn += 1
+        release(lists.sparkSession)
         rows = few(_open(posts, labels))
         sizes = rows.groupBy("sig").agg(F.count("*").alias("c"), F.max("parts").alias("parts"))
         rows = few(_dealt(rows, sizes).withColumn("parts", F.ceil(F.col("c") / DEAL).cast("int")))
         if not rows.limit(1).count():
             return labels
-        links = few(verified(_listed(rows.where(F.col("c") <= HEAVY)), lists))
+        found = found.union(few(verified(_listed(rows.where(F.col("c") <= HEAVY)), lists)))
         heavy = few(rows.where(F.col("c") > HEAVY))
-        more = heavy.limit(1).count() > 0
-        if more and k == COMBINED[-1]:
-            links = links.union(few(_by_blocks(heavy, lists)))
-        found = found.union(links)
-        labels = cut(components(found, "a", "b"))
-        if not more:
+        if not heavy.limit(1).count():
             break
-        rest = cut(lists.join(_open(heavy.drop("label", "c"), labels).select("node").distinct(), "node", "left_semi"))
-    return labels
+        if level < len(LEVELS) - 1:
+            rest = cut(lists.join(heavy.select("node").distinct(), "node", "left_semi"))
+        else:
+            found = found.union(few(_by_blocks(heavy, lists)))
+    return cut(components(found, "a", "b"))
 
 
 def _listed(rows: DataFrame) -> DataFrame:
@@ -330,9 +305,10 @@ def _by_blocks(rows: DataFrame, lists: DataFrame) -> DataFrame:
     two blocks of neighbouring classes are one task's work: exact intersections by matrix product, of which only links
     that connect something new leave the task.
     """
-    head = rows.groupBy("sig").agg(F.min("node").alias("head"))
-    star = rows.join(head, "sig").select("node", "head").distinct()
-    group = components(star, "node", "head").select("node", F.col("label").alias("g"))
+    # Documents and signatures are the two kinds of ends of this graph.
+    end = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("id"))
+    group = components(rows.select(end(0, "node").alias("src"), end(1, "sig").alias("dst")))
+    group = group.where("node.kind = 0").select(F.col("node.id").alias("node"), F.col("label.id").alias("g"))
     nodes = rows.select("node", "n", "label").distinct().join(group, "node")
     nodes = nodes.withColumn("k", F.floor(F.log(F.col("n").cast("double")) / float(np.log(CLASS)) + 1e-9).cast("int"))
     counts = nodes.groupBy("g", "k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

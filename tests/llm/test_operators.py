@@ -68,7 +68,7 @@ def random_corpus(seed, n=120):
 def test_jaccard_matches_brute_force(spark, monkeypatch, heavy, stars, block):
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "STAR_ROUNDS", max(stars, 1))
+    monkeypatch.setattr(jaccard, "LEVELS", ((2, max(stars, 1)), (1, 1)))
     rows = random_corpus(heavy * 10 + stars)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, rows)).collect()}
     assert got == linked_components(rows)
@@ -162,6 +162,27 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs(spark, []), items).count() == 0
 
 
+def test_decontamination_of_odd_rows(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    long = " ".join(f"p{i % 997}" for i in range(400_000))
+    rows = [(1, f"{long} {item}"), (2, item), (2, item), (None, item), (3, long)]
+    items = spark.createDataFrame([(None, item, "x"), (5, item, "y"), (6, long, "z")], "item_id long, text string, doc_id string")
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows, CLASH), items).collect())
+    want = collections.Counter({(i, j): 1 for i in (1, None) for j in (None, 5)} | {(2, j): 2 for j in (None, 5)} | {(1, 6): 1, (3, 6): 1})
+    assert got == want
+    assert decontaminate.decontaminate(docs(spark, [*rows, (4, "clean")]), items.where("item_id is null")).count() == 2
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    rows = [(i, " ".join(["w"] * (i % 7)), "en", None if i % 50 == 0 else f"s{i % 40}") for i in range(2000)] + [(5, "a b", "en", "s5"), (9000, "word " * 500_000, "en", "s1")]
+    table = docs(spark, rows, CLASH).withColumn("key", F.lit("x")).withColumn("__salt", F.lit(1))
+    plan = lambda: sorted((r.doc_id, r["__mix_size"], r["__mix_copies"], r["key"]) for r in mixing.with_copies(table).collect())
+    plain = plan()
+    monkeypatch.setattr(mixing, "small_side", lambda df, n: (df, False))
+    assert plan() == plain and len(plain) == 2002
+    assert mixing.mix(table).columns == table.columns
+
+
 def test_pii(spark):
     text = "mail a@b.c+d@e.f now é 10.0.0.256 1.2.3.4.5.6.7.8 card 4111-1111 1111 1111 tel +1 (555) 123-4567 ssn 123-45-6789 or 123-45-6780 DE89 3704 0044 0532 0130 00 x@y@z.com. 001.02.3.0255"
     found = pii.spans(docs(spark, [(1, text), (2, None), (3, ""), (4, "9" * 200_000 + "@" * 1000 + "a" * 200_000 + " +1" + "(" * 50_000), (1, text)], CLASH))
@@ -401,7 +422,7 @@ def test_nearest(spark):
     x[700:1100] = x[0]
     x[5] *= 30
     rows = [(i, v.tolist(), 0, None, None) for i, v in enumerate(x)]
-    odd = [(2000, None, 0, None, None), (2001, [0.0] * 8, 0, None, None), (2002, [float("nan")] * 8, 0, None, None), (2003, [1.0, None] * 4, 0, None, None), (2004, [1.0] * 3, 0, None, None), (2005, [], 0, None, None), (None, [1.0] * 8, 0, None, None), (3, x[3].tolist(), 0, None, None)]
+    odd = [(2000, None, 0, None, None), (2001, [0.0] * 8, 0, None, None), (2002, [float("nan")] * 8, 0, None, None), (2003, [1.0, None] * 4, 0, None, None), (2004, [1.0] * 3, 0, None, None), (2006, [float("inf")] + [0.0] * 7, 0, None, None), (2007, [1.0] * 4000, 0, None, None), (2005, [], 0, None, None), (None, [1.0] * 8, 0, None, None), (3, x[3].tolist(), 0, None, None)]
     got = collections.defaultdict(list)
     for r in anntree.search(vectors(spark, rows + odd), F.col("vec_id") % 20 == 0, k=10).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
