@@ -290,6 +290,15 @@ def test_urls_equal_their_sql(spark, tmp_path):
     assert any(plain[r[1]] != r[-1] for r in got)
 
 
+def test_url_rules_of_equal_length(spark):
+    rules = (("block", "x.test", "/a"), ("allow", "x.test", "/a"), ("block", "test", "/ab/c"), ("allow", "y.x.test", "/"))
+    long = "<p>" + "<link rel=next href=/q>" * 200_000 + "<link rel=canonical href='/ab/c'>"
+    rows = [(1, "http://x.test/a", ""), (2, "http://y.x.test/ab/c", ""), (3, "http://z.test/ab/cd", ""), (4, "http://z.test/long", long)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    # Of the rules on page 2 the longest have nine characters each.
+    assert got == {1: ("x.test/a", "allow"), 2: ("y.x.test/", "allow"), 3: ("test/ab/c", "block"), 4: (None, "block")}
+
+
 def test_urls_given_edges_and_hubs(spark, monkeypatch):
     monkeypatch.setattr(components, "HUB", 500)
     pages = spark.createDataFrame([(i, f"http://h{i}.net/") for i in range(3000)], "page_id long, url string")
@@ -338,6 +347,13 @@ def test_token_files(spark, tmp_path):
         list(tokenfile.Reader(f"file://{name}").documents())
 
 
+def test_token_files_without_ids(spark):
+    rows = [(None, "b c"), (3, "x"), (None, None), (3, "a x"), (None, "b a")]
+    got = [(r.doc_id, r.start, r.n_tokens) for r in tokenfile.digest(docs(spark, rows, CLASH)).orderBy("start").collect()]
+    assert [i for i, _, _ in got] == [None, None, None, 3, 3] and got[0][2] == 1
+    assert [s for _, s, _ in got] == [sum(n for _, _, n in got[:i]) for i in range(5)]
+
+
 def thue_morse(n):
     """Two words of 2**n letters on which every polynomial hash mod 2**64 agrees from n = 10 on."""
     word = "a"
@@ -408,7 +424,8 @@ def test_toxicity(spark):
     assert kept.columns == table.columns
     assert np.mean([truth[r.doc_id] == 0 for r in kept.collect() if r.doc_id in truth]) > 0.95
     none = toxicity.score(table, toxicity.train(table, known.where("false")))
-    assert {r.tox_score for r in none.collect()} == {0.5}
+    assert {(r.tox_score, r.tox_flag) for r in none.collect()} == {(0.5, False)}
+    assert toxicity.keep_clean(table, known.where("false")).count() == table.count()
     assert toxicity.keep_clean(docs(spark, []), known).count() == 0
 
 
