@@ -77,7 +77,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE))
     counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
     rows = rows.select("doc_id", "pii", base.alias("base"))
-    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"), pii.scores(F.col("pii")).alias("scores"))
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"), pii.scores(F.col("pii")).alias("scores"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def _sql_hits(kind: str, pattern: str, check: str) -> str:
@@ -110,15 +110,16 @@ def _op8_sql() -> str:
         "phone": ("\\+[0-9][ ().0-9-]+[0-9]", f"len({number}) BETWEEN 9 AND 15"),
         "iban": (pii.PATTERNS["iban"][0], f"len({account}) BETWEEN 15 AND 34 AND {mod}"),
         "ssn": (pii.PATTERNS["ssn"][0], "true"),
+        "secret": (pii.PATTERNS["secret"][0], "regexp_matches(h.m, '[0-9]') AND regexp_matches(h.m, '[a-f]')"),
     }
     lists = ",\n".join(f"{_sql_hits(k, p, c)} AS {k}" for k, (p, c) in kinds.items())
     every = "list_concat(list_concat(email, ip), list_concat(card, phone))"
     text = "lambda x: x.k || ':' || x.s || ':' || x.e"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {lists} FROM d),
-g AS (SELECT *, {every} AS base, list_concat({every}, list_concat(iban, ssn)) AS found FROM f)
+g AS (SELECT *, {every} AS base, list_concat(list_concat({every}, iban), list_concat(ssn, secret)) AS found FROM f)
 SELECT doc_id, len(email)::BIGINT AS n_email, len(ip)::BIGINT AS n_ip, len(card)::BIGINT AS n_card, len(phone)::BIGINT AS n_phone,
   sha256(array_to_string(list_transform(base, {text}), ',')) AS base_sha256, array_to_string(list_transform(found, {text}), ',') AS spans,
-  array_to_string(list_transform(found, lambda x: printf('%.2f', x.score)), ',') AS scores FROM g"""
+  array_to_string(list_transform(found, lambda x: printf('%.2f', x.score)), ',') AS scores, len(found)::BIGINT AS n_spans FROM g"""
 
 
 OP8_SQL = _op8_sql()

@@ -5,8 +5,8 @@ patterns are written so that each start is tried once per run of characters (`\G
 possessive, offsets are running sums taken block by block, and a hit's context comes from the pieces next to it: time is
 linear in the text and in its hits, and long runs of digits or letters need no stack.
 
-Kinds, in order: email, ip, card (Luhn), phone: the base; iban (mod 97) and ssn (needs a context word) are added; these
-two must not touch further characters of their kind (EDGES). A context word within CONTEXT characters before or after a
+Kinds, in order: email, ip, card (Luhn), phone: the base; iban (mod 97), ssn and secret (keys in hexadecimal; both need
+a context word) are added; these must not touch further characters of their kind (EDGES). A context word within CONTEXT characters before or after a
 span raises its score.
 
 Defined results: null and empty texts have no spans; hits that fail their check are dropped without a retry inside them;
@@ -24,7 +24,7 @@ from .common import LOWER, UPPER, let
 LOCAL = "[A-Za-z0-9._%+-]"
 LABEL = "[A-Za-z0-9-]"
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn")
+ADDED = ("iban", "ssn", "secret")
 #: kind: pattern, a cheaper test that holds whenever the pattern matches something that can pass its check.
 PATTERNS = {
     "email": (rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{LABEL}++(?:\.{LABEL}++)++", "@"),
@@ -33,11 +33,12 @@ PATTERNS = {
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]"),
     "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "secret": (r"[0-9a-f]{32,64}", r"[0-9a-f]{32}"),
 }
 #: Characters that must not stand next to a span.
-EDGES = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]"}
+EDGES = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]", "secret": "[A-Za-z0-9]"}
 #: Score before and gain by a context word within CONTEXT characters of the span; spans under KEEP go, base ones never.
-SCORES = {"email": (0.9, 0.1), "ip": (0.6, 0.3), "card": (0.8, 0.2), "phone": (0.6, 0.3), "iban": (0.9, 0.1), "ssn": (0.3, 0.5)}
+SCORES = {"email": (0.9, 0.1), "ip": (0.6, 0.3), "card": (0.8, 0.2), "phone": (0.6, 0.3), "iban": (0.9, 0.1), "ssn": (0.3, 0.5), "secret": (0.3, 0.5)}
 WORDS = {
     "email": "mail|contact|write",
     "ip": "ip|server|host|address|login",
@@ -45,6 +46,7 @@ WORDS = {
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": "ssn|social security|tax id",
+    "secret": "token|secret|key|api|password|passwd",
 }
 CONTEXT = 48
 KEEP = 0.5
@@ -90,6 +92,8 @@ def confirmed(kind: str, hit: Column) -> Column:
         return F.length(digits(hit)).between(9, 15)
     if kind == "iban":
         return let(F.regexp_replace(hit, " ", ""), lambda a: F.when(F.length(a).between(15, 34), mod97(a)).otherwise(False))
+    if kind == "secret":
+        return hit.rlike("[0-9]") & hit.rlike("[a-f]")
     return F.lit(True)
 
 

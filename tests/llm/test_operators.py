@@ -251,6 +251,7 @@ def test_pii_equals_its_sql(spark, tmp_path):
         "my tax id: 123-45-6789", "123-45-6789 is my ssn", "ssn _123-45-6789_ and x123-45-6789-1", "ssn 0123-45-6789", "no word 123-45-6789",
         "DE89370400440532013000", "_DE89370400440532013000_", "xDE89370400440532013000", "é DE89 3704 0044 0532 0130 00é GB29 NWBK 6016 1331 9268 19, DE89 3704 0044 0532 0130 01",
         "call +1 555 123 4567 ext", "é" * 60 + " visa 4111 1111 1111 1111" + "é" * 60 + "pay 5500005555555559 card", "a@b.co c@d.co mail e@f.co" * 30, "1.2.3.4 server 5.6.7.8 host", None, "", "advisa 4111111111111111", "4111111111111111 credit",
+        'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', "04dbebab91ab85687d33eeaaf9ac699e1188f962", "key 0" + "a" * 80, "key " + "1" * 40, "x04dbebab91ab85687d33eeaaf9ac699e1188f962 token",
     ]
     rows = [(i, t) for i, t in enumerate(texts)]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
@@ -258,6 +259,7 @@ def test_pii_equals_its_sql(spark, tmp_path):
     assert got == in_duckdb(catalog.OP8_SQL, documents=("doc_id BIGINT, text VARCHAR", rows))
     found = {r.doc_id: (r.spans, r.scores) for r in catalog.op8_personal_data(spark, str(tmp_path)).collect()}
     assert found[0] == ("ssn:11:22", "0.80") and found[1] == ("ssn:0:11", "0.80") and found[3] == ("", "") and found[4] == ("", "")
+    assert [found[i][0] for i in range(17, 22)] == ["secret:13:53", "", "", "", ""]
     assert found[9][1] == "0.90" and found[15][1] == "0.80" and found[16][1] == "1.00"
 
 
