@@ -167,3 +167,24 @@ def c21(spark, sf_dir):
         found = windows.sliding(rows, w, ["radiation"]).select(F.col("window_index").alias("idx"), windows.flat(F.col("win")).alias("features"))
         parts.append(cluster.eigengap_table(found, [1.0], 8).withColumn("window", F.lit(w)))
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    "st03_streaming_sessions",
+    "user_id:i sessions:i events:i longest:i",
+    """SELECT user_id, count(*) AS sessions, sum(n) AS events, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM
+    (SELECT user_id, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM
+    (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)) GROUP BY ALL) GROUP BY 1""",
+)
+def st03(spark, sf_dir):
+    found = streaming_daily.drained(streaming_daily.sessions(streaming_daily.event_stream(spark, sf_dir), "2 hours"))
+    return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"), F.max("n").alias("longest"))
+
+
+@query("st04_online_clusters", "cluster:i n:i total:d4", "SELECT CASE WHEN abs(value) <= abs(value - 100) THEN 0 WHEN abs(value - 100) <= abs(value - 300) THEN 1 ELSE 2 END AS cluster, count(*) AS n, sum(value) AS total FROM events GROUP BY 1")
+def st04(spark, sf_dir):
+    centres = spark.createDataFrame([(0, [0.0]), (1, [100.0]), (2, [300.0])], "cluster int, centroid array<double>")
+    rows = streaming_daily.event_stream(spark, sf_dir).select(F.col("event_id").alias("idx"), F.array("value").alias("features"))
+    found = streaming_daily.drained(streaming_daily.assign_online(rows, centres), "append")
+    return found.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("features")[0]).alias("total"))
+
