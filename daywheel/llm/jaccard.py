@@ -267,7 +267,7 @@ def classes(lists: DataFrame) -> DataFrame:
         few = lambda df, n=n: cut(fewer(df, n, 20_000))  # noqa: E731  everything below is smaller than posts
         for last in range(turns):
             rows = posts.withColumn("label", F.col("node")) if labels is None else few(_open(posts, labels))
-            links = few(_star(rows, lists, turn))
+            links = few(_star(rows, rest, turn))
             found = links if found is None else found.union(links)
             # At first a step or two up to the heads is enough to tell which signatures are open.
             labels = few(_climbed(links)) if turn == 0 and last < turns - 1 else few(components(found, "a", "b"))
@@ -278,14 +278,14 @@ def classes(lists: DataFrame) -> DataFrame:
         rows = few(_dealt(rows, sizes).withColumn("parts", F.ceil(F.col("c") / DEAL).cast("int")))
         if not rows.limit(1).count():
             return labels
-        found = found.union(few(verified(_listed(rows.where(F.col("c") <= HEAVY)), lists)))
+        found = found.union(few(verified(_listed(rows.where(F.col("c") <= HEAVY)), rest)))
         heavy = few(rows.where(F.col("c") > HEAVY))
         if not heavy.limit(1).count():
             break
         if level < len(LEVELS) - 1:
-            rest = cut(lists.join(heavy.select("node").distinct(), "node", "left_semi"))
+            rest = cut(rest.join(heavy.select("node").distinct(), "node", "left_semi"))
         else:
-            found = found.union(few(_by_blocks(heavy, lists)))
+            found = found.union(few(_by_blocks(heavy, rest)))
     return cut(components(found, "a", "b"))
 
 
