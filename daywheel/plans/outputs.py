@@ -335,7 +335,7 @@ def render(folder: str | Path, config: dict | None = None) -> str:
     measures = ["MSE", "RMSE", "MAE", "R2"]
     parts = [
         r"\documentclass[11pt]{article}", *[rf"\usepackage{p}" for p in ("[margin=0.7in]{geometry}", "{float}", "{graphicx}", "[T1]{fontenc}", "[utf8]{inputenc}")], r"\begin{document}",
-        rf"\title{{{report.escape('LSTM+Cluster Experiment - ' + where)}}}", r"\date{}", r"\maketitle",
+        rf"\title{{{report.escape('Run report - ' + where)}}}", r"\date{}", r"\maketitle",
         r"\section*{Dataset}", bullets(dataset_entries(config), "Dataset metadata was not provided."),
         r"\section*{Configuration}", bullets(config_entries(config)),
         r"\section*{LSTM Configs}", bullets([(label, config[k]) for k, label in NETWORK.items() if config.get(k) is not None], "LSTM configuration was not provided."),
