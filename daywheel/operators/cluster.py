@@ -88,8 +88,8 @@ def rain_guided(rows: DataFrame, k: int, tolerance: float = 0.0, rain: str = "ra
     """(rows with cluster, centroids): as rain_known, rows of unknown rain going to the nearest centroid of the known ones."""
     labelled = rain_known(rows, k, tolerance, rain)
     centres = centroids(labelled.where("cluster is not null"), "cluster")
-    guess = nearest(labelled.where("cluster is null").drop("cluster"), centres).select(*labelled.columns)
-    return labelled.where("cluster is not null").unionByName(guess), centres
+    guess = nearest(labelled.withColumnRenamed("cluster", "_known"), centres)
+    return guess.withColumn("cluster", F.coalesce("_known", "cluster")).select(*labelled.columns), centres
 
 
 def rain_ranges(labelled: DataFrame, rain: str = "rain") -> DataFrame:
