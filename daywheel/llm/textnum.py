@@ -60,22 +60,22 @@ def _blocks(starts: np.ndarray, ends: np.ndarray, sums: np.ndarray) -> np.ndarra
     return np.add.reduceat(mix64(sums[stop] - sums[begin] + turn.astype(np.uint64) * _U(0xD1342543DE82EF95)), first)
 
 
-def _edges(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = np.zeros(len(code) + 2, bool)
-    np.not_equal(code, 0, out=inside[1:-1])
-    at = np.flatnonzero(inside[1:] != inside[:-1])
+def _edges(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    padded = np.zeros(len(inside) + 2, bool)
+    padded[1:-1] = inside
+    at = np.flatnonzero(padded[1:] != padded[:-1])
     return at[::2], at[1::2]
 
 
 def word_bounds(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the words of data."""
-    return _edges(table.take(np.frombuffer(data, np.uint8)))
+    return _edges((table != 0).take(np.frombuffer(data, np.uint8)))
 
 
 def piece_words(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, prefix sums of the bytes' values, hashes) of the words of a piece of bytes."""
     code = table.take(np.frombuffer(data, np.uint8))
-    starts, ends = _edges(code)
+    starts, ends = _edges(code != 0)
     # Of each byte its place in its word: the index less that of the last start.
     last = np.concatenate(([0], starts))
     place = np.arange(len(code)) - np.repeat(last, np.diff(np.append(last, len(code))))

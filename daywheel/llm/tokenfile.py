@@ -54,7 +54,7 @@ _WIDE_BLANK = re.compile("[\x85\xa0  -     　]")
 _SIMPLE = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)").fullmatch
 _CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 #: Longer texts are cut between words before they are encoded, so that memory doesn't follow the longest text.
-LONG = 1 << 20
+LONG = 1 << 21
 
 
 class Encoder:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("daywheel.llm")
-from daywheel.llm import language, quality, textnum, toxicity
+from daywheel.llm import language, quality, toxicity
 
 from .test_operators import CLASH, docs, toxic_corpus
 
