@@ -28,7 +28,8 @@ THRESHOLD = 0.8
 
 def words_of(text: Column) -> Column:
     bare = F.trim(F.lower(F.coalesce(text, F.lit(""))), F.lit(BLANKS))
-    return F.filter(F.split(bare, WORD_SPLIT), lambda w: w != "")
+    # Between words, and nowhere else, blanks are left: no split is empty but that of an empty text.
+    return let(bare, lambda b: F.when(b == "", F.array().cast("array<string>")).otherwise(F.split(b, WORD_SPLIT)))
 
 
 def shingle_count(words: Column, width: int) -> Column:
@@ -55,7 +56,8 @@ def shingle_hashes(word_hashes: Column, width: int) -> Column:
 
     def body(w: Column) -> Column:
         n = F.size(w)
-        many = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
+        whole = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, width)]))
+        many = F.slice(whole, F.lit(1), n - width + 1)
         short = F.array(F.aggregate(w, n.cast("bigint"), lambda a, x: F.xxhash64(a, x)))
         return F.when(n == 0, F.array().cast("array<bigint>")).when(n < width, short).otherwise(many)
 
@@ -79,24 +81,51 @@ def item_index(items: DataFrame, width: int = WIDTH, threshold: float = THRESHOL
     return rows.withColumn("sketch", F.slice(F.array_sort("hashes"), F.lit(1), F.greatest(m, F.lit(1)))).drop("hashes")
 
 
-def _probes(docs: DataFrame, classes: list, width: int) -> DataFrame:
-    """(__dc_id, __dc_text, __dc_n, hash): the shingles of each document that can be in the sketch of a class it is long enough for."""
-    rows = docs.select(F.col("doc_id").alias("__dc_id"), F.xxhash64("text").alias("__dc_text"), hashed_words(F.col("text")).alias("w"))
-    rows = rows.withColumn("__dc_n", shingle_count(F.col("w"), width))
-    bound = F.lit(None).cast("bigint")
-    for c in classes:
-        bound = F.greatest(bound, F.when(F.col("__dc_n") >= c["need"], F.lit(c["bound"]).cast("bigint")))
-    rows = rows.withColumn("bound", bound).where("bound is not null").withColumn("h", shingle_hashes(F.col("w"), width))
-    probes = F.filter("h", lambda x: x <= F.col("bound"))
-    return rows.select("__dc_id", "__dc_text", "__dc_n", F.explode(probes).alias("hash"))
+#: Slots of the table that says which hashes any sketch may hold: this many for each value, within these limits.
+SLOTS_EACH, SLOTS = 16, (1 << 12, 1 << 18)
+
+
+def _slot(value: Column, size: int) -> Column:
+    return value.bitwiseAND(F.lit(size - 1)).cast("int")
+
+
+def _marks(sketches: DataFrame, n: int) -> bytearray:
+    """A byte for each slot: 1 where some of the n sketch values falls. At most SLOTS[1] numbers come to the driver."""
+    size = min(SLOTS[1], max(SLOTS[0], 1 << (SLOTS_EACH * n).bit_length()))
+    found = bytearray(size)
+    for row in sketches.select(_slot(F.col("hash"), size).alias("at")).distinct().collect():
+        found[row.at] = 1
+    return found
+
+
+def _probes(docs: DataFrame, classes: list, marks: bytearray, width: int) -> DataFrame:
+    """(__dc_id, __dc_text, __dc_n, hash): the shingles of each document that can be in the sketch of a class it is long enough for.
+
+    Most hashes fall in slots without a mark and never become rows.
+    """
+    none = F.array().cast("array<struct<n:int,hash:bigint>>")
+    marked = lambda x: F.substring(F.lit(marks), _slot(x, len(marks)) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+
+    def bound(n: Column) -> Column:
+        """The largest sketch value of the classes that n shingles are enough for; null if they are too few for any."""
+        return F.greatest(F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), *[F.when(n >= c["need"], F.lit(c["bound"]).cast("bigint")) for c in classes])
+
+    def found(w: Column, n: Column, most: Column) -> Column:
+        kept = F.filter(shingle_hashes(w, width), lambda x: marked(x) & (x <= most))
+        return F.when(most.isNull(), none).otherwise(F.transform(kept, lambda x: F.struct(n.alias("n"), x.alias("hash"))))
+
+    # One expression, each part of which is evaluated once: as columns the optimizer would copy them into the filter.
+    probes = let(hashed_words(F.col("text")), lambda w: let(shingle_count(w, width), lambda n: let(bound(n), lambda most: found(w, n, most))))
+    rows = docs.select(F.col("doc_id").alias("__dc_id"), F.xxhash64("text").alias("__dc_text"), F.explode(probes).alias("p"))
+    return rows.select("__dc_id", "__dc_text", F.col("p.n").alias("__dc_n"), F.col("p.hash").alias("hash"))
 
 
 def candidates(docs: DataFrame, index: DataFrame, width: int = WIDTH) -> DataFrame:
     """(__dc_id, __dc_text, items): documents that hold a sketch value of an item and are long enough for it."""
     classes = index.groupBy("size_class").agg(F.min("need").alias("need"), F.max(F.array_max("sketch")).alias("bound")).collect()  # a row per power of two
-    sketches = index.select("__dc_key", "need", F.explode("sketch").alias("hash"))
-    side, _ = small_side(cut(sketches), 32)
-    found = _probes(docs, classes, width).join(side, "hash").where("__dc_n >= need")
+    sketches = cut(index.select("__dc_key", "need", F.explode("sketch").alias("hash")))
+    side, _ = small_side(sketches, 32)
+    found = _probes(docs, classes, _marks(sketches, sketches.count()), width).join(side, "hash").where("__dc_n >= need")
     return found.groupBy("__dc_id", "__dc_text").agg(F.collect_set("__dc_key").alias("items"))
 
 
