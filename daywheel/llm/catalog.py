@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anntree, decontaminate, jaccard, language, mixing, pii, quality, tokenfile, toxicity, urls
+from . import anntree, decontaminate, divergence, jaccard, language, mixing, pii, quality, tokenfile, toxicity, urls
 
 from .common import LOWER, UPPER
 
@@ -209,6 +209,30 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM c LEFT JO
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM (SELECT k, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n)::BIGINT AS n FROM w GROUP BY lang, term HAVING sum(docs) >= {divergence.MIN_DOCS}),
+v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM kept GROUP BY lang),
+c AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(w.n, 0) AS n, kept.n AS n_lang FROM g JOIN kept USING (lang)
+  LEFT JOIN w ON w.lang = g.lang AND w.source = g.source AND w.term = kept.term),
+t AS (SELECT lang, source, sum(n)::BIGINT AS total FROM c GROUP BY lang, source),
+p AS MATERIALIZED (SELECT c.lang, c.source, term, n, (1 + ({divergence.SCALE}::HUGEINT * (n + {divergence.PRIOR})) // (t.total + {divergence.PRIOR} * v))::BIGINT AS p,
+    (1 + ({divergence.SCALE}::HUGEINT * (n_lang + {divergence.PRIOR})) // (v.total + {divergence.PRIOR} * v))::BIGINT AS q
+  FROM c JOIN t ON t.lang = c.lang AND t.source = c.source JOIN v ON v.lang = c.lang),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term)
+    WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM f) WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest_vectors": op1_nearest_vectors,
@@ -221,8 +245,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": op8_personal_data,
         "op9_url_filter": op9_url_filter,
         "op10_decontaminate": op10_decontaminate,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op7_jaccard_join": OP7_SQL, "op8_personal_data": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op7_jaccard_join": OP7_SQL, "op8_personal_data": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL, "op13_source_divergence": OP13_SQL}

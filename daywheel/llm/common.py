@@ -75,9 +75,13 @@ def fewer(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_task)))
 
 
-def small_side(df: DataFrame, row_bytes: int) -> tuple[DataFrame, bool]:
-    """df with a broadcast hint if its counted size is under BROADCAST_BYTES, else df as it is. df should be cut() before."""
-    small = df.count() * row_bytes <= BROADCAST_BYTES
+def small_side(df: DataFrame, row_bytes: int | Column) -> tuple[DataFrame, bool]:
+    """df with a broadcast hint if its size is under BROADCAST_BYTES, else df as it is. df should be cut() before.
+
+    row_bytes: the bytes of each row, a column that measures them where rows vary.
+    """
+    size = F.sum(row_bytes) if isinstance(row_bytes, Column) else F.count("*") * row_bytes
+    small = (df.agg(size.alias("size")).first()["size"] or 0) <= BROADCAST_BYTES
     return (F.broadcast(df) if small else df), small
 
 
