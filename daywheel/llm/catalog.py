@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anntree, decontaminate, divergence, jaccard, language, mixing, pii, quality, tokenfile, toxicity, urls
+from . import anntree, bpe, decontaminate, divergence, jaccard, language, mixing, pii, quality, tokenfile, toxicity, urls
 
 from .common import LOWER, UPPER
 
@@ -209,6 +209,13 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM c LEFT JO
 """
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "bpe_ids")
+    listed = F.array_join(F.col("bpe_ids").cast("array<string>"), " ")
+    digests = F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bpe_text", 256).alias("decoded_sha256")
+    return bpe.decode(ids).select("doc_id", F.size("bpe_ids").cast("long").alias("n_tokens"), *digests)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -245,6 +252,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": op8_personal_data,
         "op9_url_filter": op9_url_filter,
         "op10_decontaminate": op10_decontaminate,
+        "op12_bpe_round_trip": op12_bpe_round_trip,
         "op13_source_divergence": op13_source_divergence,
     }
 
