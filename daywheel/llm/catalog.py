@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anntree, bpe, decontaminate, divergence, jaccard, language, mixing, pii, quality, tokenfile, toxicity, urls
+from . import anntree, bpe, decontaminate, divergence, jaccard, language, mixing, pii, quality, tokenfile, toxicity, trie, urls
 
 from .common import LOWER, UPPER
 
@@ -209,6 +209,34 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM c LEFT JO
 """
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(trie.rebuild(trie.turns(_table(spark, sf_dir, "conversations")))).drop("node")
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text of ASCII characters, bit by bit."""
+    bit = "xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"list_reduce(list_prepend(xor(c, ascii(x)::BIGINT), [0::BIGINT for k in range(8)]), lambda a, b: {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT for x in string_split({text}, '')]), lambda c, x: {byte.replace('ascii(x)::BIGINT', 'x')}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(coalesce(role, '')), encode(coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, {_crc32_sql('conv_id::VARCHAR')} % {trie.PREFIXES} AS h FROM (SELECT DISTINCT conv_id FROM t)),
+m AS (SELECT c.conv_id, 0 AS k, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % {trie.FAMILY} AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+l AS MATERIALIZED (SELECT c.conv_id, coalesce(turns, []) AS turns FROM c LEFT JOIN (SELECT conv_id, list([role, text] ORDER BY k, pos) AS turns FROM m GROUP BY conv_id) USING (conv_id)),
+p AS MATERIALIZED (SELECT conv_id, d AS depth, turns[1:d] AS path, len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(generate_series(0, len(turns))) AS d FROM l)),
+n AS MATERIALIZED (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends)), sha256('')) AS ends_sha256 FROM p GROUP BY path, depth),
+k AS MATERIALIZED (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+w AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * octet_length(encode(path[depth][2])) ELSE 0 END AS saved FROM n LEFT JOIN k USING (path)),
+u AS (SELECT path[1:a] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(generate_series(0, depth)) AS a FROM w) GROUP BY ALL)
+SELECT w.conv_id, w.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM w JOIN u USING (path) LEFT JOIN n up ON w.depth > 0 AND up.path = w.path[1:w.depth - 1]
+"""
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "bpe_ids")
     listed = F.array_join(F.col("bpe_ids").cast("array<string>"), " ")
@@ -252,10 +280,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": op8_personal_data,
         "op9_url_filter": op9_url_filter,
         "op10_decontaminate": op10_decontaminate,
+        "op11_conversation_trie": op11_conversation_trie,
         "op12_bpe_round_trip": op12_bpe_round_trip,
         "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op7_jaccard_join": OP7_SQL, "op8_personal_data": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op7_jaccard_join": OP7_SQL, "op8_personal_data": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL, "op11_conversation_trie": OP11_SQL, "op13_source_divergence": OP13_SQL}
