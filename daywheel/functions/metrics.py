@@ -73,8 +73,3 @@ def weight_of(value: Column, thresholds: list[float], weights: list[float]) -> C
 def weighted_mse(actual: Column, predicted: Column, thresholds: list[float], weights: list[float]) -> Column:
     error = actual - predicted
     return F.avg(weight_of(actual, thresholds, weights) * error * error)
-
-
-def five_numbers(value: Column) -> Column:
-    """Exact minimum, quartiles and maximum."""
-    return F.percentile(value, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))

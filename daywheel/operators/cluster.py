@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distance import BLOCK_ROWS, affinity, centroids, normalized, squared_distance
+from .ranks import part_starts
+from .shared import beside
 
 N_INIT, SEED = 10, 42
 #: Up to so many rows an affinity matrix is decomposed on the driver.
@@ -77,11 +79,17 @@ def check_rain(rows: DataFrame, k: int, tolerance: float = 0.0, rain: str = "rai
 
 
 def rain_known(rows: DataFrame, k: int, tolerance: float = 0.0, rain: str = "rain", keys: tuple[str, ...] = ()) -> DataFrame:
-    """rows with cluster: 0 for known dry rows, 1..k-1 for known rainy ones in even parts by rain; null where rain is unknown."""
+    """rows with cluster: 0 for known dry rows, 1..k-1 for known rainy ones in even parts by rain, then idx (one for each row of a group); null where rain is unknown."""
     y = F.col(rain)
+    group = list(keys) or ["_every"]
+    rows_ = rows if keys else rows.withColumn("_every", F.lit(0))
+    starts, few = part_starts(rows_.where(y > tolerance), k - 1, [rain, "idx"], group)
+    met = beside(rows_, starts, group, few, "left")
+    own = F.struct(rain, "idx")
+    part = 1 + F.coalesce(F.size(F.filter("starts", lambda s: s <= own)), F.lit(0))
     wet = F.coalesce(y > tolerance, F.lit(False))
-    part = F.ntile(k - 1).over(Window.partitionBy(*keys, wet).orderBy(y, "idx"))
-    return rows.withColumn("cluster", F.when(F.abs(y) <= tolerance, 0).when(wet, part).cast("int"))
+    part = F.when(F.abs(y) <= tolerance, 0).when(wet, F.when(F.col("starts").isNull(), 1).otherwise(part)).cast("int")
+    return met.withColumn("cluster", part).drop("starts", *([] if keys else ["_every"]))
 
 
 def rain_guided(rows: DataFrame, k: int, tolerance: float = 0.0, rain: str = "rain") -> tuple[DataFrame, DataFrame]:

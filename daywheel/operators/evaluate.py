@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import five_numbers, regression
+from ..functions.metrics import regression
+from .quantiles import grouped
 
 
 def lead_long(samples: DataFrame, ids: list[str], actual: str = "y_by_lead", predicted: str = "yhat_by_lead", dates: str | None = "date_by_lead") -> DataFrame:
@@ -36,14 +37,16 @@ def horizon_diagnostics(samples: DataFrame, keys: tuple[str, ...] = ("split",))
     delta = F.col("y") - F.col("current")
     keep = regression(F.col("y"), F.col("current"), suffix="_persistence")[1:3]
     model = regression(F.col("y"), F.col("predicted"), suffix="_model")[1:3]
-    found = samples.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.corr("current", "y")).alias("correlation"), F.avg(delta).alias("mean_delta"), F.percentile(delta, 0.5).alias("median_delta"), *keep, *model)
+    measures = [F.count("*").alias("n"), F.when(F.count("*") >= 2, F.corr("current", "y")).alias("correlation"), F.avg(delta).alias("mean_delta"), *keep, *model]
+    found = grouped(samples.select(*keys, "current", "y", "predicted"), delta, [0.5], keys, measures)
+    found = found.withColumn("median_delta", F.col("q")[0]).drop("q")
     return found.withColumns({"rmse_improvement": F.col("rmse_persistence") - F.col("rmse_model"), "mae_improvement": F.col("mae_persistence") - F.col("mae_model")})
 
 
 def bin_count(values: DataFrame, column: str = "y") -> DataFrame:
     """One row: n_bins and top of the shared histogram. Freedman-Diaconis, held between 8 and 35; without positive values 1 bin up to 1."""
     v = F.col(column)
-    stats = values.where(v.isNotNull()).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    stats = grouped(values.select(column), v, [0.25, 0.75], (), [F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")])
     width = 2 * (F.col("q")[1] - F.col("q")[0]) * F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3.0))
     raw = F.when((width > 0) & (F.col("hi") > F.col("lo")), F.ceil((F.col("hi") - F.col("lo")) / width)).otherwise(1)
     some = (F.col("n") > 0) & (F.col("hi") > 0)
@@ -66,7 +69,7 @@ def histogram(values: DataFrame, keys: tuple[str, ...], column: str = "y", bins:
 
 def error_by_magnitude(rows: DataFrame, n_bins: int = 10, actual: str = "actual", predicted: str = "predicted", keep_largest: bool = False) -> DataFrame:
     """(bin, n, mae, rmse) by percentile bins of the target. The largest target belongs to no bin, unless keep_largest."""
-    edges = rows.agg(F.percentile(actual, F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, n_bins + 1)])).alias("edges"))
+    edges = grouped(rows.select(actual), actual, np.linspace(0, 1, n_bins + 1)).select(F.col("q").alias("edges"))
     error = F.col(actual) - F.col(predicted)
     at = F.size(F.filter("edges", lambda e: e <= F.col(actual))) - 1
     place = F.least(at, F.lit(n_bins - 1)) if keep_largest else at
@@ -96,14 +99,14 @@ def nonzero_stats(rows: DataFrame, column: str = "y", key: str = "cluster") -> D
     """Of each cluster: zeros and their share; mean, median, deviation (population), extremes and quartiles of the rest."""
     v = F.col(column)
     rest = F.when(v != 0, v)
-    q = F.percentile(rest, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = rows.groupBy(key).agg(F.count(v).alias("n"), F.count(F.when(v == 0, 1)).alias("zeros"), F.avg(rest).alias("mean"), F.stddev_pop(rest).alias("std"), F.min(rest).alias("min"), F.max(rest).alias("max"), q.alias("_q"))
-    return found.select(key, "n", "zeros", (F.col("zeros") / F.col("n") * 100).alias("zero_percent"), "mean", "std", "min", "max", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"))
+    measures = [F.count(v).alias("n"), F.count(F.when(v == 0, 1)).alias("zeros"), F.avg(rest).alias("mean"), F.stddev_pop(rest).alias("std"), F.min(rest).alias("min"), F.max(rest).alias("max")]
+    found = grouped(rows.select(key, column), rest, [0.25, 0.5, 0.75], [key], measures)
+    return found.select(key, "n", "zeros", (F.col("zeros") / F.col("n") * 100).alias("zero_percent"), "mean", "std", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
 
 
 def box_summary(rows: DataFrame, column: str = "y", key: str = "cluster") -> DataFrame:
-    found = rows.groupBy(key).agg(five_numbers(F.col(column)).alias("_q"))
-    return found.select(key, *[F.col("_q")[i].alias(n) for i, n in enumerate(("min", "q25", "median", "q75", "max"))])
+    found = grouped(rows.select(key, column), column, [0.0, 0.25, 0.5, 0.75, 1.0], [key])
+    return found.select(key, *[F.col("q")[i].alias(n) for i, n in enumerate(("min", "q25", "median", "q75", "max"))])
 
 
 def sample_stats(rows: DataFrame, column: str = "y") -> DataFrame:
@@ -123,7 +126,7 @@ def quantile_weights(values: DataFrame, quantiles: list[float], column: str = "y
     if not quantiles or any(not 0 < q < 1 for q in quantiles) or any(b <= a for a, b in zip(quantiles, quantiles[1:], strict=False)):
         raise ValueError("quantiles must increase strictly between 0 and 1")
     known = values.where(F.col(column).isNotNull())
-    limits = known.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(float(q)) for q in quantiles])))).alias("t"))
+    limits = grouped(known.select(*keys, column), column, quantiles, keys).where(F.col("q")[0].isNotNull()).select(*keys, F.array_sort(F.array_distinct("q")).alias("t"))
     join = (lambda a, b: a.join(b, list(keys))) if keys else (lambda a, b: a.crossJoin(F.broadcast(b)))
     place = F.size(F.filter("t", lambda t: t < F.col(column)))
     counts = join(known, limits).groupBy(*keys, place.alias("bin")).agg(F.count("*").alias("n"))
@@ -189,7 +192,7 @@ def pooled_gaps(samples: DataFrame, features: dict[str, int], value: str = "next
     High is at or above the quantile of the values above 0. samples: cluster, value, win (days as arrays); features name
     places in a day.
     """
-    limit = samples.where(F.col(value) > 0).agg(F.percentile(value, quantile).alias("q"))
+    limit = grouped(samples.where(F.col(value) > 0).select(value), value, [quantile]).select(F.col("q")[0].alias("q"))
     days = samples.crossJoin(F.broadcast(limit)).select(key, (F.col(value) >= F.col("q")).alias("high"), F.explode("win").alias("day"))
     cells = F.create_map(*[c for name, at in features.items() for c in (F.lit(name), F.col("day")[at])])
     long = days.select(key, "high", F.explode(cells).alias("feature", "v"))

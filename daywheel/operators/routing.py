@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS, regression
+from .quantiles import grouped
 
 #: Which error picks the model for a metric. MAPE falls back to the absolute error where the target is 0.
 PICKS = {"MSE": "squared_error", "RMSE": "squared_error", "MAE": "absolute_error", "RMSLE": "squared_log_error", "MAPE": "percent_or_absolute"}
@@ -89,7 +90,7 @@ def cluster_summary(selected: DataFrame, metric: str) -> DataFrame:
     """Routing gains of each assigned cluster."""
     old, new = F.col("same_cluster_absolute_error"), F.col("selected_absolute_error")
     switched = F.count(F.when(~F.col("selected_is_same_cluster"), 1))
-    found = _gains(selected, metric).groupBy(F.col("test_cluster").alias("assigned_test_cluster")).agg(
+    measures = [
         F.count("*").alias("n_test"),
         switched.alias("oracle_switched_samples"),
         (switched / F.count("*") * 100).alias("oracle_switched_percent"),
@@ -99,9 +100,11 @@ def cluster_summary(selected: DataFrame, metric: str) -> DataFrame:
         F.avg(new).alias("oracle_mae"),
         F.avg("_gain").alias("mae_improvement"),
         F.avg("_gain2").alias("mean_squared_error_improvement"),
-        F.percentile("_gain", 0.5).alias("median_absolute_error_improvement"),
         F.avg("actual").alias("mean_actual_precipitation_mm"),
-    )
+    ]
+    used = ("same_cluster_absolute_error", "selected_absolute_error", "selected_is_same_cluster", "_gain", "_gain2", "actual")
+    found = grouped(_gains(selected, metric).select(F.col("test_cluster").alias("assigned_test_cluster"), *used), "_gain", [0.5], ["assigned_test_cluster"], measures)
+    found = found.withColumn("median_absolute_error_improvement", F.col("q")[0]).drop("q")
     return found.withColumn("rmse_improvement", F.col("same_cluster_rmse") - F.col("oracle_rmse"))
 
 
