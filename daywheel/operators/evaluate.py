@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import regression
 from .quantiles import grouped
+from .shared import cut
 
 
 def lead_long(samples: DataFrame, ids: list[str], actual: str = "y_by_lead", predicted: str = "yhat_by_lead", dates: str | None = "date_by_lead") -> DataFrame:
@@ -69,12 +70,14 @@ def histogram(values: DataFrame, keys: tuple[str, ...], column: str = "y", bins:
 
 def error_by_magnitude(rows: DataFrame, n_bins: int = 10, actual: str = "actual", predicted: str = "predicted", keep_largest: bool = False) -> DataFrame:
     """(bin, n, mae, rmse) by percentile bins of the target. The largest target belongs to no bin, unless keep_largest."""
-    edges = grouped(rows.select(actual), actual, np.linspace(0, 1, n_bins + 1)).select(F.col("q").alias("edges"))
-    error = F.col(actual) - F.col(predicted)
-    at = F.size(F.filter("edges", lambda e: e <= F.col(actual))) - 1
+    rows = rows.select(F.col(actual).alias("a"), F.col(predicted).alias("p")).persist()
+    edges = grouped(rows, "a", np.linspace(0, 1, n_bins + 1), persist=False).select(F.col("q").alias("edges"))
+    at = F.size(F.filter("edges", lambda e: e <= F.col("a"))) - 1
     place = F.least(at, F.lit(n_bins - 1)) if keep_largest else at
-    binned = rows.crossJoin(F.broadcast(edges)).select(place.alias("bin"), error.alias("e")).where(F.col("bin") < n_bins)
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
+    binned = rows.crossJoin(F.broadcast(edges)).select(place.alias("bin"), (F.col("a") - F.col("p")).alias("e")).where(F.col("bin") < n_bins)
+    found = cut(binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")))
+    rows.unpersist()
+    return found
 
 
 def batch_statistics(assigned: DataFrame, batch: int = 32) -> DataFrame:

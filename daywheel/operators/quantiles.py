@@ -58,7 +58,7 @@ def _narrowed(rows: DataFrame, wide: DataFrame, keys: list[str], small: bool, st
     return met.select(*keys, "place", (F.col("k") - F.col("upto") + F.col("c")).alias("k"), F.col("a").alias("lo"), F.col("z").alias("hi"), F.col("c").alias("n"))
 
 
-def grouped(rows: DataFrame, value: Column | str, quantiles: Sequence[float], keys: Sequence[str] = (), aggregates: Sequence[Column] = ()) -> DataFrame:
+def grouped(rows: DataFrame, value: Column | str, quantiles: Sequence[float], keys: Sequence[str] = (), aggregates: Sequence[Column] = (), persist: bool = True) -> DataFrame:
     """keys, the aggregates, and q: the exact quantiles of value in each group, interpolated between neighbours.
 
     Null values don't count; NaN stands above all. A group without values has null quantiles. The aggregates, of the same
@@ -69,7 +69,8 @@ def grouped(rows: DataFrame, value: Column | str, quantiles: Sequence[float], ke
     rows = rows.withColumn("_v", value.cast("double"))
     if not keys:
         rows = rows.withColumn("_all_rows", F.lit(0))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    if persist:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     number = F.when(~F.isnan("_v"), F.col("_v"))
     measures = [*aggregates, F.count("_v").alias("_all"), F.count(number).alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi")]
     head = rows.groupBy(*names).agg(*measures) if keys else rows.agg(*measures).withColumn("_all_rows", F.lit(0))
@@ -93,7 +94,8 @@ def grouped(rows: DataFrame, value: Column | str, quantiles: Sequence[float], ke
     sorted_ = beside(places.where(~done), rest.select(*names, "lo", "k", "_v"), [*names, "lo", "k"], False).select(*names, "place", "_v")
     found = places.where(done).select(*names, "place", F.col("lo").alias("_v")).unionByName(sorted_)
     found = cut(found.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("place", "_v"))).alias("_at")))
-    rows.unpersist()
+    if persist:
+        rows.unpersist()
 
     def one(q: float) -> Column:
         at, low, high = _place(q)

@@ -30,7 +30,10 @@ def part_starts(rows: DataFrame, parts: int, order: list[str], keys: list[str])
 
     The first parts are longer by one where they can't be equal. Groups of fewer rows than parts have fewer starts.
     """
-    placed = ranked(rows.select(*keys, *order), [*keys, *order])
+    # Ranges are cut by a sample first: without this, the rows' steps would be done twice.
+    rows = rows.select(*keys, *order).persist()
+    placed = ranked(rows, [*keys, *order])
+    rows.unpersist()
     groups = cut(placed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("rank").alias("_first")))
     small = counted(groups, 64) <= BROADCAST_BYTES
     each, more = F.floor(F.col("_n") / parts), F.col("_n") % parts
