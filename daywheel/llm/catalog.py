@@ -83,9 +83,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_hits(kind: str, pattern: str, check: str) -> str:
     """Spans of one kind as a list of {s, e, score}; pieces and hits alternate in the text."""
     hits, pieces = f"regexp_extract_all(t, '{pattern}')", f"string_split_regex(t, '{pattern}')"
-    near = f"(?:^|[^a-z0-9_])(?:{pii.WORDS[kind]})"
-    before, after = "substr(t, greatest(h.s - 48, 0) + 1, least(h.s, 48))", "substr(t, h.s + length(h.m) + 1, 48)"
-    words = " OR ".join(f"regexp_matches(translate({x}, '{UPPER}', '{LOWER}'), '{near}')" for x in (before, after))
+    near, most = f"{pii.BESIDE}(?:{pii.WORDS[kind]})s?{pii.BESIDE}", pii.CONTEXT
+    before, after = f"substr(t, greatest(h.s - {most + 1}, 0) + 1, least(h.s, {most + 1}))", f"substr(t, h.s + length(h.m) + 1, {most + 1})"
+    sides = f"CASE WHEN h.s <= {most} THEN ' ' ELSE '' END || {before} || left(h.m, 1)", f"right(h.m, 1) || {after} || CASE WHEN length(t) - h.s - length(h.m) <= {most} THEN ' ' ELSE '' END"
+    words = " OR ".join(f"regexp_matches(translate({x}, '{UPPER}', '{LOWER}'), '{near}')" for x in sides)
     score, gain = pii.SCORES[kind]
     if kind in pii.EDGES:
         check += f" AND NOT regexp_matches(right({before}, 1), '{pii.EDGES[kind]}') AND NOT regexp_matches(left({after}, 1), '{pii.EDGES[kind]}')"

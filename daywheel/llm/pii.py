@@ -2,12 +2,13 @@ r"""Personal data: patterns propose spans, checksums confirm them, nearby contex
 
 Only DataFrame functions: a pattern's hits and the pieces between them give the spans' offsets in code points. The
 patterns are written so that each start is tried once per run of characters (`\G` or a look-behind) and repetitions are
-possessive, offsets are running sums taken block by block, and a hit's context comes from the pieces next to it: time is
-linear in the text and in its hits, and long runs of digits or letters need no stack.
+possessive, and a hit's context comes from the pieces next to it, so that long runs of digits or letters need no stack
+and time is linear in the text; offsets are running sums by doubling, n log n in the hits.
 
 Kinds, in order: email, ip, card (Luhn), phone: the base; iban (mod 97), ssn and secret (keys in hexadecimal; both need
-a context word) are added; these must not touch further characters of their kind (EDGES). A context word within CONTEXT characters before or after a
-span raises its score.
+a context word) are added; these must not touch further characters of their kind (EDGES). A context word, alone or as a
+plural, that lies whole within CONTEXT characters before or after a span raises its score; it is a word of its own, with
+neither letter nor digit on either side ("key" in "api_key", not in "keyboard").
 
 Defined results: null and empty texts have no spans; hits that fail their check are dropped without a retry inside them;
 rows that repeat give a row each; an empty table gives an empty result; further columns pass through `spans`, which puts
@@ -46,9 +47,13 @@ WORDS = {
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": "ssn|social security|tax id",
-    "secret": "token|secret|key|api|password|passwd",
+    "secret": "token|secret|key|api|apikey|password|passwd",
 }
+#: Where a word of WORDS, or its plural, begins and ends.
+BESIDE = r"[^\p{L}\p{N}]"
 CONTEXT = 48
+#: Characters that a match has at least.
+SHORTEST = {"email": 5, "ip": 7, "card": 1, "phone": 3, "iban": 12, "ssn": 11, "secret": 32}
 KEEP = 0.5
 
 
@@ -100,49 +105,44 @@ def confirmed(kind: str, hit: Column) -> Column:
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-#: Hits of a block whose running sums are taken by themselves.
-BLOCK = 256
-
-
 def running(sizes: Column) -> Column:
-    """Running sums of a non-empty array of whole numbers: within blocks, then over the blocks' totals."""
-
-    def sums(part: Column) -> Column:
-        return F.aggregate(part, F.array().cast("array<bigint>"), lambda out, x: F.concat(out, F.array(F.coalesce(F.get(out, F.size(out) - 1), F.lit(0)) + x)))
+    """Running sums of a non-empty array of whole numbers: by the k-th turn each holds the sum of the 2 ** k numbers up to it."""
 
-    def whole(x: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK)), lambda b: sums(F.slice(x, b.cast("int") * BLOCK + 1, F.lit(BLOCK))))
-        before = lambda parts: sums(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
-        moved = lambda parts, tops: F.flatten(F.transform(parts, lambda p, b: F.transform(p, lambda v: v + F.coalesce(F.get(tops, b - 1), F.lit(0)))))
-        return let(blocks, lambda parts: let(before(parts), lambda tops: moved(parts, tops)))
+    def turn(sums: Column, k: Column) -> Column:
+        return F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0).cast("bigint")))
 
-    return let(sizes, whole)
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sizes).cast("double"))).cast("int"))
+    return F.aggregate(turns, sizes.cast("array<bigint>"), turn)
 
 
 def kind_spans(text: Column, kind: str) -> Column:
     """array<struct<kind, start, end, score>> of one kind, in order; start and end in code points, end exclusive."""
     pattern, test = PATTERNS[kind]
     score, gain = SCORES[kind]
-    near = rf"(?:^|[^a-z0-9_])(?:{WORDS[kind]})"
-    wide = F.lit(CONTEXT)
+    near = rf"{BESIDE}(?:{WORDS[kind]})s?{BESIDE}"
+    # One character more shows whether a word goes on beyond the context.
+    wide, reach = F.lit(CONTEXT + 1), CONTEXT // SHORTEST[kind] + 2
 
     def before(pieces: Column, hits: Column, i: Column) -> Column:
-        """The CONTEXT characters before hit i: every hit has one at least, so those of the last CONTEXT hits are enough."""
-        own, first = F.get(pieces, i), F.greatest(i - CONTEXT, F.lit(0))
+        """The CONTEXT + 1 characters before hit i; as many hits as may lie in them are enough."""
+        own, first = F.get(pieces, i), F.greatest(i - reach, F.lit(0))
         joined = F.array_join(F.transform(F.slice(hits, first + 1, i - first), lambda h, j: F.concat(F.right(F.get(pieces, first + j), wide), h)), "")
-        return F.when(F.length(own) >= CONTEXT, F.right(own, wide)).otherwise(F.right(F.concat(joined, own), wide))
+        return F.when(F.length(own) > CONTEXT, F.right(own, wide)).otherwise(F.right(F.concat(joined, own), wide))
 
     def after(pieces: Column, hits: Column, i: Column) -> Column:
         own = F.get(pieces, i + 1)
-        joined = F.array_join(F.transform(F.slice(hits, i + 2, wide), lambda h, j: F.concat(h, F.left(F.get(pieces, i + 2 + j), wide))), "")
-        return F.when(F.length(own) >= CONTEXT, F.left(own, wide)).otherwise(F.left(F.concat(own, joined), wide))
+        joined = F.array_join(F.transform(F.slice(hits, i + 2, F.lit(reach)), lambda h, j: F.concat(h, F.left(F.get(pieces, i + 2 + j), wide))), "")
+        return F.when(F.length(own) > CONTEXT, F.left(own, wide)).otherwise(F.left(F.concat(own, joined), wide))
 
     def placed(both: Column, kept: Column) -> Column:
         pieces, hits = both["pieces"], both["hits"]
         ends = running(F.transform(hits, lambda h, i: F.length(F.get(pieces, i)) + F.length(h)))
 
         def scored(end: Column, x: Column, around: Column) -> Column:
-            words = F.translate(around["b"], UPPER, LOWER).rlike(near) | F.translate(around["a"], UPPER, LOWER).rlike(near)
+            # The span's own end bounds a word, and a blank does where the text begins or ends.
+            blank = lambda side: F.when(F.length(side) <= CONTEXT, F.lit(" ")).otherwise(F.lit(""))
+            sides = F.concat(blank(around["b"]), around["b"], F.left(x["hit"], F.lit(1))), F.concat(F.right(x["hit"], F.lit(1)), around["a"], blank(around["a"]))
+            words = F.translate(sides[0], UPPER, LOWER).rlike(near) | F.translate(sides[1], UPPER, LOWER).rlike(near)
             edge = F.right(around["b"], F.lit(1)).rlike(EDGES[kind]) | F.left(around["a"], F.lit(1)).rlike(EDGES[kind]) if kind in EDGES else F.lit(False)
             return F.struct(F.lit(kind).alias("kind"), (end - F.length(x["hit"])).cast("int").alias("start"), end.cast("int").alias("end"), F.when(words, score + gain).otherwise(score).alias("score"), edge.alias("edge"))
 
