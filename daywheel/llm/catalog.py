@@ -136,8 +136,28 @@ def _q(pattern: str) -> str:
 
 def _op9_sql() -> str:
     fold = "list_reduce(list_prepend('', string_split(path, '/')[2:]), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*\\z', '') ELSE a || '/' || x END)"
-    target = "regexp_replace(regexp_replace(x, '" + urls.AMPERSAND + "', '&', 'g'), '(?s)#.*', '')"
-    kinds = " ".join(f"WHEN regexp_matches(tag, '{_q(k)}') THEN regexp_extract(tag, '{_q(v)}', 1)" for k, v in urls.KINDS.items())
+    plain = lambda pattern: _q(pattern.replace("*+", "*").replace("++", "+"))
+    blank = "[ \\t\\r\\n\\f]"
+
+    def absolute(target: str, base: str) -> str:
+        """A link's target seen from a base."""
+        t = f"regexp_replace(regexp_replace({target}, '{urls.AMPERSAND}', '&', 'g'), '(?s)#.*', '')"
+        origin, rest = f"regexp_extract({base}, '^([^:]*://[^/?#]*)', 1)", f"substr({base}, instr({base}, '://') + 3)"
+        path = f"coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '')"
+        folder = f"regexp_extract({path}, '^(.*/)', 1)"
+        return f"""CASE WHEN {t} = '' THEN NULL WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {t} WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN starts_with({t}, '//') THEN regexp_extract({base}, '^([^:]*:)', 1) || {t} WHEN starts_with({t}, '/') THEN {origin} || {t} WHEN starts_with({t}, '?') THEN {origin} || {path} || {t}
+  ELSE {origin} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {t} END"""
+
+    def attribute(name: str) -> str:
+        """A tag's first attribute of this name."""
+        first = f"list_filter(regexp_extract_all(tag, '{plain(urls.ATTRIBUTE)}'), lambda x: regexp_matches(x, '(?i)^{name}{blank}*='))[1]"
+        value = f"regexp_replace({first}, '^[^=]*={blank}*', '')"
+        quoted = f"left({value}, 1) IN (chr(34), chr(39))"
+        return f"regexp_replace(CASE WHEN {quoted} THEN substr({value}, 2, length({value}) - 2) ELSE {value} END, '^{blank}+|{blank}+\\z', '', 'g')"
+
+    tags = f"regexp_extract_all(html, '{plain(urls.MARKUP)}')"
+    unquoted = "CASE WHEN left(content, 1) IN (chr(34), chr(39)) THEN string_split(substr(content, 2), left(content, 1))[1] ELSE content END"
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
 
     def parts(url: str, source: str) -> str:
@@ -154,12 +174,15 @@ def _op9_sql() -> str:
     return f"""
 WITH RECURSIVE p AS ({parts('url', 'pages')}),
 r(verdict, rh, rp) AS (VALUES {rules}),
-tags AS (SELECT url, path, node, unnest(regexp_extract_all(html, '{_q(urls.TAGS)}')) AS tag FROM p WHERE rest IS NOT NULL),
-found AS (SELECT *, {target} AS t FROM (SELECT *, CASE {kinds} END AS x FROM tags) WHERE x IS NOT NULL),
-goal AS (SELECT node AS src, CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-  WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:]*:)', 1) || t WHEN starts_with(t, '/') THEN origin || t WHEN starts_with(t, '?') THEN origin || path || t
-  ELSE origin || CASE WHEN folder = '' THEN '/' ELSE folder END || t END AS url
-  FROM (SELECT *, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) AS origin, regexp_extract(path, '^(.*/)', 1) AS folder FROM found)),
+tags AS (SELECT page_id, url, node, unnest({tags}) AS tag, unnest(generate_series(1, len({tags}))) AS k FROM p WHERE rest IS NOT NULL),
+cells AS (SELECT *, {attribute('href')} AS href, regexp_extract({attribute('content')}, '{_q(urls.AFTER_SECONDS)}', 1) AS content, translate({attribute('http-equiv')}, '{UPPER}', '{LOWER}') AS equiv,
+  regexp_split_to_array(translate({attribute('rel')}, '{UPPER}', '{LOWER}'), '{blank}+') AS rel FROM tags WHERE regexp_matches(tag, '{plain(urls.WANTED)}')),
+aimed AS (SELECT node AS src, url AS page, CASE WHEN regexp_matches(tag, '(?i)^<link') THEN CASE WHEN list_contains(rel, 'canonical') THEN href END
+    WHEN regexp_matches(tag, '(?i)^<meta') THEN CASE WHEN equiv = 'refresh' THEN {unquoted} END END AS x,
+  first_value(CASE WHEN regexp_matches(tag, '(?i)^<base') THEN href END IGNORE NULLS) OVER (PARTITION BY page_id, url, node ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM cells),
+wanted AS (SELECT src, page, base, trim(regexp_replace(x, '[\\t\\r\\n]', '', 'g'), ' ') AS x FROM aimed WHERE x IS NOT NULL),
+based AS (SELECT src, x, coalesce({absolute('base', 'page')}, page) AS url FROM wanted),
+goal AS (SELECT src, {absolute('x', 'url')} AS url FROM based),
 links AS (SELECT src, node AS dst FROM ({parts('url', 'goal')}) WHERE src <> node),
 ends AS (SELECT src AS x, dst AS y FROM links UNION SELECT dst, src FROM links),
 reach(x, y) AS (SELECT x, x FROM ends UNION SELECT reach.x, ends.y FROM reach JOIN ends ON reach.y = ends.x),

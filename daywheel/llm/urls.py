@@ -7,7 +7,8 @@ holds an explicitly allowed URL isn't blocked through its other members.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: from there up to `?`, `#` or the end.
 In the graph URLs are told apart by scheme and host in lower case, path with its dot segments resolved (`/` if empty) and
-query; the fragment is dropped. Links are resolved against their page; those of other schemes (`mailto:`) are none.
+query; the fragment is dropped. Links are resolved against their page's base; those of other schemes (`mailto:`) are
+none. Comments, scripts, styles, text areas, titles and quoted values hold no links.
 Defined results: a null URL, or one without `://`, has empty host and path, no rule fits it and it is allowed; among the
 rules that fit the longest (host and path together) wins, allow before block; all canonical links and refreshes of a
 page count; rows that repeat give a row each; an empty table gives an empty result; further columns pass through
@@ -27,12 +28,19 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: Up to so many rules are written into the plan; more are joined by host suffix.
 INLINE_RULES = 64
 
-#: Patterns of HTML; written without look-arounds, so that other engines can use them too.
-TAGS = r"(?i)<(?:link|meta)\b[^<>]*>"
-KINDS = {
-    r"""(?i)^<link\b[^<>]*[ \t\r\n\f"'/]rel[ \t\r\n\f]*=[ \t\r\n\f]*["']?canonical["' \t\r\n\f/>]""": r"""(?i)[ \t\r\n\f"'/]href[ \t\r\n\f]*=[ \t\r\n\f]*["']?([^"'<> \t\r\n\f]+)""",
-    r"""(?i)^<meta\b[^<>]*[ \t\r\n\f"'/]http-equiv[ \t\r\n\f]*=[ \t\r\n\f]*["']?refresh["' \t\r\n\f/>]""": r"""(?i)[ \t\r\n\f"';]url[ \t\r\n\f]*=[ \t\r\n\f]*["']?([^"'<>; \t\r\n\f]+)""",
-}
+#: Blank characters of HTML.
+_B = r"[ \t\r\n\f]"
+_QUOTED = """(?:"[^"]*+"|'[^']*+')"""
+_RAW = "|".join(rf"<{name}(?:{_B}|[/>]).*?(?:</{name}(?:{_B}|[/>])|\z)" for name in ("script", "style", "textarea", "title"))
+_INNER = rf"""(?:[^>"']*+)(?:{_QUOTED}[^>"']*+)*+>"""
+#: What a page consists of, besides text: comments and elements whose content isn't markup, as wholes, and tags with their
+#: quoted values; a tag that isn't closed takes the rest. What lies within one of them isn't found by itself. For engines
+#: without possessive repetition: `*` for `*+`.
+MARKUP = rf"""(?is)<!--(?:-?>|.*?(?:--!?>|\z))|{_RAW}|<[a-z/](?:{_INNER}|.*\z)"""
+WANTED = rf"(?is)^<(?:link|meta|base)(?:{_B}|/){_INNER}\z"
+ATTRIBUTE = rf"""[^ \t\r\n\f"'<>/=]++{_B}*+={_B}*+(?:{_QUOTED}|[^ \t\r\n\f"'>]++)"""
+#: Of a refresh's content what follows the seconds.
+AFTER_SECONDS = rf"(?is)^{_B}*[0-9.]*{_B}*[;,]?{_B}*(?:url{_B}*={_B}*)?(.*)$"
 DOTS = r"/\.\.?(?:/|\z)"
 AMPERSAND = "&(?:amp|#38|#x26|#X26);"
 
@@ -85,16 +93,38 @@ def absolute(target: Column, base: Column) -> Column:
     )
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of this name, without quotes and outer blanks; null if there is none."""
+    found = F.get(F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda x: x.rlike(rf"(?i)^{name}{_B}*=")), F.lit(0))
+    value = F.regexp_replace(found, rf"^[^=]*={_B}*", "")
+    value = F.when(value.rlike("""^["']"""), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return F.regexp_replace(value, rf"^{_B}+|{_B}+\z", "")
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): the canonical links and meta refreshes of each page, as nodes."""
-    target = F.lit(None).cast("string")
-    for kind, value in KINDS.items():
-        target = F.coalesce(target, F.when(F.col("__uf_tag").rlike(kind), F.regexp_extract("__uf_tag", value, 1)))
-    page = F.col(url).alias("__uf_page")
+    """(src, dst): the canonical links and meta refreshes of each page, as nodes, resolved against its base."""
     rows = pages.where(F.contains(F.col(url), F.lit("://")) & F.col(html).rlike("(?i)canonical|refresh"))
-    rows = rows.select(page, F.explode(F.regexp_extract_all(F.col(html), F.lit(TAGS.replace("*>", "*+>")), F.lit(0))).alias("__uf_tag"))
-    rows = rows.select("__uf_page", target.alias("__uf_target")).where("__uf_target is not null")
-    rows = rows.select("__uf_page", absolute(F.col("__uf_target"), F.col("__uf_page")).alias("__uf_target"))
+    tags = F.filter(F.regexp_extract_all(F.col(html), F.lit(MARKUP), F.lit(0)), lambda x: x.rlike(WANTED))
+
+    def with_base(found: Column) -> Column:
+        bases = F.filter(F.transform(F.filter(found, lambda x: x.rlike("(?i)^<base")), lambda x: attribute(x, "href")), lambda x: x.isNotNull())
+        return F.struct(found.alias("tags"), F.get(bases, F.lit(0)).alias("base"))
+
+    # The base is taken before the tags become rows, lest each row carry all tags.
+    rows = rows.select(F.col(url).alias("__uf_page"), let(tags, with_base).alias("__uf_both")).select("__uf_page", F.col("__uf_both.base").alias("__uf_base"), F.col("__uf_both.tags").alias("__uf_tags"))
+    rows = rows.select("__uf_page", "__uf_base", F.explode("__uf_tags").alias("__uf_tag"))
+    tag = F.col("__uf_tag")
+    words = F.split(F.translate(attribute(tag, "rel"), UPPER, LOWER), f"{_B}+")
+    canonical = F.when(F.array_contains(words, "canonical"), attribute(tag, "href"))
+    rest = F.regexp_extract(attribute(tag, "content"), AFTER_SECONDS, 1)
+    rest = F.when(rest.startswith("'"), F.get(F.split(rest, "'"), F.lit(1))).when(rest.startswith('"'), F.get(F.split(rest, '"'), F.lit(1))).otherwise(rest)
+    refresh = F.when(F.translate(attribute(tag, "http-equiv"), UPPER, LOWER) == "refresh", rest)
+    target = F.when(tag.rlike("(?i)^<link"), canonical).when(tag.rlike("(?i)^<meta"), refresh)
+    target = F.regexp_replace(F.regexp_replace(target, r"[\t\r\n]", ""), r"^ +| +\z", "")
+    rows = rows.select("__uf_page", "__uf_base", target.alias("__uf_target")).where("__uf_target is not null")
+    base = F.coalesce(absolute(F.col("__uf_base"), F.col("__uf_page")), F.col("__uf_page"))
+    rows = rows.select("__uf_page", base.alias("__uf_base"), "__uf_target")
+    rows = rows.select("__uf_page", absolute(F.col("__uf_target"), F.col("__uf_base")).alias("__uf_target"))
     return rows.select(node_of(F.col("__uf_page")).alias("src"), node_of(F.col("__uf_target")).alias("dst")).where("src != dst")
 
 
