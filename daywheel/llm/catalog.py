@@ -152,9 +152,7 @@ def _op9_sql() -> str:
     def attribute(name: str) -> str:
         """A tag's first attribute of this name."""
         first = f"list_filter(regexp_extract_all(tag, '{plain(urls.ATTRIBUTE)}'), lambda x: regexp_matches(x, '(?i)^{name}{blank}*='))[1]"
-        value = f"regexp_replace({first}, '^[^=]*={blank}*', '')"
-        quoted = f"left({value}, 1) IN (chr(34), chr(39))"
-        return f"regexp_replace(CASE WHEN {quoted} THEN substr({value}, 2, length({value}) - 2) ELSE {value} END, '^{blank}+|{blank}+\\z', '', 'g')"
+        return f"regexp_replace({first}, '{plain(urls.BARE)}', '', 'g')"
 
     tags = f"regexp_extract_all(html, '{plain(urls.MARKUP)}')"
     unquoted = "CASE WHEN left(content, 1) IN (chr(34), chr(39)) THEN string_split(substr(content, 2), left(content, 1))[1] ELSE content END"

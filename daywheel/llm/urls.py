@@ -39,6 +39,8 @@ _INNER = rf"""(?:[^>"']*+)(?:{_QUOTED}[^>"']*+)*+>"""
 MARKUP = rf"""(?is)<!--(?:-?>|.*?(?:--!?>|\z))|{_RAW}|<[a-z/](?:{_INNER}|.*\z)"""
 WANTED = rf"(?is)^<(?:link|meta|base)(?:{_B}|/){_INNER}\z"
 ATTRIBUTE = rf"""[^ \t\r\n\f"'<>/=]++{_B}*+={_B}*+(?:{_QUOTED}|[^ \t\r\n\f"'>]++)"""
+#: What an attribute has around its value.
+BARE = rf"""(?s)^[^=]*={_B}*["']?{_B}*|{_B}*["']?\z"""
 #: Of a refresh's content what follows the seconds.
 AFTER_SECONDS = rf"(?is)^{_B}*[0-9.]*{_B}*[;,]?{_B}*(?:url{_B}*={_B}*)?(.*)$"
 DOTS = r"/\.\.?(?:/|\z)"
@@ -93,37 +95,38 @@ def absolute(target: Column, base: Column) -> Column:
     )
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's first attribute of this name, without quotes and outer blanks; null if there is none."""
-    found = F.get(F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda x: x.rlike(rf"(?i)^{name}{_B}*=")), F.lit(0))
-    value = F.regexp_replace(found, rf"^[^=]*={_B}*", "")
-    value = F.when(value.rlike("""^["']"""), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-    return F.regexp_replace(value, rf"^{_B}+|{_B}+\z", "")
+def attribute(attributes: Column, name: str) -> Column:
+    """The first value of this name among a tag's attributes, without quotes and outer blanks; null if there is none."""
+    found = F.get(F.filter(attributes, lambda x: x.rlike(rf"(?i)^{name}{_B}*=")), F.lit(0))
+    return F.regexp_replace(found, BARE, "")
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst): the canonical links and meta refreshes of each page, as nodes, resolved against its base."""
     rows = pages.where(F.contains(F.col(url), F.lit("://")) & F.col(html).rlike("(?i)canonical|refresh"))
     tags = F.filter(F.regexp_extract_all(F.col(html), F.lit(MARKUP), F.lit(0)), lambda x: x.rlike(WANTED))
+    listed = lambda tag: F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
 
     def with_base(found: Column) -> Column:
-        bases = F.filter(F.transform(F.filter(found, lambda x: x.rlike("(?i)^<base")), lambda x: attribute(x, "href")), lambda x: x.isNotNull())
+        bases = F.filter(F.transform(F.filter(found, lambda x: x.rlike("(?i)^<base")), lambda x: attribute(listed(x), "href")), lambda x: x.isNotNull())
         return F.struct(found.alias("tags"), F.get(bases, F.lit(0)).alias("base"))
 
-    # The base is taken before the tags become rows, lest each row carry all tags.
-    rows = rows.select(F.col(url).alias("__uf_page"), let(tags, with_base).alias("__uf_both")).select("__uf_page", F.col("__uf_both.base").alias("__uf_base"), F.col("__uf_both.tags").alias("__uf_tags"))
-    rows = rows.select("__uf_page", "__uf_base", F.explode("__uf_tags").alias("__uf_tag"))
-    tag = F.col("__uf_tag")
-    words = F.split(F.translate(attribute(tag, "rel"), UPPER, LOWER), f"{_B}+")
-    canonical = F.when(F.array_contains(words, "canonical"), attribute(tag, "href"))
-    rest = F.regexp_extract(attribute(tag, "content"), AFTER_SECONDS, 1)
+    # The base is taken before the tags become rows, lest each row carry all tags. What is used more than once below is a
+    # column of a step of its own, so that it is worked out once.
+    rows = rows.select(F.col(url).alias("__uf_page"), let(tags, with_base).alias("__uf_both"))
+    rows = rows.select("__uf_page", F.col("__uf_both.base").alias("__uf_base"), F.explode("__uf_both.tags").alias("__uf_tag"))
+    rows = rows.select("__uf_page", "__uf_base", "__uf_tag", listed(F.col("__uf_tag")).alias("__uf_listed"))
+    value = lambda name: attribute(F.col("__uf_listed"), name)
+    words = F.split(F.translate(value("rel"), UPPER, LOWER), f"{_B}+")
+    link = F.when(F.col("__uf_tag").rlike("(?i)^<link") & F.array_contains(words, "canonical"), value("href"))
+    refresh = F.col("__uf_tag").rlike("(?i)^<meta") & (F.translate(value("http-equiv"), UPPER, LOWER) == "refresh")
+    refresh = F.when(refresh, F.regexp_extract(value("content"), AFTER_SECONDS, 1))
+    rows = rows.select("__uf_page", "__uf_base", link.alias("__uf_link"), refresh.alias("__uf_rest")).where("__uf_link is not null or __uf_rest is not null")
+    rest = F.col("__uf_rest")
     rest = F.when(rest.startswith("'"), F.get(F.split(rest, "'"), F.lit(1))).when(rest.startswith('"'), F.get(F.split(rest, '"'), F.lit(1))).otherwise(rest)
-    refresh = F.when(F.translate(attribute(tag, "http-equiv"), UPPER, LOWER) == "refresh", rest)
-    target = F.when(tag.rlike("(?i)^<link"), canonical).when(tag.rlike("(?i)^<meta"), refresh)
-    target = F.regexp_replace(F.regexp_replace(target, r"[\t\r\n]", ""), r"^ +| +\z", "")
-    rows = rows.select("__uf_page", "__uf_base", target.alias("__uf_target")).where("__uf_target is not null")
+    target = F.regexp_replace(F.regexp_replace(F.coalesce("__uf_link", rest), r"[\t\r\n]", ""), r"^ +| +\z", "")
     base = F.coalesce(absolute(F.col("__uf_base"), F.col("__uf_page")), F.col("__uf_page"))
-    rows = rows.select("__uf_page", base.alias("__uf_base"), "__uf_target")
+    rows = rows.select("__uf_page", base.alias("__uf_base"), target.alias("__uf_target"))
     rows = rows.select("__uf_page", absolute(F.col("__uf_target"), F.col("__uf_base")).alias("__uf_target"))
     return rows.select(node_of(F.col("__uf_page")).alias("src"), node_of(F.col("__uf_target")).alias("dst")).where("src != dst")
 
