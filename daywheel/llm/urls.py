@@ -111,8 +111,8 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         bases = F.filter(F.transform(F.filter(found, lambda x: x.rlike("(?i)^<base")), lambda x: attribute(listed(x), "href")), lambda x: x.isNotNull())
         return F.struct(found.alias("tags"), F.get(bases, F.lit(0)).alias("base"))
 
-    # The base is taken before the tags become rows, lest each row carry all tags. What is used more than once below is a
-    # column of a step of its own, so that it is worked out once.
+    # The base is taken before the tags become rows, lest each row carry all tags. The few links are cut off twice: filters
+    # are pushed down through steps by copying what they use, which here would copy it again with every step.
     rows = rows.select(F.col(url).alias("__uf_page"), let(tags, with_base).alias("__uf_both"))
     rows = rows.select("__uf_page", F.col("__uf_both.base").alias("__uf_base"), F.explode("__uf_both.tags").alias("__uf_tag"))
     rows = rows.select("__uf_page", "__uf_base", "__uf_tag", listed(F.col("__uf_tag")).alias("__uf_listed"))
@@ -121,12 +121,13 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     link = F.when(F.col("__uf_tag").rlike("(?i)^<link") & F.array_contains(words, "canonical"), value("href"))
     refresh = F.col("__uf_tag").rlike("(?i)^<meta") & (F.translate(value("http-equiv"), UPPER, LOWER) == "refresh")
     refresh = F.when(refresh, F.regexp_extract(value("content"), AFTER_SECONDS, 1))
-    rows = rows.select("__uf_page", "__uf_base", link.alias("__uf_link"), refresh.alias("__uf_rest")).where("__uf_link is not null or __uf_rest is not null")
+    rows = cut(rows.select("__uf_page", "__uf_base", link.alias("__uf_link"), refresh.alias("__uf_rest")))
+    rows = rows.where("__uf_link is not null or __uf_rest is not null")
     rest = F.col("__uf_rest")
     rest = F.when(rest.startswith("'"), F.get(F.split(rest, "'"), F.lit(1))).when(rest.startswith('"'), F.get(F.split(rest, '"'), F.lit(1))).otherwise(rest)
     target = F.regexp_replace(F.regexp_replace(F.coalesce("__uf_link", rest), r"[\t\r\n]", ""), r"^ +| +\z", "")
     base = F.coalesce(absolute(F.col("__uf_base"), F.col("__uf_page")), F.col("__uf_page"))
-    rows = rows.select("__uf_page", base.alias("__uf_base"), target.alias("__uf_target"))
+    rows = cut(rows.select("__uf_page", base.alias("__uf_base"), target.alias("__uf_target")))
     rows = rows.select("__uf_page", absolute(F.col("__uf_target"), F.col("__uf_base")).alias("__uf_target"))
     return rows.select(node_of(F.col("__uf_page")).alias("src"), node_of(F.col("__uf_target")).alias("dst")).where("src != dst")
 
