@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import BROADCAST_BYTES, counted, cut
+
 SIGMA_RANGE = (0.01, 0.2)
 #: A candidate of 0 becomes this.
 LEAST_SIGMA = 0.01
@@ -89,11 +91,16 @@ def affinity(rows: DataFrame, sigma: float) -> DataFrame:
 
 
 def normalized(edges: DataFrame) -> DataFrame:
-    """(i, j, w) for i < j: affinities divided by the root of both ends' degrees; an end without degree gives 0."""
-    both = edges.union(edges.select("j", "i", "w"))
-    degree = both.groupBy("i").agg(F.sum("w").alias("d"))
+    """(i, j, w) for i < j: affinities divided by the root of both ends' degrees; an end without degree gives 0.
+
+    Degrees are summed where the pairs are made, and so only they, one for a row, are shuffled; they meet the pairs by
+    broadcast while they are under BROADCAST_BYTES (some two million rows).
+    """
+    both = edges.select("w", F.explode(F.array("i", "j")).alias("i"))
     root = F.when(F.col("d") > 0, 1 / F.sqrt("d")).otherwise(0.0)
-    left, right = degree.select("i", root.alias("_x")), degree.select(F.col("i").alias("j"), root.alias("_y"))
+    degree = cut(both.groupBy("i").agg(F.sum("w").alias("d")).select("i", root.alias("_x")))
+    side = (lambda df: F.broadcast(df)) if counted(degree, 16) <= BROADCAST_BYTES else (lambda df: df)
+    left, right = side(degree), side(degree.select(F.col("i").alias("j"), F.col("_x").alias("_y")))
     return edges.join(left, "i").join(right, "j").select("i", "j", (F.col("w") * F.col("_x") * F.col("_y")).alias("w"))
 
 

@@ -57,11 +57,8 @@ def run_eigengap(daily: DataFrame, sizes: list[int], train: float = 0.6, points:
     out = []
     for window in sizes:
         rows = window_features(daily, window, train)
-        if rows.count() > cluster.DENSE_ROWS:
-            raise ValueError(f"more than {cluster.DENSE_ROWS} train windows")
         ends = [r.sigma for r in distance.sigma_candidates(rows).orderBy("k").collect()]
-        x = [r.features for r in rows.orderBy("idx").select("features").collect()]
-        out.append({"window": window} | cluster.best_sigma(x, ends[0], ends[-1], points, budget, max_gaps))
+        out.append({"window": window} | cluster.best_row_sigma(rows, ends[0], ends[-1], points, budget, max_gaps))
     return out
 
 
