@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
@@ -75,12 +76,31 @@ def fewer(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_task)))
 
 
-def small_side(df: DataFrame, row_bytes: int | Column) -> tuple[DataFrame, bool]:
+def row_bytes(df: DataFrame) -> Column:
+    """The bytes of a row as its columns say: texts and arrays by their real lengths, other values 16 each."""
+
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = 16 + F.octet_length(c)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            size = 16 + F.aggregate(c, F.lit(0).cast("bigint"), lambda total, x: total + width(x, kind.elementType).cast("bigint"))
+        elif isinstance(kind, T.ArrayType):
+            size = 16 + 8 * F.size(c)
+        elif isinstance(kind, T.StructType):
+            size = sum((width(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        else:
+            size = F.lit(16)
+        return F.greatest(size, F.lit(16))  # null: 16
+
+    return sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("bigint")
+
+
+def small_side(df: DataFrame, width: int | Column | None = None) -> tuple[DataFrame, bool]:
     """df with a broadcast hint if its size is under BROADCAST_BYTES, else df as it is. df should be cut() before.
 
-    row_bytes: the bytes of each row, a column that measures them where rows vary.
+    width: the bytes of each row, where all columns are numbers; None measures every row (row_bytes).
     """
-    size = F.sum(row_bytes) if isinstance(row_bytes, Column) else F.count("*") * row_bytes
+    size = F.count("*") * width if isinstance(width, int) else F.sum(row_bytes(df) if width is None else width)
     small = (df.agg(size.alias("size")).first()["size"] or 0) <= BROADCAST_BYTES
     return (F.broadcast(df) if small else df), small
 

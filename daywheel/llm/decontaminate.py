@@ -133,13 +133,13 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
     """Pairs (doc_id, item_id, item_shingles, matched, containment), with __dc_text to tell rows of one doc_id apart."""
     index = cut(item_index(items, width, threshold))
     found = cut(candidates(docs.select("doc_id", "text"), index, width))
-    side, _ = small_side(found, 256)
+    side, _ = small_side(found)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__dc_text"))
     on = rows["doc_id"].eqNullSafe(side["__dc_id"]) & (rows["__dc_text"] == side["__dc_text"])
     rows = rows.join(side, on).select("doc_id", rows["__dc_text"], F.array_distinct(shingle_texts(words_of(F.col("text")), width)).alias("doc_shingles"), "items")
     pairs = rows.select("doc_id", "__dc_text", "doc_shingles", F.explode("items").alias("__dc_key"))
-    bounded, _ = small_side(index, 4096)
-    pairs = pairs.join(bounded.select("__dc_key", "item_id", "shingles", "n", "need"), "__dc_key")
+    bounded, _ = small_side(index.select("__dc_key", "item_id", "shingles", "n", "need"))
+    pairs = pairs.join(bounded, "__dc_key")
     pairs = pairs.withColumn("matched", F.size(F.array_intersect("doc_shingles", "shingles"))).where("matched >= need")
     return pairs.select("doc_id", "item_id", F.col("n").cast("long").alias("item_shingles"), F.col("matched").cast("long").alias("matched"), (F.col("matched") / F.col("n")).alias("containment"), "__dc_text")
 

@@ -135,7 +135,7 @@ def _sums(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 def _attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     table = cut(table)
-    side, small = small_side(table, 512)
+    side, small = small_side(table)
     return rows.join(side, key, "left") if small else salted_join(rows, table, key)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, salted_join, small_side, word_count
+from .common import cut, salted_join, row_bytes, small_side, word_count
 
 #: The draw uses 52 bits of an MD5 of seed and id: the same on every engine.
 DRAW_SEED = "mix-1"
@@ -56,7 +56,7 @@ def with_copies(docs: DataFrame, source: str = "source", doc_id: str = "doc_id",
     """docs with __mix_size, __mix_source_size, __mix_target, __mix_rate and __mix_copies: how often the mix takes each row."""
     rates = source_targets(docs, source, word_count(F.col(text)), cycle, max_repeat)
     rates = cut(rates.select("__mix_key", *[F.col(c).alias(f"__mix_{c}") for c in ("source_size", "target", "rate")]))
-    side, small = small_side(rates, 256)
+    side, small = small_side(rates, row_bytes(rates))
     rows = docs.withColumn("__mix_size", word_count(F.col(text)))
     if small:
         rows = rows.join(side, rows[source].eqNullSafe(side["__mix_key"]), "left").drop("__mix_key")

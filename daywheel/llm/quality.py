@@ -127,7 +127,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     k_host, k_path = strength(hosts, rate), strength(paths, rate)
     sites = cut(paths.select("site", "host", F.col("n").alias("n_p"), F.col("s").alias("s_p")).join(hosts.select("host", F.col("n").alias("n_h"), F.col("s").alias("s_h")), "host").drop("host"))
-    side, small = small_side(sites, 256)
+    side, small = small_side(sites)
     rows = rows.join(side, "site", "left") if small else salted_join(rows, sites, "site")
     host_rate = (F.greatest(F.col("s_h") - F.col("y"), F.lit(0.0)) + k_host * rate) / (F.greatest(F.col("n_h") - F.col("w"), F.lit(0.0)) + k_host)
     rows = rows.withColumn("host_rate", host_rate)

@@ -152,7 +152,7 @@ def with_rules(rows: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES)
         return rows.withColumn("__uf_rule", best)
     spark = rows.sparkSession
     table = spark.createDataFrame([tuple(r) for r in rules], "verdict string, rule_host string, rule_path string")
-    side, _ = small_side(table, 256)
+    side, _ = small_side(table)
     keys = rows.select("__uf_host", "__uf_path").distinct()
     labels = F.split(host, r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -175,10 +175,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url
         nodes = with_rules(classes.withColumn("__uf_host", host_of(F.col("node"))).withColumn("__uf_path", path_of(F.col("node"))), rules)
         says = nodes.groupBy("label").agg(F.max((F.col("__uf_rule.verdict") == "block").cast("int")).alias("b"), F.max((F.col("__uf_rule.verdict") == "allow").cast("int")).alias("a"))
         says = cut(says.where("b = 1 and coalesce(a, 0) = 0").select("label", F.lit(True).alias("__uf_shut")))
-        side, small = small_side(says, 512)
+        side, small = small_side(says)
         members = classes.join(side, "label") if small else salted_join(classes, says, "label").where("__uf_shut")
         bad = cut(members.select(F.col("node").alias("__uf_node"), F.lit(True).alias("__uf_bad")))
-        side, small = small_side(bad, 512)
+        side, small = small_side(bad)
         rows = rows.withColumn("__uf_node", node_of(F.col(url)))
         rows = (rows.join(side, "__uf_node", "left") if small else salted_join(rows, bad, "__uf_node")).drop("__uf_node")
         blocked = F.col("__uf_bad").isNotNull()
