@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from daywheel.sources import config, schema, station
+from daywheel.sources import config, schema, station, stationfiles
 
 DAY = datetime.date(2025, 1, 1)
 HEAD = "DATA;TEMPERATURA_MAXIMA;TEMPERATURA_MIN;UMIDADE_MAX;UMIDADE_MIN;PRESSAO_MAX;PRESSAO_MIN;VELOCIDADE_VENTO;DIRECAO_VENTO;RAJADA_VENTO;PRECIPITACAO_TOTAL;RADIACAO"
@@ -71,3 +71,57 @@ def test_config(tmp_path):
     assert config.date_folder(DAY.replace(month=7, day=14)) == "14_07_25"
     once = config.dated_root("/o", DAY)
     assert once.name == "01_01_25" and config.dated_root(once, DAY) == once
+
+
+def tree(root, stations, days=40):
+    for n, (state, name) in enumerate(stations):
+        folder = root / state / name
+        folder.mkdir(parents=True)
+        head = ["DATA", "PRECIPITACAO_TOTAL", "TEMPERATURA_MAXIMA"] if n % 2 else ["DATA", "TEMPERATURA_MAXIMA", "PRECIPITACAO_TOTAL"]
+        cells = {"DATA": lambda i: str(DAY + datetime.timedelta(i)), "TEMPERATURA_MAXIMA": lambda i, n=n: f"{n},{i}", "PRECIPITACAO_TOTAL": lambda i, n=n: f"{i}.{n}"}
+        lines = [";".join(cells[c](i) for c in head) for i in range(days) if i % 7]
+        (folder / f"{name}_2000_2025_daily.csv").write_text("\r\n".join([";".join(head), *lines]))
+
+
+def test_all_stations_in_one_scan(spark, tmp_path):
+    stations = [("RS", "A801"), ("RS", "A802"), ("SC", "A801"), ("SC", "B9")]
+    tree(tmp_path, stations)
+    (tmp_path / "note.txt").write_text("no folder")
+    got = stationfiles.load_stations(spark, str(tmp_path), columns=("TEMPERATURA_MAXIMA", "PRECIPITACAO_TOTAL"))
+    for state, name in stations:
+        own = got.where((F.col("state") == state) & (F.col("station_id") == name)).select("Data", "TEMPERATURA_MAXIMA", "PRECIPITACAO_TOTAL", "row_idx")
+        want = station.load_station(spark, state, name, str(tmp_path)).select(*own.columns)
+        assert sorted(own.collect()) == sorted(want.collect()) and own.count() == 39
+    assert stationfiles.scan(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_ranges_hold_every_line_once(spark, tmp_path):
+    tree(tmp_path, [("RS", "A801"), ("SC", "B9")])
+    whole = sorted(stationfiles.scan(spark, str(tmp_path)).collect(), key=str)
+    for size in (1, 7, 64, 333):
+        cut = stationfiles.scan(spark, str(tmp_path), split_bytes=str(size))
+        assert sorted(cut.collect(), key=str) == whole and len(whole) == 68
+    assert cut.rdd.getNumPartitions() > 2
+
+
+def test_conditions_open_only_their_files(spark, tmp_path):
+    tree(tmp_path, [("RS", "A801"), ("RS", "A802")])
+    # A second file makes any listing of SC an error.
+    tree(tmp_path, [("SC", "A801")])
+    (tmp_path / "SC" / "A801" / "A801_1990_1999_daily.csv").write_text("DATA")
+    with pytest.raises(Exception, match="more than one file"):
+        stationfiles.scan(spark, str(tmp_path)).count()
+    raw = stationfiles.scan(spark, str(tmp_path))
+    assert raw.where("state = 'RS'").count() == 68
+    assert raw.where("state in ('RS', 'XX') and station_id = 'A802' and DATA >= '2025-01-10'").count() == sum(i % 7 > 0 for i in range(9, 40))
+    assert raw.where("state = 'RS' and station_id = '../SC'").count() == 0
+    assert stationfiles.scan(spark, str(tmp_path), states="RS", stations="A801,Z").count() == 34
+
+
+def test_odd_cells_of_a_scan(spark, tmp_path):
+    folder = tmp_path / "RS" / "A1"
+    folder.mkdir(parents=True)
+    text = "﻿DATA;PRECIPITACAO_TOTAL;OTHER;RADIACAO\n2025-01-01;1,5;x;2\n2025-01-02\n\n2025-01-03;;x;3;beyond;more\nbad;1;x;1\n2025-01-04;\"2,5\";\"a;b\";n\n"
+    (folder / "A1_2000_2001_daily.csv").write_bytes(text.encode() + b"2025-01-05;7;\xff;1")
+    rows = {r.Data.day: (r.PRECIPITACAO_TOTAL, r.RADIACAO, r.UMIDADE_MAX) for r in stationfiles.load_stations(spark, str(tmp_path)).collect()}
+    assert rows == {1: (1.5, 2.0, 0.0), 2: (0.0, 0.0, 0.0), 3: (0.0, 3.0, 0.0), 4: (2.5, 0.0, 0.0), 5: (7.0, 1.0, 0.0)}
