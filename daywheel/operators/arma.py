@@ -1,4 +1,4 @@
-"""ARMA baselines: exact Gaussian fits in NumPy, one task per station and order; forecasts by fixed parameters."""
+"""ARMA baselines: exact Gaussian fits in NumPy, one task per station and order; residuals by a scan over chunks; forecasts by fixed parameters."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import DATE, RAIN, STATION
+from .shared import beside
 
 
 def parse_orders(text: str) -> list[tuple[int, int]]:
@@ -171,17 +172,76 @@ def residuals(y: np.ndarray, mean: float, ar: list[float], ma: list[float]) -> n
     return out
 
 
-def arma_residuals(series: DataFrame, mean: float, ar: list[float], ma: list[float], rain: str = RAIN, keys: tuple[str, ...] = (STATION,)) -> DataFrame:
-    """series with residual; a moving-average part makes it a recursion along each key's series."""
+#: Days of a chunk of a series: what one task runs through, and what one row of the composition stands for.
+CHUNK = 1 << 16
+
+
+def run_from(y: np.ndarray, mean: float, ar: list[float], ma: list[float], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(residuals, state after them) of days that follow a state: the last p deviations from the mean, then the last q residuals, newest first."""
+    p, q = len(ar), len(ma)
+    dev = np.concatenate([state[:p][::-1], y - mean])
+    left = y - mean
+    for k, c in enumerate(ar, 1):
+        left = left - c * dev[p - k : len(dev) - k]
+    out = list(state[p:][::-1])
+    lags = list(enumerate(ma, 1))
+    for x in left.tolist():
+        for k, c in lags:
+            x -= c * out[-k]
+        out.append(x)
+    after = np.concatenate([dev[len(dev) - p :][::-1], np.array(out[len(out) - q :])[::-1]])
+    return np.array(out[q:]), after
+
+
+def transition(ar: list[float], ma: list[float]) -> np.ndarray:
+    """How a state of run_from moves on by a day, apart from that day's own value."""
+    p, q = len(ar), len(ma)
+    move = np.zeros((p + q, p + q))
+    if p:
+        move[1:p, : p - 1] = np.eye(p - 1)
+    move[p + 1 :, p : p + q - 1] = np.eye(q - 1)
+    move[p] = -np.array([*ar, *ma])
+    return move
+
+
+def arma_residuals(series: DataFrame, mean: float, ar: list[float], ma: list[float], rain: str = RAIN, keys: tuple[str, ...] = (STATION,), chunk: int = CHUNK) -> DataFrame:
+    """series with residual; a moving-average part makes it a recursion along each key's series, run as a scan.
+
+    A chunk of days maps the state before it to the state after it: state -> move ** days @ state + shift. One pass finds
+    each chunk's shift, the maps of a key are composed (a row per chunk), and a second pass runs every chunk from the state
+    before it. So a key is as many tasks as it has chunks. Before the first day deviations and residuals are 0. An unknown
+    value makes its residual null, and all that follow it.
+    """
     if not ma:
         return ar_residuals(series, mean, ar, rain, keys).drop("fitted")
-    schema = series.withColumn("residual", F.lit(0.0)).schema
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.sort_values("row_idx")
-        return own.assign(residual=residuals(own[rain].to_numpy(float), mean, ar, ma))
-
-    return series.groupBy(*keys).applyInPandas(run, schema)
+    mean, move, size = float(mean), transition(ar, ma), len(ar) + len(ma)
+    rows = series.withColumn("_chunk", F.floor(F.col("row_idx") / chunk).cast("long"))
+    head = [*keys, "_chunk"]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in head)
+
+    def shifts(part: pd.DataFrame) -> pd.DataFrame:
+        own = part.sort_values("row_idx")
+        after = run_from(own[rain].to_numpy(float), mean, ar, ma, np.zeros(size))[1]
+        return own.iloc[:1][head].assign(_days=len(own), _state=[after])
+
+    def compose(part: pd.DataFrame) -> pd.DataFrame:
+        own, state, before = part.sort_values("_chunk"), np.zeros(size), []
+        for days, shift in zip(own["_days"], own["_state"], strict=True):
+            before.append(state)
+            state = np.linalg.matrix_power(move, int(days)) @ state + np.asarray(shift, float)
+        return own[head].assign(_state=before)
+
+    narrow = rows.select(*dict.fromkeys([*head, "row_idx", rain]))
+    found = narrow.groupBy(*head).applyInPandas(shifts, f"{kinds}, _days long, _state array<double>")
+    before = found.groupBy(*keys).applyInPandas(compose, f"{kinds}, _state array<double>")
+    schema = series.withColumn("residual", F.lit(None).cast("double")).schema
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        own = part.sort_values("row_idx")
+        out = run_from(own[rain].to_numpy(float), mean, ar, ma, np.asarray(own["_state"].iloc[0], float))[0]
+        return own.assign(residual=out)[schema.names]
+
+    return beside(rows, before, head, False).groupBy(*head).applyInPandas(run, schema)
 
 
 def forecasts(rows: DataFrame, mean: float, ar: list[float], ma: list[float], horizon: int, clip: bool = True, rain: str = RAIN, residual: str = "residual", keys: tuple[str, ...] = (STATION,)) -> DataFrame:

@@ -72,9 +72,19 @@ def m12(spark, sf_dir):
     return metrics.by(rows, "split", actual="first")
 
 
-@query("m13_config_grid", "name:s window:i k:i sigma:d4", "SELECT 'w' || w || '_k' || k || '_s' || replace(s, '.', 'p') AS name, w AS window, k, s::DOUBLE AS sigma FROM (SELECT unnest([5, 10, 15]) AS w), (SELECT unnest([3, 4]) AS k), (SELECT unnest(['0.5', '1.0']) AS s)")
+@query(
+    "m13_config_grid",
+    "name:s window:i k:i sigma:d4 stations:i windows:i",
+    """SELECT 'w' || w || '_k' || k || '_s' || replace(s, '.', 'p') AS name, w AS window, k, s::DOUBLE AS sigma, stations, windows
+    FROM (SELECT w, count(*) FILTER (WHERE n >= w) AS stations, sum(greatest(n - w + 1, 0)) AS windows
+      FROM (SELECT station_id, count(*) AS n FROM split WHERE split = 'train' GROUP BY 1), (SELECT unnest([5, 10, 15]) AS w) GROUP BY 1),
+    (SELECT unnest([3, 4]) AS k), (SELECT unnest(['0.5', '1.0']) AS s)""",
+    CTES,
+)
 def m13(spark, sf_dir):
-    return sweep.grid_table(spark, sweep.configurations([5, 10, 15], [3, 4], [0.5, 1.0]))
+    """The runs of a grid, with the stations and train windows each has to work on."""
+    runs = sweep.grid_table(spark, sweep.configurations([5, 10, 15], [3, 4], [0.5, 1.0]))
+    return sweep.sized(runs, base.split(spark, sf_dir).where("split = 'train'"))
 
 
 @query("k03_sweep_ranking", "rank:i window:i test_rmse:d4 test_mae:d4", f"SELECT *, row_number() OVER (ORDER BY test_rmse, test_mae) AS rank FROM (" + " UNION ALL ".join(f"SELECT {w} AS window, sqrt(avg(pow(y - m, 2))) AS test_rmse, avg(abs(y - m)) AS test_mae FROM (SELECT lead(rain, {w}) OVER w AS y, avg(rain) OVER f AS m FROM split WHERE split = 'test' WINDOW w AS (PARTITION BY station_id ORDER BY row_idx), f AS (PARTITION BY station_id ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)) WHERE y IS NOT NULL" for w in (3, 7, 14)) + ")", CTES)

@@ -56,6 +56,14 @@ def grid_table(spark: SparkSession, grid: list[Config]) -> DataFrame:
     return spark.createDataFrame([(c.name, c.window, c.k, c.sigma) for c in grid], "name string, window int, k int, sigma double")
 
 
+def sized(runs: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("station_id",)) -> DataFrame:
+    """runs (a row each, with window) with stations and windows: how many keys of rows are long enough, and their windows in all."""
+    sizes = runs.select("window").distinct()
+    days = rows.groupBy(*keys).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(sizes))
+    found = days.groupBy("window").agg(F.count_if(F.col("_n") >= F.col("window")).alias("stations"), F.sum(F.greatest(F.col("_n") - F.col("window") + 1, F.lit(0))).alias("windows"))
+    return runs.join(found, "window", "left").fillna(0, ["stations", "windows"])
+
+
 def run_all(grid: list, run: Callable[[object], dict]) -> tuple[list[dict], list[dict]]:
     """(results, failures): a failing configuration is a row, not the end of the sweep."""
     done, failed = [], []

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["a06_horizon_diagnostics", "a08_bin_edges", "a15_nonzero_stats", "a16_box_summary", "c03_rain_guided_known", "c07_normalized_affinity", "c25_pooled_feature_gaps", "m05_quantile_weights", "s07_daily_resample", "p02_split", "w08_supervised", "a03_metrics_by_sets", "a11_error_by_magnitude", "c03b_rain_guided_counts", "c22_silhouette", "m10_multi_step_forecasts", "r04_metric_summary", "r06_routing_summary", "st02_streaming_sliding"]
+CHECKED = ["a06_horizon_diagnostics", "a08_bin_edges", "a15_nonzero_stats", "a16_box_summary", "c03_rain_guided_known", "c07_normalized_affinity", "c25_pooled_feature_gaps", "m05_quantile_weights", "s07_daily_resample", "p02_split", "w08_supervised", "a03_metrics_by_sets", "a11_error_by_magnitude", "c03b_rain_guided_counts", "c22_silhouette", "m10_multi_step_forecasts", "r04_metric_summary", "r06_routing_summary", "st02_streaming_sliding", "m09b_arma_residuals", "m13_config_grid"]
 
 
 def plain(value):

@@ -280,3 +280,29 @@ def test_sweep_and_reports(spark, tmp_path):
     assert [p.name for p in report.selected_plots(report.discover(tmp_path), tmp_path, ["*.png", "top"])] == ["a_plot.png", "top.png"]
     with pytest.raises(ValueError):
         report.selected_plots(report.discover(tmp_path), tmp_path, ["none"])
+
+
+@pytest.mark.parametrize(("ar", "ma"), [([0.4], [0.3]), ([], [0.5, -0.2]), ([0.5, 0.1, -0.2], [0.4, 0.2])])
+def test_arma_residuals_over_chunks(spark, ar, ma):
+    y = np.random.default_rng(3).gamma(0.5, 4.0, 230)
+    y[200] = np.nan
+    rows = spark.createDataFrame([(s, i, float(v) * k) for s, k in (("a", 1), ("b", 2), (None, 3)) for i, v in enumerate(y) if s != "b" or i % 5], "station_id string, row_idx long, rain double")
+    got = arma.arma_residuals(rows, 1.5, ar, ma, "rain", chunk=16)
+    assert got.columns == [*rows.columns, "residual"]
+    found = got.orderBy("row_idx").collect()
+    for s, k in (("a", 1), ("b", 2), (None, 3)):
+        own = y * k if s != "b" else np.array([v * k for i, v in enumerate(y) if i % 5])
+        np.testing.assert_allclose([np.nan if r.residual is None else r.residual for r in found if r.station_id == s], arma.residuals(own, 1.5, ar, ma), atol=1e-9)
+
+
+def test_arma_residuals_of_a_long_series(spark):
+    """A million days of one key, in 8 tasks or more."""
+    rows = spark.range(1_000_000).select(F.lit("a").alias("station_id"), F.col("id").alias("row_idx"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 50).alias("rain"))
+    got = arma.arma_residuals(rows, 9.0, [0.4, 0.1], [0.3, -0.2], "rain", chunk=125_000).orderBy("row_idx").toPandas()
+    np.testing.assert_allclose(got["residual"], arma.residuals(got["rain"].to_numpy(), 9.0, [0.4, 0.1], [0.3, -0.2]), atol=1e-9)
+
+
+def test_grid_sizes(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(6)] + [("b", i) for i in range(4)], "station_id string, row_idx long")
+    found = sweep.sized(sweep.grid_table(spark, sweep.configurations([3, 5, 9], [2])), rows)
+    assert {(r.window, r.stations, r.windows) for r in found.collect()} == {(3, 2, 6), (5, 1, 2), (9, 0, 0)}
