@@ -46,13 +46,28 @@ def fill_missing(df: DataFrame, value: float = 0.0) -> DataFrame:
     return df.fillna(value, subset=numeric)
 
 
-def resample_daily(rows: DataFrame, keys: tuple[str, ...] = (STATION,), date: str = DATE, means: tuple[str, ...] = MEAN_MEASURES, sums: tuple[str, ...] = SUM_MEASURES) -> DataFrame:
+#: Measures as large as this (or NaN) are summed as doubles.
+EXACT_BELOW = 1e11
+
+
+def _exact(measure: str, decimals: int, mean: bool) -> Column:
+    """The sum, or mean, of a measure by whole numbers: one rounding, the last."""
+    c = F.col(measure)
+    total = F.sum(F.when(F.abs(c) < EXACT_BELOW, c).cast(f"decimal(18,{decimals})"))
+    return (total * 10**decimals).cast("double") / (F.count(c) * 10.0**decimals) if mean else total.cast("double")
+
+
+def resample_daily(rows: DataFrame, keys: tuple[str, ...] = (STATION,), date: str = DATE, means: tuple[str, ...] = MEAN_MEASURES, sums: tuple[str, ...] = SUM_MEASURES, decimals: int | None = None) -> DataFrame:
     """One row per key and calendar day between the key's first and last, with row_idx from 0.
 
-    Measures that aren't columns are left out. On a day without rows means are null and sums 0.
+    Measures that aren't columns are left out. On a day without rows means are null and sums 0. Where measures have at most
+    so many decimals, sums and means are the doubles nearest to the exact ones, in whatever order the rows come.
     """
     means, sums = [c for c in means if c in rows.columns], [c for c in sums if c in rows.columns]
-    daily = rows.groupBy(*keys, date).agg(*[F.avg(c).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums])
+    found = {c: F.avg(c) for c in means} | {c: F.sum(c) for c in sums}
+    if decimals is not None:
+        found = {c: F.when(F.max(F.abs(F.col(c))) < EXACT_BELOW, _exact(c, decimals, c in means)).otherwise(plain) for c, plain in found.items()}
+    daily = rows.groupBy(*keys, date).agg(*[f.alias(c) for c, f in found.items()])
     # Each day stands for itself and the days without rows after it: one pass, and no join with a calendar.
     own = Window.partitionBy(*keys)
     until = F.coalesce(F.date_sub(F.lead(date).over(own.orderBy(date)), 1), F.col(date))
