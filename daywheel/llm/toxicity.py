@@ -4,9 +4,12 @@ A word's vector is the sum of hashed embeddings of the word and of its first fou
 digits, A-Z lower-cased). Filters of one to three words run over the whole text, their largest values feed a logistic
 layer. Embeddings times filters are tables, so scoring a text costs look-ups and maxima only.
 
-The model is fitted in one task on at most MAX_ROWS labelled rows of at most MAX_CHARS characters in all (a hash of
-doc_id picks them), and only its weights go to the driver; scoring runs over every whole text. Thresholds are calibrated by language on a tenth of the sample
-and drawn towards 0.5 where a language has few rows; language, source, id and labels aren't inputs of the score.
+The model is fitted on all labelled rows that aren't held out, whole texts of any length. Up to SHARD_ROWS rows and
+SHARD_CHARS characters are one task. More are dealt into shards by a hash of doc_id: in each round every shard trains one
+epoch from the common weights, and the shards' changes are averaged (those of a word's vector over the shards that have
+the word); changes are summed on the executors, one set of weights goes to the driver a round. Scoring runs over every
+whole text. Thresholds are calibrated by language on the tenth of all these rows that training leaves out, from counts by
+language, and drawn towards 0.5 where a language has few rows; language, source, id and labels aren't inputs of the score.
 
 Defined results: null, empty and blank texts have no windows: all filters give 0 and the score comes from the bias; null
 labels are ignored, repeated ones count as toxic if any is; without labels of both kinds the score is the prior, (toxic +
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +32,12 @@ from pyspark.sql import types as T
 from . import textnum
 from .common import text_batches, tidy
 
-MAX_ROWS = 12_000
-MAX_CHARS = 24_000_000
-#: Longer texts are not used to fit; they are scored like all others.
-MAX_DOC_CHARS = 200_000
+#: Rows and characters that one task trains on.
+SHARD_ROWS, SHARD_CHARS = 12_000, 24_000_000
+#: Parts of the embeddings that shards' changes are summed in, and thresholds that are tried.
+CHUNKS, GRID = 16, np.linspace(0.2, 0.8, 25)
+#: Mean loss at which training ends.
+ENOUGH = 0.003
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 16
 EPOCHS, BATCH, RATE = 4, 128, 0.015
 #: Part of the words that is left out of a text at each training step, so that no telling word hides behind another.
@@ -152,61 +158,75 @@ class Network:
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
             batches.append((*_grouped([(texts[i] or "").encode("utf-8", "surrogatepass") for i in some]), labels[some]))
-        rate = labels.mean()
-        self.bias[0] = np.log(rate / (1 - rate))
-        weight = float(np.sqrt((1 - rate) / rate))
-        dense = {"out": self.out, "bias": self.bias} | {f"f{w}": self.filters[w] for w in WIDTHS} | {f"s{w}": self.shift[w] for w in WIDTHS}
-        first = {k: np.zeros_like(v) for k, v in dense.items()}
-        second = {k: np.zeros_like(v) for k, v in dense.items()}
-        e1, e2 = np.zeros_like(self.embed), np.zeros_like(self.embed)
-        step = 0
+        weight = self.begin(labels.mean())
+        adam = _Adam(self)
         for _ in range(EPOCHS):
-            loss = 0.0
-            for k in rng.permutation(len(batches)):
-                rows, place, bounds, y = batches[k]
-                step += 1
-                top, spot, laid, words = self.pooled(rows, place, bounds, where=True, rng=rng)
-                p = 1 / (1 + np.exp(-np.clip(top @ self.out + self.bias[0], -30, 30)))
-                loss += float(-np.mean(y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7)))
-                g = (p - y) * np.where(y == 1, weight, 1).astype(np.float32) / len(y)
-                grads = {"out": g @ top + 1e-4 * self.out, "bias": g.sum(keepdims=True)}
-                inner = (g[:, None] * self.out[None]) * (top > 0)
-                moved = np.zeros_like(words)
-                for i, w in enumerate(WIDTHS):
-                    cols = slice(i * FILTERS, (i + 1) * FILTERS)
-                    gi, at = inner[:, cols], spot[:, cols]
-                    grads[f"s{w}"] = gi.sum(0)
-                    gw = np.empty_like(self.filters[w])
-                    for j in range(w):
-                        who = laid[np.minimum(at + j, len(laid) - 1)]
-                        gw[j] = np.einsum("bf,bfd->df", gi, words[who])
-                        np.add.at(moved, who.ravel(), (gi[:, :, None] * self.filters[w][j].T[None]).reshape(-1, DIM))
-                    grads[f"f{w}"] = gw
-                touched = np.flatnonzero(np.abs(moved[:-1]).sum(1))
-                bucket, back = np.unique(rows[touched], return_inverse=True)
-                ge = np.zeros((len(bucket), DIM), np.float32)
-                np.add.at(ge, back.reshape(-1), np.repeat(moved[touched], 3, 0))
-                c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-                for name, grad in grads.items():
-                    first[name] += 0.1 * (grad - first[name])
-                    second[name] += 0.001 * (grad * grad - second[name])
-                    dense[name] -= RATE * (first[name] / c1) / (np.sqrt(second[name] / c2) + 1e-8)
-                e1[bucket] += 0.1 * (ge - e1[bucket])
-                e2[bucket] += 0.001 * (ge * ge - e2[bucket])
-                self.embed[bucket] -= RATE * (e1[bucket] / c1) / (np.sqrt(e2[bucket] / c2) + 1e-8)
-            if loss / len(batches) < 0.003:
+            loss = sum(adam.step(batches[k], weight, rng) for k in rng.permutation(len(batches)))
+            if loss / len(batches) < ENOUGH:
                 break
 
-
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Labelled rows to fit on, never held-out ones: (doc_id, text, lang, toxic), a bounded part picked by a hash of doc_id."""
+    def begin(self, rate: float) -> float:
+        """Start from the share of toxic rows; the weight of a toxic row."""
+        self.bias[0] = np.log(rate / (1 - rate))
+        return float(np.sqrt((1 - rate) / rate))
+
+    def dense(self) -> dict[str, np.ndarray]:
+        """All weights but the embeddings."""
+        return {"out": self.out, "bias": self.bias} | {f"f{w}": self.filters[w] for w in WIDTHS} | {f"s{w}": self.shift[w] for w in WIDTHS}
+
+
+class _Adam:
+    """Training of a network in place, a batch (rows, places, bounds, labels) at a time."""
+
+    def __init__(self, net: Network) -> None:
+        self.net, self.dense, self.steps = net, net.dense(), 0
+        self.first = {k: np.zeros_like(v) for k, v in self.dense.items()}
+        self.second = {k: np.zeros_like(v) for k, v in self.dense.items()}
+        self.e1, self.e2 = np.zeros_like(net.embed), np.zeros_like(net.embed)
+
+    def step(self, batch: tuple, weight: float, rng: np.random.Generator) -> float:
+        """Train on a batch; its mean loss before."""
+        net, e1, e2 = self.net, self.e1, self.e2
+        rows, place, bounds, y = batch
+        self.steps += 1
+        top, spot, laid, words = net.pooled(rows, place, bounds, where=True, rng=rng)
+        p = 1 / (1 + np.exp(-np.clip(top @ net.out + net.bias[0], -30, 30)))
+        loss = float(-np.mean(y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7)))
+        g = (p - y) * np.where(y == 1, weight, 1).astype(np.float32) / len(y)
+        grads = {"out": g @ top + 1e-4 * net.out, "bias": g.sum(keepdims=True)}
+        inner = (g[:, None] * net.out[None]) * (top > 0)
+        moved = np.zeros_like(words)
+        for i, w in enumerate(WIDTHS):
+            cols = slice(i * FILTERS, (i + 1) * FILTERS)
+            gi, at = inner[:, cols], spot[:, cols]
+            grads[f"s{w}"] = gi.sum(0)
+            gw = np.empty_like(net.filters[w])
+            for j in range(w):
+                who = laid[np.minimum(at + j, len(laid) - 1)]
+                gw[j] = np.einsum("bf,bfd->df", gi, words[who])
+                np.add.at(moved, who.ravel(), (gi[:, :, None] * net.filters[w][j].T[None]).reshape(-1, DIM))
+            grads[f"f{w}"] = gw
+        touched = np.flatnonzero(np.abs(moved[:-1]).sum(1))
+        bucket, back = np.unique(rows[touched], return_inverse=True)
+        ge = np.zeros((len(bucket), DIM), np.float32)
+        np.add.at(ge, back.reshape(-1), np.repeat(moved[touched], 3, 0))
+        c1, c2 = 1 - 0.9**self.steps, 1 - 0.999**self.steps
+        for name, grad in grads.items():
+            self.first[name] += 0.1 * (grad - self.first[name])
+            self.second[name] += 0.001 * (grad * grad - self.second[name])
+            self.dense[name] -= RATE * (self.first[name] / c1) / (np.sqrt(self.second[name] / c2) + 1e-8)
+        e1[bucket] += 0.1 * (ge - e1[bucket])
+        e2[bucket] += 0.001 * (ge * ge - e2[bucket])
+        net.embed[bucket] -= RATE * (e1[bucket] / c1) / (np.sqrt(e2[bucket] / c2) + 1e-8)
+        return loss
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All rows to fit on, never held-out ones: (doc_id, text, lang, toxic)."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", "text", lang.alias("lang"), F.length(F.coalesce("text", F.lit(""))).alias("chars")).where(F.col("chars") <= MAX_DOC_CHARS).join(known, "doc_id")
-    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
-    part = min(1.0, max_rows / max(n, 1), max_chars / max(chars, 1))
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)) if part < 1 else F.lit(True)
-    return rows.where(picked).select("doc_id", "text", "lang", "toxic")
+    rows = docs.select("doc_id", "text", lang.alias("lang")).join(known, "doc_id")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.col("toxic").cast("int").alias("toxic"))
 
 
 def thresholds(scores: np.ndarray, labels: np.ndarray, langs: list[str | None], weight: float = 50.0) -> dict[str, float]:
@@ -215,14 +235,18 @@ def thresholds(scores: np.ndarray, labels: np.ndarray, langs: list[str | None],
     for lang in sorted({x for x in langs if x is not None}):
         own = np.array([x == lang for x in langs])
         s, y = scores[own], labels[own]
-        grid = np.linspace(0.2, 0.8, 25)
-        f1 = [2 * ((s >= t) & (y == 1)).sum() / max(1, (s >= t).sum() + (y == 1).sum()) for t in grid]
-        best = np.flatnonzero(np.isclose(f1, max(f1)))
-        near = float(grid[best[np.argmin(np.abs(grid[best] - 0.5))]])
-        out[lang] = (len(s) * near + weight * 0.5) / (len(s) + weight)
+        out[lang] = _threshold(len(s), np.array([(y == 1).sum()] * len(GRID)), np.array([(s >= t).sum() for t in GRID]), np.array([((s >= t) & (y == 1)).sum() for t in GRID]), weight)
     return out
 
 
+def _threshold(n: int, toxic: np.ndarray, flagged: np.ndarray, right: np.ndarray, weight: float = 50.0) -> float:
+    """The threshold of n rows of a language, from how many are toxic, flagged and both at each of GRID."""
+    f1 = 2 * right / np.maximum(1, flagged + toxic)
+    best = np.flatnonzero(np.isclose(f1, max(f1)))
+    near = float(GRID[best[np.argmin(np.abs(GRID[best] - 0.5))]])
+    return (n * near + weight * 0.5) / (n + weight)
+
+
 def fitted(rows: pa.Table) -> tuple[Network, dict[str, float]]:
     """The network and the thresholds by language of labelled rows (doc_id, text, lang, toxic)."""
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -238,8 +262,13 @@ def fitted(rows: pa.Table) -> tuple[Network, dict[str, float]]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Network, dict[str, float]]:
-    """The fitted network and the thresholds by language. One task fits the bounded sample; the driver gets the weights."""
+    """The fitted network and the thresholds by language, from all labelled rows: in one task if they are few, else in shards."""
     text_batches(docs.sparkSession)
+    rows = labelled(docs, labels)
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
+    shards = max(-(-n // SHARD_ROWS), -(-chars // SHARD_CHARS))
+    if shards > 1:
+        return _train_shards(rows, shards)
     kinds = {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string(), "toxic": pa.int32()}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +278,68 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Network, dict[str, float]
         tidy()
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    rows = sample(docs, labels).select(F.col("doc_id").cast("long"), "text", "lang", F.col("toxic").cast("int"))
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else fitted(pa.schema(kinds).empty_table())
 
 
+def _train_shards(rows: DataFrame, shards: int) -> tuple[Network, dict[str, float]]:
+    """As fitted, of rows in any number: rounds of one epoch in every shard, whose changes are averaged."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    check = F.pmod(F.xxhash64("doc_id", F.lit("check")), F.lit(10)) == 0
+    dealt = rows.where(~check).select("text", "toxic", F.xxhash64("doc_id").alias("_h")).repartitionById(shards, F.pmod("_h", F.lit(shards)).cast("int"))
+    dealt = dealt.sortWithinPartitions(F.xxhash64("_h"), "text").select("text", "toxic").persist(StorageLevel.DISK_ONLY)
+    n, toxic = dealt.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    net = Network()
+    if toxic in (0, n):
+        dealt.unpersist()
+        net.prior = float((toxic + 1) / (n + 2))
+        return net, {}
+    weight = net.begin(toxic / n)
+    names = list(net.dense())
+    for turn in range(EPOCHS):
+        shared = sc.broadcast(net)
+
+        def run(parts: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            start = shared.value
+            own = pickle.loads(pickle.dumps(start))
+            adam, rng, loss, done = _Adam(own), np.random.default_rng(turn), 0.0, 0
+            for part in parts:
+                for a in range(0, len(part), BATCH):
+                    some = part.slice(a, BATCH)
+                    y = some.column("toxic").to_numpy().astype(np.float32)
+                    texts = [(t or "").encode("utf-8", "surrogatepass") for t in some.column("text").to_pylist()]
+                    loss += adam.step((*_grouped(texts), y), weight, rng) * len(y)
+                    done += len(y)
+            if not done:
+                return
+            moved = adam.e2.any(1)
+            change = np.concatenate([(own.embed - start.embed).astype(float), moved[:, None]], 1) * moved[:, None]
+            sums = [*np.split(change, CHUNKS), np.concatenate([[done, loss], *[v.ravel() * float(done) for v in own.dense().values()]])]
+            tidy()
+            for key, value in enumerate(sums):
+                yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.int32()), "value": pa.array([value.tobytes()], pa.binary())})
+
+        changes = dealt.mapInArrow(run, "key int, value binary").rdd.map(lambda r: (r.key, np.frombuffer(r.value)))
+        found = dict(changes.reduceByKey(np.add, CHUNKS + 1).collect())
+        change = np.concatenate([found[key].reshape(-1, DIM + 1) for key in range(CHUNKS)])
+        net.embed += (change[:, :DIM] / np.maximum(change[:, DIM:], 1)).astype(np.float32)
+        done, loss, at = found[CHUNKS][0], found[CHUNKS][1], 2
+        for name in names:
+            v = net.dense()[name]
+            v[...] = (found[CHUNKS][at : at + v.size] / done).reshape(v.shape)
+            at += v.size
+        shared.destroy()
+        if loss / done < ENOUGH:
+            break
+    dealt.unpersist()
+    scored = score(rows.where(check & F.col("lang").isNotNull()).select("text", "lang", "toxic"), (net, {}))
+    over = [F.col("tox_score") >= float(t) for t in GRID]
+    wrong = F.col("toxic") == 1
+    counts = scored.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(wrong).alias("toxic"), F.array(*[F.count_if(o) for o in over]).alias("flagged"), F.array(*[F.count_if(o & wrong) for o in over]).alias("right"))
+    return net, {r.lang: _threshold(r.n, np.full(len(GRID), r.toxic), np.array(r.flagged), np.array(r.right)) for r in counts.collect()}
+
+
 def score(docs: DataFrame, model: tuple[Network, dict[str, float]], names: tuple[str, str] = ("tox_score", "tox_flag")) -> DataFrame:
     """docs with tox_score (0 to 1) and tox_flag (score at or above the language's threshold), in place of columns of these names."""
     net, limits = model
