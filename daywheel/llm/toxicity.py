@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum
-from .common import text_batches, tidy
+from .common import release, small_side, text_batches, tidy
 
 #: Rows and characters that one task trains on.
 SHARD_ROWS, SHARD_CHARS = 12_000, 24_000_000
@@ -225,7 +225,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All rows to fit on, never held-out ones: (doc_id, text, lang, toxic)."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", "text", lang.alias("lang")).join(known, "doc_id")
+    # Texts are shuffled for the join only where the labels are too many to send.
+    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", lang.alias("lang")).join(small_side(known, 48)[0], "doc_id")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.col("toxic").cast("int").alias("toxic"))
 
 
@@ -265,7 +266,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Network, dict[str, float]
     """The fitted network and the thresholds by language, from all labelled rows: in one task if they are few, else in shards."""
     text_batches(docs.sparkSession)
     rows = labelled(docs, labels)
-    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
+    sizes = labelled(docs.withColumn("text", F.length("text")), labels)
+    n, chars = sizes.agg(F.count("*"), F.coalesce(F.sum(F.col("text").cast("long")), F.lit(0))).first()
     shards = max(-(-n // SHARD_ROWS), -(-chars // SHARD_CHARS))
     if shards > 1:
         return _train_shards(rows, shards)
@@ -290,6 +292,7 @@ def _train_shards(rows: DataFrame, shards: int) -> tuple[Network, dict[str, floa
     dealt = rows.where(~check).select("text", "toxic", F.xxhash64("doc_id").alias("_h")).repartitionById(shards, F.pmod("_h", F.lit(shards)).cast("int"))
     dealt = dealt.sortWithinPartitions(F.xxhash64("_h"), "text").select("text", "toxic").persist(StorageLevel.DISK_ONLY)
     n, toxic = dealt.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    release(spark)
     net = Network()
     if toxic in (0, n):
         dealt.unpersist()
